@@ -43,6 +43,7 @@ def co2e_by_resource(
     amounts = df.select(
         *keys, F.expr(f"stack({len(measures)}, {pairs}) as (resource_type, amount)")
     )
+    amounts = amounts.filter(F.col("amount").isNotNull())
     totals = amounts.groupBy(*keys, "resource_type").agg(F.sum("amount").alias("amount"))
     default = F.lit(None).cast("double")
     for resource, value in DEFAULT_FACTORS.items():

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from meterloom.plans import cleaning, features  # noqa: F401  (registers on import)
+from meterloom.plans import cleaning, features, forecasts, kpis  # noqa: F401  (registers on import)
 from meterloom.plans.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
