@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from meterloom.functions.timeparts import epoch_seconds
+
 # Alert labels and resource units shown to people.
 ALERT_LABELS = {
     "phantom_load": "Phantom Load",
@@ -50,7 +52,8 @@ def currency(value) -> Column:
 
 
 def decimal_text(value, digits: int) -> Column:
-    return F.format_string(f"%.{digits}f", _c(value))
+    """Fixed decimals, halves to even, no grouping."""
+    return F.replace(F.format_number(_c(value), digits), F.lit(","), F.lit(""))
 
 
 def percent_text(value, digits: int = 1) -> Column:
@@ -59,7 +62,7 @@ def percent_text(value, digits: int = 1) -> Column:
 
 def relative_age(ts, now) -> Column:
     """``just now`` / ``5m ago`` / ``3h ago`` / ``2d ago``."""
-    minutes = F.floor((F.unix_micros(_c(now).cast("timestamp")) - F.unix_micros(_c(ts).cast("timestamp"))) / 60000000)
+    minutes = F.floor((epoch_seconds(now) - epoch_seconds(ts)) / 60)
     hours = F.floor(minutes / 60)
     ago = lambda n, unit: F.concat(n.cast("string"), F.lit(f"{unit} ago"))
     return (

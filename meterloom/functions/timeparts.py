@@ -22,6 +22,11 @@ def hour_number(ts) -> Column:
     return F.unix_date(F.to_date(ts)).cast("long") * 24 + F.hour(ts)
 
 
+def epoch_seconds(ts) -> Column:
+    """Whole seconds since the epoch, reading the clock time as it stands."""
+    return hour_number(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
+
+
 def weekday(ts) -> Column:
     """0 = Monday … 6 = Sunday."""
     return F.weekday(ts)

@@ -150,3 +150,19 @@ def residual_outliers(
         }
     )
     return rows.filter(F.col("deviation") > F.col("deviation_std") * 2)
+
+
+def chart_energy_anomalies(df: DataFrame, keys: Sequence[str], ts: str) -> DataFrame:
+    """Outliers of an hourly chart (sample std)."""
+    kind = F.when(F.col("actual") > F.col("predicted"), "Phantom Load").otherwise("Unusual Drop")
+    return residual_outliers(df, keys, ts).withColumns({"type": kind, "severity": F.lit("high")})
+
+
+def chart_water_anomalies(df: DataFrame, keys: Sequence[str], date: str) -> DataFrame:
+    """Outliers of a daily chart (population std), tiered by their size in stds."""
+    sigma = F.col("deviation") / (F.col("deviation_std") + 1e-9)
+    kind = F.when(F.col("actual") > F.col("predicted"), "High Spike").otherwise("Unusual Drop")
+    tier = F.when(sigma >= 3, "critical").when(sigma >= 2, "high").otherwise("medium")
+    return residual_outliers(df, keys, date, population_std=True).withColumns(
+        {"type": kind, "severity": tier}
+    )
