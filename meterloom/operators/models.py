@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import array_to_vector
@@ -37,7 +38,11 @@ def forest_features(target: str, population: str) -> list[str]:
 def fit_forest(
     train: DataFrame, target: str, features: Sequence[str], trees: int = FOREST_TREES, depth: int = FOREST_DEPTH
 ) -> PipelineModel:
-    """One forest over all series; missing inputs take the training medians."""
+    """One forest over all series; missing inputs take the training medians.
+
+    Feature windows leave one partition per group of series, so the rows are spread
+    over all cores and kept for the passes of the fit (medians, splits, bagging).
+    """
     filled = [f"{c}_in" for c in features]
     stages = [
         Imputer(strategy="median", inputCols=list(features), outputCols=filled),
@@ -45,10 +50,16 @@ def fit_forest(
         RandomForestRegressor(
             featuresCol="_inputs", labelCol=target, predictionCol="_raw", numTrees=trees,
             maxDepth=depth, seed=FOREST_SEED, featureSubsetStrategy="all", maxMemoryInMB=1024,
+            cacheNodeIds=True,
         ),
     ]
     cast = train.select(*[F.col(c).cast("double").alias(c) for c in [*features, target]])
-    return Pipeline(stages=stages).fit(cast)
+    spread = cast.repartition(train.sparkSession.sparkContext.defaultParallelism)
+    spread.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return Pipeline(stages=stages).fit(spread)
+    finally:
+        spread.unpersist()
 
 
 def predict_forest(model: PipelineModel, df: DataFrame, features: Sequence[str], out: str = "predicted") -> DataFrame:
