@@ -27,6 +27,16 @@ def epoch_seconds(ts) -> Column:
     return hour_number(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
 
 
+def to_instant(ts) -> Column:
+    """Clock time as a zoned instant (read as UTC), for watermarks; whole seconds."""
+    return F.timestamp_seconds(epoch_seconds(ts))
+
+
+def from_instant(instant) -> Column:
+    """Inverse of ``to_instant``."""
+    return F.timestamp_add("SECOND", F.unix_seconds(instant), F.lit("1970-01-01").cast("timestamp_ntz"))
+
+
 def weekday(ts) -> Column:
     """0 = Monday … 6 = Sunday."""
     return F.weekday(ts)

@@ -49,7 +49,7 @@ class AlertStore:
     def add(self, found: DataFrame, created_at: Column, include_closed: bool = False) -> None:
         """Append the alerts whose key is not stored."""
         fresh = ops.new_only(found, self.state(), include_closed)
-        rows = ops.with_defaults(fresh, created_at)
+        rows = ops.with_defaults(fresh, created_at).hint("rebalance", "resource")
         rows.select(*[F.col(f.name).cast(f.dataType) for f in schemas.ALERTS.fields]).write.mode(
             "append"
         ).partitionBy("resource").parquet(self._alerts)
