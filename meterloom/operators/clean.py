@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from meterloom.functions.timeparts import epoch_seconds
 from meterloom.operators.windows import from_here, ordered, so_far
 
 
@@ -51,14 +52,16 @@ def gapfill(df: DataFrame, keys: Sequence[str], ts: str, step: str = "hour") ->
 def interpolate_linear(
     df: DataFrame, keys: Sequence[str], ts: str, cols: Sequence[str]
 ) -> DataFrame:
-    """Linear interpolation by position; the edges take the nearest value."""
-    spot = df.withColumn("_pos", F.row_number().over(ordered(keys, ts)))
+    """Linear interpolation over the slots; the edges take the nearest value.
+
+    The descending half runs first, so the rows end up in time order and later
+    windows over the same series need no sort of their own.
+    """
+    spot = df.withColumn("_pos", epoch_seconds(ts))
     point = {c: F.when(F.col(c).isNotNull(), F.struct("_pos", F.col(c).alias("v"))) for c in cols}
-    found = spot.select(
-        "*",
-        *[F.last(point[c], True).over(so_far(keys, ts)).alias(f"_prev_{c}") for c in cols],
-        *[F.last(point[c], True).over(from_here(keys, ts)).alias(f"_next_{c}") for c in cols],
-    )
+    found = spot.withColumns(
+        {f"_next_{c}": F.last(point[c], True).over(from_here(keys, ts)) for c in cols}
+    ).withColumns({f"_prev_{c}": F.last(point[c], True).over(so_far(keys, ts)) for c in cols})
 
     def filled(c: str):
         before, after = F.col(f"_prev_{c}"), F.col(f"_next_{c}")
@@ -78,13 +81,12 @@ def fill_forward_back(
     df: DataFrame, keys: Sequence[str], ts: str, cols: Sequence[str]
 ) -> DataFrame:
     """Last known value; before the first one, the first."""
-    out = {
-        c: F.coalesce(
-            F.last(c, True).over(so_far(keys, ts)), F.last(c, True).over(from_here(keys, ts))
-        )
-        for c in cols
-    }
-    return df.select(*[out[c].alias(c) if c in out else F.col(c) for c in df.columns])
+    found = df.withColumns(
+        {f"_next_{c}": F.last(c, True).over(from_here(keys, ts)) for c in cols}
+    ).withColumns({f"_prev_{c}": F.last(c, True).over(so_far(keys, ts)) for c in cols})
+    return found.select(
+        *[F.coalesce(f"_prev_{c}", f"_next_{c}").alias(c) if c in cols else F.col(c) for c in df.columns]
+    )
 
 
 def clean_hourly(df: DataFrame, keys: Sequence[str], ts: str, cols: Sequence[str]) -> DataFrame:

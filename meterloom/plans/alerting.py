@@ -12,7 +12,7 @@ from meterloom.operators.features import rolling_stats, trailing_baseline
 from meterloom.operators.recent import tail_per_series, trailing_range
 from meterloom.operators.windows import ordered, trailing
 from meterloom.plans.base import (
-    KEY, SQL_DAILY, SQL_HOURLY, SQL_WASTE, daily, hourly, query, r, rounded, rs, waste, with_,
+    KEY, SQL_DAILY, SQL_HOURLY, SQL_WASTE, days_of, hourly, query, rounded, rs, saved, waste, with_,
 )
 from meterloom.plans.features import frame
 from meterloom.plans.forecasts import SQL_AVP, SQL_PREDICTED, chart_hours, predicted_hours
@@ -31,12 +31,17 @@ def now():
 WATER_ROLES = {"water_gallons": "flow", "pressure_psi": "pressure"}
 
 
-def energy_alerts(spark, sf, scan_hours=detect.SCAN_HOURS):
-    return detect.detect_energy(predicted_hours(spark, sf), KEY, "ts", "energy_kwh", scan_hours)
+def hours_table(spark, sf):
+    """Cleaned hours, rolled up once for every detector."""
+    return saved(hourly(spark, sf).select("series", "ts", "usage", "level"), "hours")
 
 
-def water_alerts(spark, sf, scan_hours=detect.SCAN_HOURS):
-    flows = hourly(spark, sf).select(
+def energy_alerts(hours, scan_hours=detect.SCAN_HOURS):
+    return detect.detect_energy(predicted_hours(hours), KEY, "ts", "energy_kwh", scan_hours)
+
+
+def water_alerts(hours, scan_hours=detect.SCAN_HOURS):
+    flows = hours.select(
         "series", "ts", F.col("usage").alias("water_gallons"), F.col("level").alias("pressure_psi")
     )
     return detect.detect_water(flows, KEY, "ts", WATER_ROLES, scan_hours)
@@ -53,15 +58,20 @@ def waste_alerts(spark, sf, scan_days=detect.SCAN_DAYS):
 
 def all_alerts(spark, sf):
     """All three detectors over the whole history."""
-    found = [energy_alerts(spark, sf, None), water_alerts(spark, sf, None), waste_alerts(spark, sf, None)]
+    hours = hours_table(spark, sf)
+    found = [energy_alerts(hours, None), water_alerts(hours, None), waste_alerts(spark, sf, None)]
     return reduce(DataFrame.unionByName, found)
 
 
 def stored_alerts(spark, sf):
-    """The found alerts as a table: created an hour after the reading, status by hour."""
+    return as_stored(all_alerts(spark, sf))
+
+
+def as_stored(found):
+    """Found alerts as a table: created an hour after the reading, status by hour."""
     state = F.element_at(F.array(F.lit("active"), F.lit("acknowledged"), F.lit("resolved")), F.hour("ts") % 3 + 1)
     created = F.col("ts") + F.expr("interval 1 hour")
-    return ops.with_defaults(all_alerts(spark, sf).withColumn("status", state), created)
+    return ops.with_defaults(found.withColumn("status", state), created)
 
 
 def _after(value: str, t: str) -> str:
@@ -130,12 +140,12 @@ x4 AS (SELECT *, coalesce(abs(residual) / nullif(coalesce(sd, stddev_samp(actual
 
 @query("detect_energy", with_(SQL_DAILY, SQL_PREDICTED, sql_energy("48 HOUR"), "SELECT * FROM energy_alerts"))
 def detect_energy(spark, sf):
-    return energy_alerts(spark, sf)
+    return energy_alerts(hours_table(spark, sf))
 
 
 @query("detect_water", with_(SQL_HOURLY, sql_water("48 HOUR"), "SELECT * FROM water_alerts"))
 def detect_water(spark, sf):
-    return water_alerts(spark, sf)
+    return water_alerts(hourly(spark, sf))
 
 
 @query("detect_waste", with_(SQL_WASTE, sql_waste("14 DAY"), "SELECT * FROM waste_alerts"))
@@ -224,9 +234,9 @@ day_out AS (SELECT series, date, CAST(idx AS INTEGER) AS idx, actual, predicted,
             FROM d4 WHERE deviation > 2 * sd)"""
 
 
-def chart_days(spark, sf):
+def chart_days(hours):
     """The last 60 days with their trailing baseline."""
-    days = tail_per_series(daily(spark, sf), KEY, "date", 60)
+    days = tail_per_series(days_of(hours), KEY, "date", 60)
     base = trailing_baseline(KEY, "date", "usage")
     idx = F.row_number().over(ordered(KEY, "date")) - 1
     return days.select("series", "date", idx.alias("idx"), F.col("usage").alias("actual"), base.alias("predicted"))
@@ -237,7 +247,7 @@ def chart_days(spark, sf):
     with_(SQL_DAILY, SQL_CHART_DAYS, f"SELECT series, date, idx, type, severity, {rs('actual', 'predicted', 'deviation')} FROM day_out"),
 )
 def residual_2sigma_daily(spark, sf):
-    found = detect.chart_water_anomalies(chart_days(spark, sf).drop("idx"), KEY, "date")
+    found = detect.chart_water_anomalies(chart_days(hourly(spark, sf)).drop("idx"), KEY, "date")
     return rounded(found.drop("deviation_std"))
 
 
@@ -255,9 +265,10 @@ def residual_2sigma_daily(spark, sf):
     ),
 )
 def chart_alert_merge(spark, sf):
-    chart = chart_days(spark, sf)
+    hours = hours_table(spark, sf)
+    chart = saved(chart_days(hours.withColumn("readings", F.lit(0.0))), "chart")
     outliers = detect.chart_water_anomalies(chart.drop("idx"), KEY, "date")
-    return ops.merge_into_chart(chart, outliers, water_alerts(spark, sf, None), KEY, "date")
+    return ops.merge_into_chart(chart, outliers, water_alerts(hours, None), KEY, "date")
 
 
 # ---------------------------------------------------------------- keys, labels, ages
@@ -373,6 +384,11 @@ def alerts_top3(spark, sf):
     return ops.dashboard_text(ops.top_active(stored_alerts(spark, sf), 3))
 
 
+def earlier(found):
+    """The part of the alerts that an earlier scan has stored."""
+    return as_stored(found).filter(F.col("created_at") < F.lit("2024-01-20 00:00:00").cast("timestamp_ntz"))
+
+
 SQL_KNOWN = "known AS (SELECT * FROM stored WHERE created_at < TIMESTAMP '2024-01-20 00:00:00')"
 
 
@@ -382,8 +398,8 @@ SQL_KNOWN = "known AS (SELECT * FROM stored WHERE created_at < TIMESTAMP '2024-0
 )
 def alert_new_only(spark, sf):
     """Found alerts without an active one of the same bucket among those stored earlier."""
-    known = stored_alerts(spark, sf).filter(F.col("created_at") < F.lit("2024-01-20 00:00:00").cast("timestamp_ntz"))
-    return ops.new_only(all_alerts(spark, sf), known).select("alert_id", "resource", "severity", "ts")
+    found = saved(all_alerts(spark, sf), "found")
+    return ops.new_only(found, earlier(found)).select("alert_id", "resource", "severity", "ts")
 
 
 @query(
@@ -402,9 +418,9 @@ def alert_new_only(spark, sf):
 )
 def scan_summary(spark, sf):
     """A scan on top of stored alerts: what is new, and what is active afterwards."""
-    found = all_alerts(spark, sf)
-    known = stored_alerts(spark, sf).filter(F.col("created_at") < F.lit("2024-01-20 00:00:00").cast("timestamp_ntz"))
-    fresh = ops.new_only(found, known)
+    found = saved(all_alerts(spark, sf), "found")
+    known = earlier(found)
+    fresh = saved(ops.new_only(found, known), "fresh")
     state = known.unionByName(ops.with_defaults(fresh, now()))
     return ops.scan_summary(fresh, state)
 
@@ -419,8 +435,9 @@ def scan_summary(spark, sf):
 def alert_append(spark, sf):
     """Two appends to an alert store; the second adds only what the first did not have."""
     store = AlertStore(spark, scratch_path(spark, "alerts"))
-    store.add(energy_alerts(spark, sf, None), now())
-    store.add(all_alerts(spark, sf), now())
+    found = saved(all_alerts(spark, sf), "found")
+    store.add(found.filter("resource = 'energy'"), now())
+    store.add(found, now())
     return store.state().groupBy("resource", "severity", "status").agg(F.count(F.lit(1)).alias("alert_count"))
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from meterloom.functions.numeric import tidy
 from meterloom.operators.clean import fill_forward_back, gapfill, interpolate_linear
 from meterloom.operators.rollup import resample, rollup
+from meterloom.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -55,8 +56,26 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def keyed(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows that belong to a series. Stated in every adapter, so branches of one plan
+    that later join on the key still share their scan and shuffle."""
+    return df.filter(" and ".join(f"{k} is not null" for k in keys))
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared scratch folder and read from there.
+
+    For rolled-up tables that several branches of a plan read: the raw table is
+    scanned once, and a lost executor costs no recomputation.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def readings(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "events").select(
+    return keyed(table(spark, sf, "events"), "event_type").select(
         F.col("event_type").alias("series"),
         "ts",
         "event_id",
@@ -86,9 +105,13 @@ def hourly(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def daily(spark: SparkSession, sf: str) -> DataFrame:
+    return days_of(hourly(spark, sf))
+
+
+def days_of(hours: DataFrame) -> DataFrame:
     """series, date, usage, readings, level from the cleaned hours."""
     return rollup(
-        hourly(spark, sf), KEY, "ts", "day", {"usage": "usage", "readings": "readings"},
+        hours, KEY, "ts", "day", {"usage": "usage", "readings": "readings"},
         {"level": "level"}, out_ts="date",
     )
 
@@ -97,7 +120,7 @@ def waste_observed(spark: SparkSession, sf: str) -> DataFrame:
     """series, date, total, recycled, landfill, population for days with rows."""
     recycled = F.col("l_returnflag") == "R"
     return (
-        table(spark, sf, "lineitem")
+        keyed(table(spark, sf, "lineitem"), "l_linestatus")
         .groupBy(F.col("l_linestatus").alias("series"), F.to_date("l_shipdate").alias("date"))
         .agg(
             F.sum("l_quantity").alias("total"),
@@ -120,7 +143,7 @@ def waste(spark: SparkSession, sf: str) -> DataFrame:
 def trips_observed(spark: SparkSession, sf: str) -> DataFrame:
     """series, member, date, fuel, trips, riders for days with orders."""
     return (
-        table(spark, sf, "orders")
+        keyed(table(spark, sf, "orders"), "o_orderstatus", "o_orderpriority")
         .groupBy(
             F.col("o_orderstatus").alias("series"),
             F.col("o_orderpriority").alias("member"),

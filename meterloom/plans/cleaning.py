@@ -11,7 +11,7 @@ from meterloom.plans.base import (
     CUTOFF, HOURLY_COLS, HOURLY_MEANS, HOURLY_SUMS, KEY, MEMBER, SQL_DAILY, SQL_GRID, SQL_HOURLY,
     SQL_TRIPS, SQL_USAGE, SQL_WASTE, SQL_WASTE_GRID, USAGE_VALUES, WASTE_VALUES, daily, hourly, hourly_grid,
     query, r, readings, rounded, rs, sql_fill, sql_spine, table, trips_observed, usage, waste,
-    waste_observed, with_,
+    waste_observed, with_, saved, days_of,
 )
 from meterloom.plans.base import SQL_OBSERVED
 from meterloom.session import scratch_path
@@ -146,14 +146,14 @@ def fill_forward_back(spark, sf):
 
 @query(
     "dropna_target",
-    with_(SQL_GRID, "SELECT series, count(*) AS row_count, count(usage) AS kept FROM grid GROUP BY ALL"),
+    with_(SQL_GRID, "SELECT series, count(*) AS kept, min(ts) AS first_ts, max(ts) AS last_ts FROM grid WHERE usage IS NOT NULL GROUP BY ALL"),
 )
 def dropna_target(spark, sf):
-    """Rows per series before and after dropping those without a target."""
-    grid = hourly_grid(spark, sf)
-    before = grid.groupBy("series").agg(F.count(F.lit(1)).alias("row_count"))
-    after = clean.drop_missing_target(grid, "usage").groupBy("series").agg(F.count(F.lit(1)).alias("kept"))
-    return before.join(after, "series")
+    """What is left of every series without the hours that have no target."""
+    kept = clean.drop_missing_target(hourly_grid(spark, sf), "usage")
+    return kept.groupBy("series").agg(
+        F.count(F.lit(1)).alias("kept"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")
+    )
 
 
 @query(
@@ -266,11 +266,12 @@ SQL_PROFILE = "SELECT '{n}' AS table_name, count(*) AS row_count, count(*) - cou
     ),
 )
 def health(spark, sf):
+    hours = saved(hourly(spark, sf), "hours")
     return health_report(
         [
             (hourly_grid(spark, sf), "grid", "ts", "usage"),
-            (hourly(spark, sf), "hourly", "ts", "usage"),
-            (daily(spark, sf), "daily", "date", "usage"),
+            (hours, "hourly", "ts", "usage"),
+            (days_of(hours), "daily", "date", "usage"),
             (waste(spark, sf), "waste", "date", "total"),
             (usage(spark, sf), "usage", "date", "fuel"),
         ]

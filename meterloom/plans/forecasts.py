@@ -9,7 +9,7 @@ from meterloom.operators import forecast as ops
 from meterloom.operators.clean import split_train_test
 from meterloom.operators.windows import trailing
 from meterloom.plans.base import (
-    CUTOFF, KEY, SQL_DAILY, SQL_HOURLY, SQL_WASTE, daily, hourly, query, r, rounded, rs, waste, with_,
+    CUTOFF, KEY, SQL_DAILY, SQL_HOURLY, SQL_WASTE, daily, hourly, query, r, rounded, rs, saved, waste, with_,
 )
 from meterloom.session import scratch_path
 from meterloom.sources.artifacts import load_metrics, save_metrics
@@ -112,8 +112,8 @@ predicted AS (SELECT h.series, h.ts, h.usage AS actual, coalesce(y.yhat * p.frac
 
 
 def hourly_usage(spark, sf):
-    """Cleaned hourly usage only, so every branch of a plan shares one rollup."""
-    return hourly(spark, sf).select("series", "ts", "usage")
+    """Cleaned hourly usage, rolled up once for all branches of a plan."""
+    return saved(hourly(spark, sf).select("series", "ts", "usage"), "hours")
 
 
 def day_forecast(hours):
@@ -125,8 +125,9 @@ def day_forecast(hours):
     return days.select("series", "date", F.avg("usage").over(before).alias("yhat"))
 
 
-def predicted_hours(spark, sf, share_missing: bool = False):
-    hours = hourly_usage(spark, sf)
+def predicted_hours(hours, share_missing: bool = False):
+    """Actual and predicted usage of cleaned hours."""
+    hours = hours.select("series", "ts", "usage")
     profile = ops.hourly_profile(hours, KEY, "ts", "usage")
     return ops.disaggregate_hourly(hours, day_forecast(hours), profile, KEY, "ts", "usage", share_missing)
 
@@ -136,7 +137,7 @@ def predicted_hours(spark, sf, share_missing: bool = False):
     with_(SQL_HOURLY, SQL_PROFILE, f"SELECT series, CAST(hour AS INTEGER) AS hour, {r('fraction', 9)} AS fraction FROM profile"),
 )
 def hourly_profile(spark, sf):
-    return rounded(ops.hourly_profile(hourly_usage(spark, sf), KEY, "ts", "usage"), 9)
+    return rounded(ops.hourly_profile(hourly(spark, sf), KEY, "ts", "usage"), 9)
 
 
 @query(
@@ -144,7 +145,7 @@ def hourly_profile(spark, sf):
     with_(SQL_DAILY, SQL_PREDICTED, f"SELECT series, ts, method, {rs('actual', 'predicted')} FROM predicted"),
 )
 def hourly_disaggregation(spark, sf):
-    return rounded(predicted_hours(spark, sf))
+    return rounded(predicted_hours(hourly_usage(spark, sf)))
 
 
 SQL_AVP = SQL_PREDICTED + """,
@@ -155,8 +156,9 @@ avp AS (SELECT h.series, h.ts, h.usage AS actual, coalesce(p.predicted, avg(h.us
 
 
 def chart_hours(spark, sf):
-    model = predicted_hours(spark, sf).filter("method = 'profile'")
-    return ops.actual_vs_predicted(hourly_usage(spark, sf), model, KEY, "ts", "usage")
+    hours = hourly_usage(spark, sf)
+    model = predicted_hours(hours).filter("method = 'profile'")
+    return ops.actual_vs_predicted(hours, model, KEY, "ts", "usage")
 
 
 @query("actual_vs_predicted", with_(SQL_DAILY, SQL_AVP, f"SELECT series, ts, method, {rs('actual', 'predicted')} FROM avp"))
@@ -197,9 +199,9 @@ errs AS (SELECT series AS target, model, avg(abs((actual - predicted) / nullif(a
          FROM cand WHERE predicted IS NOT NULL AND date > DATE '{CUTOFF}' GROUP BY ALL)"""
 
 
-def holdout_metrics(spark, sf):
+def holdout_metrics(days):
     """Errors of the history-only candidates on the days after the cutoff."""
-    found = ops.naive_candidates(waste(spark, sf), KEY, "date", "total")
+    found = ops.naive_candidates(days, KEY, "date", "total")
     _, test = split_train_test(found.withColumnRenamed("series", "target"), "date", CUTOFF)
     return ops.holdout_errors(test, ["target", "model"], "date")
 
@@ -209,7 +211,7 @@ SQL_ERROR_ROWS = f"SELECT target, model, {rs('mape', 'mae', 'rmse')}, test_days"
 
 @query("forecast_errors", with_(SQL_WASTE, SQL_ERRORS, f"{SQL_ERROR_ROWS} FROM errs"))
 def forecast_errors(spark, sf):
-    return rounded(holdout_metrics(spark, sf))
+    return rounded(holdout_metrics(waste(spark, sf)))
 
 
 @query("metrics_roundtrip", with_(SQL_WASTE, SQL_ERRORS, f"{SQL_ERROR_ROWS}, trained_at FROM errs"))
@@ -234,7 +236,7 @@ def metrics_roundtrip(spark, sf):
     ),
 )
 def model_champion(spark, sf):
-    return rounded(ops.choose_champion(holdout_metrics(spark, sf), ["target"], "seasonal_naive", "trailing_mean"))
+    return rounded(ops.choose_champion(holdout_metrics(waste(spark, sf)), ["target"], "seasonal_naive", "trailing_mean"))
 
 
 @query(
@@ -250,6 +252,7 @@ def model_champion(spark, sf):
 )
 def model_status(spark, sf):
     names = F.array(*[F.lit(n) for n in ("seasonal_naive", "trailing_mean", "random_forest")])
-    known = waste(spark, sf).select(F.col("series").alias("target")).distinct()
+    days = saved(waste(spark, sf).select("series", "date", "total"), "waste")
+    known = days.select(F.col("series").alias("target")).distinct()
     known = known.select("target", F.explode(names).alias("model"))
-    return rounded(ops.model_status(known, holdout_metrics(spark, sf)))
+    return rounded(ops.model_status(known, holdout_metrics(days)))
