@@ -64,15 +64,10 @@ def interpolate_linear(
     ).withColumns({f"_prev_{c}": F.last(point[c], True).over(so_far(keys, ts)) for c in cols})
 
     def filled(c: str):
-        before, after = F.col(f"_prev_{c}"), F.col(f"_next_{c}")
-        share = (F.col("_pos") - before["_pos"]) / (after["_pos"] - before["_pos"])
-        between = before["v"] + (after["v"] - before["v"]) * share
-        return (
-            F.when(F.col(c).isNotNull(), F.col(c))
-            .when(before.isNotNull() & after.isNotNull(), between)
-            .otherwise(F.coalesce(before["v"], after["v"]))
-            .alias(c)
-        )
+        before, after = f"`_prev_{c}`", f"`_next_{c}`"
+        share = f"(_pos - {before}._pos) / ({after}._pos - {before}._pos)"
+        between = f"{before}.v + ({after}.v - {before}.v) * ({share})"
+        return F.expr(f"coalesce(`{c}`, {between}, {before}.v, {after}.v)").alias(c)
 
     return found.select(*[filled(c) if c in cols else F.col(c) for c in df.columns])
 

@@ -8,7 +8,7 @@ from meterloom.functions.timeparts import is_school_session, is_weekend
 from meterloom.operators import detect, forecast as fc, models
 from meterloom.operators.clean import drop_missing_target, split_train_test
 from meterloom.operators.features import waste_features
-from meterloom.plans.base import CUTOFF, KEY, query, rounded, waste
+from meterloom.plans.base import CUTOFF, KEY, query, rounded, saved, waste
 from meterloom.session import scratch_path
 from meterloom.sources.artifacts import load_model, save_model
 
@@ -17,20 +17,23 @@ INPUTS = models.forest_features(TARGET, POPULATION)
 
 
 def forest_table(spark, sf):
-    """Daily waste with features; the weekly mean ends the day before (no target leak)."""
+    """Daily waste with features; the weekly mean ends the day before (no target leak).
+
+    Saved once: the fit and the scoring both read it.
+    """
     days = waste_features(waste(spark, sf), KEY, "date", TARGET, "recycled", leak_free=True)
-    return drop_missing_target(days.select("series", "date", TARGET, *INPUTS), TARGET)
+    return saved(drop_missing_target(days.select("series", "date", TARGET, *INPUTS), TARGET), "forest-rows")
 
 
-def trained_forest(spark, sf):
-    train, test = split_train_test(forest_table(spark, sf), "date", CUTOFF)
+def trained_forest(days):
+    train, test = split_train_test(days, "date", CUTOFF)
     return models.fit_forest(train, TARGET, INPUTS), test
 
 
 @query("waste_rf_holdout")
 def waste_rf_holdout(spark, sf):
     """Forest errors on the days after the cutoff, from the saved and reloaded model."""
-    fitted, test = trained_forest(spark, sf)
+    fitted, test = trained_forest(forest_table(spark, sf))
     model = load_model(spark, save_model(fitted, scratch_path(spark, "forest")))
     scored = models.predict_forest(model, test, INPUTS).withColumnRenamed(TARGET, "actual")
     errors = fc.holdout_errors(scored.withColumnRenamed("series", "target"), ["target"], "date")
@@ -39,7 +42,7 @@ def waste_rf_holdout(spark, sf):
 
 @query("waste_feature_importance")
 def waste_feature_importance(spark, sf):
-    fitted, _ = trained_forest(spark, sf)
+    fitted, _ = trained_forest(forest_table(spark, sf))
     weights = models.forest_importances(spark, fitted, INPUTS)
     return weights.orderBy(F.desc("importance"), "feature").limit(3)
 
@@ -55,7 +58,7 @@ def forecast_waste(spark, sf):
 def detect_waste_model(spark, sf):
     """Waste alerts with the forest as predictor."""
     days = forest_table(spark, sf)
-    fitted, _ = trained_forest(spark, sf)
+    fitted, _ = trained_forest(days)
     scored = models.predict_forest(fitted, days, INPUTS).select(
         "series", "date", F.col(TARGET).alias("actual"), "predicted", F.lit("random_forest").alias("method")
     )
@@ -64,7 +67,7 @@ def detect_waste_model(spark, sf):
 
 @query("forecast_ar")
 def forecast_ar(spark, sf):
-    days = waste(spark, sf).select("series", "date", TARGET)
+    days = saved(waste(spark, sf).select("series", "date", TARGET), "waste")
     model, _ = models.fit_autoregression(days, KEY, "date", TARGET)
     return rounded(models.forecast_autoregression(model, days, KEY, "date", TARGET, 14))
 
@@ -72,7 +75,7 @@ def forecast_ar(spark, sf):
 @query("ar_holdout")
 def ar_holdout(spark, sf):
     """Errors of the autoregression run freely over the days after the cutoff."""
-    days = waste(spark, sf).select("series", "date", TARGET)
+    days = saved(waste(spark, sf).select("series", "date", TARGET), "waste")
     train, test = split_train_test(days, "date", CUTOFF)
     model, _ = models.fit_autoregression(train, KEY, "date", TARGET)
     horizon = test.groupBy("date").agg(F.lit(1)).count()
@@ -87,7 +90,7 @@ def ar_holdout(spark, sf):
 @query("ar_backcast")
 def ar_backcast(spark, sf):
     """In-sample path of every series: 14 actual days, then free-running predictions."""
-    days = waste(spark, sf).select("series", "date", TARGET)
+    days = saved(waste(spark, sf).select("series", "date", TARGET), "waste")
     model, _ = models.fit_autoregression(days, KEY, "date", TARGET)
     return rounded(models.backcast_autoregression(model, days, KEY, "date", TARGET))
 
@@ -101,7 +104,7 @@ def _regression_table(df):
 
 @query("forecast_seasonal_regression")
 def forecast_seasonal_regression(spark, sf):
-    days = waste(spark, sf).select("series", "date", TARGET, POPULATION)
+    days = saved(waste(spark, sf).select("series", "date", TARGET, POPULATION), "waste")
     future = fc.future_regressors(days, KEY, "date", POPULATION, 30)
     return rounded(
         models.seasonal_regression(_regression_table(days), future, KEY, "date", TARGET, REGRESSORS)
@@ -110,7 +113,7 @@ def forecast_seasonal_regression(spark, sf):
 
 @query("seasonal_regression_holdout")
 def seasonal_regression_holdout(spark, sf):
-    days = _regression_table(waste(spark, sf).select("series", "date", TARGET, POPULATION))
+    days = saved(_regression_table(waste(spark, sf).select("series", "date", TARGET, POPULATION)), "waste")
     train, test = split_train_test(days, "date", CUTOFF)
     ahead = models.seasonal_regression(train, test, KEY, "date", TARGET, REGRESSORS)
     both = ahead.select("series", "date", F.col("forecast").alias("predicted")).join(

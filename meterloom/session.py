@@ -18,6 +18,7 @@ def local_session(cpus: int | str = 8, app: str = "meterloom") -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")  # no call-site capture per column
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
