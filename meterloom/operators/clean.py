@@ -96,6 +96,16 @@ def clean_daily(df: DataFrame, keys: Sequence[str], ts: str, cols: Sequence[str]
     return fill_forward_back(whole, keys, ts, cols)
 
 
+def total_daily(df: DataFrame, keys: Sequence[str], ts: str, cols: Sequence[str]) -> DataFrame:
+    """Daily sums over all members of a series, continuous, gaps filled forward then back.
+
+    Members are added up before gaps are filled: a member without a row that day had
+    nothing to report, while a day without any value repeats the last one.
+    """
+    days = df.groupBy(*keys, F.to_date(ts).alias(ts)).agg(*[F.sum(c).alias(c) for c in cols])
+    return fill_forward_back(gapfill(days, keys, ts, "day").drop("is_observed"), keys, ts, cols)
+
+
 def drop_missing_target(df: DataFrame, target: str) -> DataFrame:
     return df.dropna(subset=[target])
 

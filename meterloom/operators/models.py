@@ -19,6 +19,7 @@ from meterloom.functions.timeparts import calendar_columns
 from meterloom.operators.features import lag_vector
 from meterloom.operators.forecast import check_horizon, half_std_bounds
 from meterloom.operators.recent import tail_per_series
+from meterloom.sources.artifacts import load_model, save_model
 
 # ---------------------------------------------------------------- random forest
 
@@ -62,8 +63,10 @@ def fit_forest(
         spread.unpersist()
 
 
-def predict_forest(model: PipelineModel, df: DataFrame, features: Sequence[str], out: str = "predicted") -> DataFrame:
-    """``df`` with the prediction, never below zero."""
+def predict_forest(model: PipelineModel | None, df: DataFrame, features: Sequence[str], out: str = "predicted") -> DataFrame:
+    """``df`` with the prediction, never below zero; NULL without a model."""
+    if model is None:
+        return df.withColumn(out, F.lit(None).cast("double"))
     cast = df.withColumns({c: F.col(c).cast("double") for c in features})
     scored = model.transform(cast).withColumn(out, floor_zero("_raw"))
     return scored.drop("_inputs", "_raw", *[f"{c}_in" for c in features])
@@ -188,6 +191,17 @@ def from_linear(model: LinearRegressionModel, scale: DataFrame) -> Autoregressio
     return Autoregression(tuple(float(c) for c in model.coefficients), float(model.intercept), scale)
 
 
+def save_autoregression(fitted: LinearRegressionModel, model: Autoregression, path: str) -> str:
+    save_model(fitted, f"{path}/weights")
+    model.scale.write.mode("overwrite").parquet(f"{path}/scale")
+    return path
+
+
+def load_autoregression(spark: SparkSession, path: str) -> Autoregression | None:
+    fitted = load_model(spark, f"{path}/weights", LinearRegressionModel)
+    return from_linear(fitted, spark.read.parquet(f"{path}/scale")) if fitted else None
+
+
 def _sorted_values(date: str, col: str) -> Column:
     pairs = F.sort_array(F.collect_list(F.struct(F.col(date).alias("d"), F.col(col).alias("v"))))
     return F.transform(pairs, lambda e: e["v"])

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from meterloom.functions.numeric import safe_ratio
 from meterloom.operators import features as ops
-from meterloom.operators.clean import clean_daily
-from meterloom.operators.rollup import rollup
+from meterloom.operators.clean import total_daily
 from meterloom.operators.windows import trailing
 from meterloom.plans.base import (
-    KEY, MEMBER, SQL_DAILY, SQL_HOURLY, SQL_TRIPS, SQL_WASTE, USAGE_VALUES, daily, hourly, query, r,
-    rounded, rs, sql_fill, sql_spine, trips_observed, waste, with_,
+    KEY, SQL_DAILY, SQL_HOURLY, SQL_USAGE, SQL_WASTE, USAGE_VALUES, daily, hourly, query, r, rounded, rs,
+    sql_fill, trips_observed, waste, with_,
 )
 from pyspark.sql import functions as F
 
@@ -202,15 +201,13 @@ def features_waste_daily(spark, sf):
 @query(
     "features_transport_daily",
     with_(
-        SQL_TRIPS + "," + sql_spine("trips", "trips_grid", "date", USAGE_VALUES, "DAY", "series, member"),
-        sql_fill("trips_grid", "filled", "date", USAGE_VALUES, "series, member"),
-        "fleet AS (SELECT series, date, sum(fuel) AS fuel, sum(trips) AS trips, sum(riders) AS riders FROM filled GROUP BY ALL)",
+        SQL_USAGE,
+        sql_fill("usage_grid", "fleet", "date", USAGE_VALUES),
         f"""SELECT series, date, {rs('fuel', digits=2)}, trips, riders, {sql_calendar('date', False)},
                    {sql_lags('trips', 'date', (1, 7), 'd', 7, (7,))} FROM fleet""",
     ),
 )
 def features_transport_daily(spark, sf):
-    """Members are cleaned one by one, then summed; lags but no smoothing."""
-    cleaned = clean_daily(trips_observed(spark, sf), MEMBER, "date", USAGE_VALUES)
-    fleet = rollup(cleaned, KEY, "date", "day", {c: c for c in USAGE_VALUES})
+    """Daily totals over the members, filled, with lags but no smoothing."""
+    fleet = total_daily(trips_observed(spark, sf), KEY, "date", USAGE_VALUES)
     return rounded(ops.daily_features(fleet, KEY, "date", ["trips"]), {"fuel": 2})

@@ -32,13 +32,19 @@ class Ingested:
         return spark.createDataFrame(loaded + failed, REPORT)
 
 
-def ingest(readers: Mapping[str, Reader]) -> Ingested:
-    """Run every reader and count its rows; reading is lazy, so only an action can tell."""
+def ingest(readers: Mapping[str, Reader], count_rows: bool = True) -> Ingested:
+    """Run every reader; reading is lazy, so only an action can tell whether it works.
+
+    The action counts the rows, or with ``count_rows=False`` looks at the first only.
+    """
     out = Ingested()
     for source, reader in readers.items():
         try:
             df = reader()
-            out.rows[source] = df.agg(F.count(F.lit(1))).first()[0]
+            if count_rows:
+                out.rows[source] = df.agg(F.count(F.lit(1))).first()[0]
+            else:
+                df.isEmpty()
             out.frames[source] = df
         except (PySparkException, OSError) as error:
             out.errors[source] = str(error).splitlines()[0]
