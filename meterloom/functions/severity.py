@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from meterloom.functions.timeparts import day_start, floor_hour
+from meterloom.functions.timeparts import day_start, floor_hour, iso_text
 
 # Sigma thresholds, inclusive.
 SIGMA_MEDIUM = 1.5
@@ -57,7 +57,7 @@ def alert_bucket(resource, ts) -> Column:
 
 def dedup_key(resource: str, metric: str, series: str, ts: str) -> Column:
     """``resource|metric|series|bucket`` with an ISO bucket."""
-    bucket = F.date_format(alert_bucket(resource, ts), "yyyy-MM-dd'T'HH:mm:ss")
+    bucket = iso_text(alert_bucket(resource, ts))
     return F.concat_ws("|", resource, metric, series, bucket)
 
 

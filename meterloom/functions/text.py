@@ -74,11 +74,14 @@ def relative_age(ts, now) -> Column:
 
 
 def chart_hour(ts) -> Column:
-    return F.date_format(ts, "hh a")
+    """``09 AM``"""
+    hour = F.lpad(((F.hour(ts) + 11) % 12 + 1).cast("string"), 2, "0")
+    return F.concat_ws(" ", hour, F.when(F.hour(ts) < 12, "AM").otherwise("PM"))
 
 
 def chart_day(ts) -> Column:
-    return F.date_format(ts, "MMM dd")
+    """``Jan 05``"""
+    return F.date_format(F.to_date(ts), "MMM dd")
 
 
 def _c(value) -> Column:

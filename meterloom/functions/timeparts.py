@@ -27,6 +27,12 @@ def epoch_seconds(ts) -> Column:
     return hour_number(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
 
 
+def iso_text(ts) -> Column:
+    """``yyyy-MM-ddTHH:mm:ss`` of a clock time, with the fraction if it has one."""
+    col = F.col(ts) if isinstance(ts, str) else ts
+    return F.replace(col.cast("timestamp_ntz").cast("string"), F.lit(" "), F.lit("T"))
+
+
 def to_instant(ts) -> Column:
     """Clock time as a zoned instant (read as UTC), for watermarks; whole seconds."""
     return F.timestamp_seconds(epoch_seconds(ts))
@@ -58,7 +64,7 @@ def calendar_columns(ts: str, hourly: bool) -> dict[str, Column]:
     """Calendar features by name, for an hourly or a daily frame."""
     common = {
         "day_of_week": weekday(ts),
-        "day_name": F.date_format(ts, "EEEE"),
+        "day_name": F.date_format(F.to_date(ts), "EEEE"),
         "month": F.month(ts),
         "week_of_year": F.weekofyear(ts),
         "is_weekend": is_weekend(ts),

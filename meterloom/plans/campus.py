@@ -46,7 +46,7 @@ ENERGY_REGRESSORS = ["temperature_f", "is_weekend", "is_school_session"]
 
 def ingest_folder(spark: SparkSession, folder: str) -> Ingested:
     """Every file that can be read; the others are listed in ``errors``."""
-    return ingest({n: (lambda n=n: LOADERS[n](spark, f"{folder}/{f}")) for n, f in FILES.items()})
+    return ingest({n: (lambda n=n, f=f: LOADERS[n](spark, f"{folder}/{f}")) for n, f in FILES.items()})
 
 
 def _with_site(df: DataFrame) -> DataFrame:

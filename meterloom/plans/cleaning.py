@@ -9,11 +9,10 @@ from meterloom.operators import clean, recent, rollup
 from meterloom.operators.health import health_report
 from meterloom.plans.base import (
     CUTOFF, HOURLY_COLS, HOURLY_MEANS, HOURLY_SUMS, KEY, MEMBER, SQL_DAILY, SQL_GRID, SQL_HOURLY,
-    SQL_TRIPS, SQL_USAGE, SQL_WASTE, SQL_WASTE_GRID, USAGE_VALUES, WASTE_VALUES, daily, hourly, hourly_grid,
-    query, r, readings, rounded, rs, sql_fill, sql_spine, table, trips_observed, usage, waste,
-    waste_observed, with_, saved, days_of,
+    SQL_OBSERVED, SQL_TRIPS, SQL_USAGE, SQL_WASTE, SQL_WASTE_GRID, USAGE_VALUES, daily, hourly,
+    hourly_grid, hourly_observed, query, r, readings, rounded, rs, saved, sql_fill, sql_spine, table,
+    trips_observed, usage, waste, waste_observed, with_,
 )
-from meterloom.plans.base import SQL_OBSERVED
 from meterloom.session import scratch_path
 from meterloom.sources import csv_tables
 from meterloom.sources.ingest import ingest
@@ -23,29 +22,33 @@ from meterloom.sources.ingest import ingest
 
 @query(
     "scan_hourly",
-    f"""SELECT event_type AS building, count(*) AS row_count, {r('sum(value)', 2)} AS energy_kwh,
-               {r('avg(CAST(user_id AS DOUBLE))')} AS temperature_f, min(ts) AS first_ts, max(ts) AS last_ts
-        FROM events GROUP BY ALL""",
+    with_(
+        SQL_OBSERVED,
+        f"""SELECT series AS building, count(*) AS row_count, {r('sum(usage)', 2)} AS energy_kwh,
+                   {r('avg(level)')} AS temperature_f, {r('sum(readings)', 2)} AS occupancy,
+                   min(ts) AS first_ts, max(ts) AS last_ts FROM obs GROUP BY ALL""",
+    ),
 )
 def scan_hourly(spark, sf):
-    """Readings written as CSV and scanned back with the energy schema."""
+    """Hourly readings per building written as CSV and scanned back with the energy schema."""
     path = scratch_path(spark, "energy-csv")
-    rows = readings(spark, sf).select(
+    rows = hourly_observed(spark, sf).select(
         F.col("ts").alias("timestamp"),
         F.col("series").alias("building"),
-        F.col("value").alias("energy_kwh"),
+        F.col("usage").alias("energy_kwh"),
         F.col("level").alias("temperature_f"),
-        F.lit(1.0).alias("occupancy"),
+        F.col("readings").alias("occupancy"),
     )
     csv_tables.write_csv(rows, path)
     scanned = csv_tables.load_energy(spark, path).groupBy("building").agg(
         F.count(F.lit(1)).alias("row_count"),
         F.sum("energy_kwh").alias("energy_kwh"),
         F.avg("temperature_f").alias("temperature_f"),
+        F.sum("occupancy").alias("occupancy"),
         F.min("timestamp").alias("first_ts"),
         F.max("timestamp").alias("last_ts"),
     )
-    return rounded(scanned, {"energy_kwh": 2})
+    return rounded(scanned, {"energy_kwh": 2, "occupancy": 2})
 
 
 @query(
@@ -266,12 +269,14 @@ SQL_PROFILE = "SELECT '{n}' AS table_name, count(*) AS row_count, count(*) - cou
     ),
 )
 def health(spark, sf):
-    hours = saved(hourly(spark, sf), "hours")
+    grid = saved(hourly_grid(spark, sf).drop("is_observed"), "grid")
+    hours = clean.interpolate_linear(grid, KEY, "ts", ["usage"])
+    days = rollup.rollup(hours, KEY, "ts", "day", {"usage": "usage"}, out_ts="date")
     return health_report(
         [
-            (hourly_grid(spark, sf), "grid", "ts", "usage"),
+            (grid, "grid", "ts", "usage"),
             (hours, "hourly", "ts", "usage"),
-            (days_of(hours), "daily", "date", "usage"),
+            (days, "daily", "date", "usage"),
             (waste(spark, sf), "waste", "date", "total"),
             (usage(spark, sf), "usage", "date", "fuel"),
         ]

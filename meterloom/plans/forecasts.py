@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from meterloom.functions import text
+from meterloom.functions.timeparts import iso_text
 from meterloom.operators import forecast as ops
 from meterloom.operators.clean import split_train_test
 from meterloom.operators.windows import trailing
@@ -181,8 +182,8 @@ def chart_labels(spark, sf):
         "ts",
         text.chart_hour("ts").alias("hour_label"),
         text.chart_day("ts").alias("day_label"),
-        F.date_format("ts", "yyyy-MM-dd").alias("date_iso"),
-        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("ts_iso"),
+        F.to_date("ts").cast("string").alias("date_iso"),
+        iso_text("ts").alias("ts_iso"),
     )
 
 

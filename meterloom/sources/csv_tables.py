@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from meterloom import schemas
 from meterloom.functions.numeric import nan_to_null
+from meterloom.functions.timeparts import iso_text
 
 CORRUPT = "_corrupt"
 
@@ -51,8 +52,9 @@ def load_emission_factors(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
+    """CSV with a header; clock times as ISO text, whatever the session time zone."""
     stamps = {
-        f.name: F.date_format(f.name, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+        f.name: iso_text(f.name)
         for f in df.schema.fields
         if isinstance(f.dataType, T.TimestampNTZType)
     }
