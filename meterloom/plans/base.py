@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from meterloom.functions.numeric import tidy
 from meterloom.operators.clean import fill_forward_back, gapfill, interpolate_linear
 from meterloom.operators.rollup import resample, rollup
-from meterloom.session import scratch_path
+from meterloom.session import saved  # noqa: F401  (re-exported to the plans)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -62,18 +62,6 @@ def keyed(df: DataFrame, *keys: str) -> DataFrame:
     return df.filter(" and ".join(f"{k} is not null" for k in keys))
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the shared scratch folder and read from there.
-
-    For rolled-up tables that several branches of a plan read: the raw table is
-    scanned once, and a lost executor costs no recomputation.
-    """
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def readings(spark: SparkSession, sf: str) -> DataFrame:
     return keyed(table(spark, sf, "events"), "event_type").select(
         F.col("event_type").alias("series"),

@@ -7,7 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from meterloom import schemas
+from meterloom.functions.timeparts import day_start
 from meterloom.operators import alerts as ops
+from meterloom.session import saved
 from meterloom.sources.artifacts import path_exists
 
 
@@ -47,10 +49,19 @@ class AlertStore:
         return ops.current_state(self.alerts(resource), self.events())
 
     def add(self, found: DataFrame, created_at: Column, include_closed: bool = False) -> None:
-        """Append the alerts whose key is not stored."""
-        fresh = ops.new_only(found, self.state(), include_closed)
-        rows = ops.with_defaults(fresh, created_at).hint("rebalance", "resource")
-        rows.select(*[F.col(f.name).cast(f.dataType) for f in schemas.ALERTS.fields]).write.mode(
+        """Append the alerts whose key is not stored.
+
+        The found alerts are computed once and saved; their earliest day limits the
+        part of the store that is read, so the check does not grow with its age.
+        """
+        rows = saved(found, "found-alerts")
+        since = rows.agg(F.min("ts")).first()[0]
+        if since is None:
+            return
+        near = self.alerts().filter(F.col("ts") >= day_start(F.lit(since).cast("timestamp_ntz")))
+        fresh = ops.new_only(rows, ops.current_state(near, self.events()), include_closed)
+        fresh = ops.with_defaults(fresh, created_at).hint("rebalance", "resource")
+        fresh.select(*[F.col(f.name).cast(f.dataType) for f in schemas.ALERTS.fields]).write.mode(
             "append"
         ).partitionBy("resource").parquet(self._alerts)
 
