@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from meterloom.functions.numeric import clamp, safe_ratio
-from meterloom.functions.text import currency, decimal_text, percent_text, signed
+from meterloom.functions.text import currency, decimal_text, percent_text, signed, title_words
 from meterloom.operators.recent import latest_day, month_start, month_to_date, tail_per_series
 from meterloom.operators.windows import whole
 
@@ -136,6 +136,20 @@ def daily_stats(
     )
 
 
+def headline_text(stats: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Display strings of a ``daily_stats`` frame."""
+    number = lambda c: F.col(c).cast("string")
+    gallons = lambda share: decimal_text(F.col("water_today") * share / 1000, 0)
+    return stats.select(
+        *keys,
+        F.concat(number("energy_today"), F.lit(" kWh")).alias("today_usage"),
+        F.concat(gallons(1.0), F.lit("k Gal")).alias("daily_consumption"),
+        F.concat(gallons(RECLAIMED_SHARE), F.lit("k Gal")).alias("recycled_water"),
+        F.concat(number("waste_mtd_tons"), F.lit(" Tons")).alias("total_waste"),
+        F.concat(number("diversion_pct"), F.lit("%")).alias("diversion_rate"),
+    )
+
+
 def top_consumer(
     daily: DataFrame, keys: Sequence[str], member: str, date: str, col: str
 ) -> DataFrame:
@@ -178,6 +192,20 @@ def latest_spike(
     )
 
 
+def spike_text(spikes: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Location and details lines of the series that spike."""
+    return spikes.filter("is_spike = 1").select(
+        *keys,
+        title_words(F.concat_ws(" ", *keys)).alias("location"),
+        F.concat(F.lit("+"), decimal_text("excess_pct", 0), F.lit("% expected usage")).alias("details"),
+    )
+
+
+def flagged_sites(sites: DataFrame, spikes: DataFrame, key: str) -> DataFrame:
+    """Only the sites that have a spike."""
+    return sites.join(spikes.filter("is_spike = 1"), key, "left_semi")
+
+
 def site_status(sites: DataFrame, spikes: DataFrame, key: str) -> DataFrame:
     """Every site: critical if it has a high-severity spike, else normal."""
     flagged = spikes.filter("is_spike = 1").select(F.col(key), F.lit(1).alias("_hit")).distinct()
@@ -239,7 +267,8 @@ def sustainability_score(
         NEUTRAL_SCORE, subset=["energy_score", "water_score", "waste_score"]
     )
     total = sum((F.col(f"{n}_score") * w for n, w in WEIGHTS.items()), F.lit(0.0))
-    return scored.withColumn("score", total).withColumns(
+    weighted = {f"{n}_weighted": F.col(f"{n}_score") * w for n, w in WEIGHTS.items()}
+    return scored.withColumns({"score": total, **weighted}).withColumns(
         {"grade": grade("score"), "gauge_colour": gauge_colour("score")}
     )
 

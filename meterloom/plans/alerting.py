@@ -143,6 +143,21 @@ def detect_energy(spark, sf):
     return energy_alerts(hours_table(spark, sf))
 
 
+@query(
+    "detect_energy_in_range",
+    with_(
+        SQL_DAILY, SQL_PREDICTED,
+        "recent AS (SELECT * FROM predicted QUALIFY ts >= max(ts) OVER (PARTITION BY series) - INTERVAL 48 HOUR)",
+        sql_energy(None).replace("FROM predicted", "FROM recent"),
+        "SELECT * FROM energy_alerts",
+    ),
+)
+def detect_energy_in_range(spark, sf):
+    """The energy scan with its std taken inside the scan range only."""
+    predicted = predicted_hours(hours_table(spark, sf))
+    return detect.detect_energy(predicted, KEY, "ts", "energy_kwh", std_after_cut=True)
+
+
 @query("detect_water", with_(SQL_HOURLY, sql_water("48 HOUR"), "SELECT * FROM water_alerts"))
 def detect_water(spark, sf):
     return water_alerts(hourly(spark, sf))

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from meterloom.functions.numeric import safe_ratio
+from meterloom.functions.timeparts import hour_number
 from meterloom.operators import features as ops
 from meterloom.operators.clean import total_daily
-from meterloom.operators.windows import trailing
+from meterloom.operators.windows import in_time_blocks, trailing
 from meterloom.plans.base import (
     KEY, SQL_DAILY, SQL_HOURLY, SQL_USAGE, SQL_WASTE, USAGE_VALUES, daily, hourly, query, r, rounded, rs,
     sql_fill, trips_observed, waste, with_,
@@ -71,6 +72,18 @@ def lags_hourly(spark, sf):
     return rounded(rows.withColumns(ops.hourly_lag_columns(KEY, "ts", "usage")).drop("usage"))
 
 
+@query("lags_hourly_in_blocks", with_(SQL_HOURLY, f"SELECT series, ts, {SQL_HOURLY_LAGS} FROM hourly"))
+def lags_hourly_in_blocks(spark, sf):
+    """The same lags with every series cut into two-week blocks that run in parallel."""
+    rows = hourly(spark, sf).select("series", "ts", "usage", hour_number("ts").alias("slot"))
+
+    def lags(df, keys):
+        return df.withColumns(ops.hourly_lag_columns(keys, "ts", "usage"))
+
+    out = in_time_blocks(rows, KEY, "slot", lags, block=14 * 24, before=168)
+    return rounded(out.drop("usage", "slot"))
+
+
 @query("lags_daily", with_(SQL_WASTE, f"SELECT series, date, {sql_daily_lags('total')} FROM waste"))
 def lags_daily(spark, sf):
     rows = waste(spark, sf).select("series", "date", "total")

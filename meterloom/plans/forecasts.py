@@ -149,6 +149,18 @@ def hourly_disaggregation(spark, sf):
     return rounded(predicted_hours(hourly_usage(spark, sf)))
 
 
+@query(
+    "hourly_prediction_fallback",
+    with_(
+        SQL_HOURLY,
+        f"""SELECT series, ts, 'rolling_mean' AS method, {r('usage')} AS actual, {r('avg(usage) OVER (PARTITION BY series ORDER BY ts ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)')} AS predicted FROM hourly""",
+    ),
+)
+def hourly_prediction_fallback(spark, sf):
+    """Without a model or profile: the trailing 3-hour mean."""
+    return rounded(ops.disaggregate_hourly(hourly(spark, sf), None, None, KEY, "ts", "usage"))
+
+
 SQL_AVP = SQL_PREDICTED + """,
 avp AS (SELECT h.series, h.ts, h.usage AS actual, coalesce(p.predicted, avg(h.usage) OVER (
                  PARTITION BY h.series ORDER BY h.ts ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)) AS predicted,

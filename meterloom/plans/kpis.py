@@ -129,6 +129,24 @@ def daily_stats(spark, sf):
     )
 
 
+@query(
+    "headline_text",
+    with_(
+        SQL_USAGE, SQL_WASTE, SQL_DIVERSION_MTD,
+        """SELECT u.series, CAST(trunc(fuel) AS BIGINT) || ' kWh' AS today_usage, printf('%.0f', trunc(trips) / 1000) || 'k Gal' AS daily_consumption,
+                  printf('%.0f', trunc(trips) * 0.3 / 1000) || 'k Gal' AS recycled_water, waste_mtd_tons || ' Tons' AS total_waste,
+                  diversion_pct || '%' AS diversion_rate
+           FROM usage u LEFT JOIN diversion USING (series)
+           WHERE u.date = (SELECT max(date) FROM usage m WHERE m.series = u.series)""",
+    ),
+)
+def headline_text(spark, sf):
+    stats = kpi.daily_stats(
+        usage(spark, sf), waste(spark, sf), KEY, "date", "fuel", "trips", "total", "recycled"
+    )
+    return kpi.headline_text(stats, KEY)
+
+
 @query(
     "top_consumer",
     with_(
@@ -177,6 +195,29 @@ def building_latest_spike(spark, sf):
     return rounded(kpi.latest_spike(rows, KEY, "ts", "value", ["event_id"]))
 
 
+SQL_TAIL_SPIKE = """
+spent AS (SELECT o_orderpriority AS series, o_totalprice AS v, row_number() OVER (
+            PARTITION BY o_orderpriority ORDER BY o_orderdate DESC, o_orderkey DESC) AS age FROM orders),
+hit AS (SELECT series, avg(v) AS m, stddev_samp(v) AS s, max(v) FILTER (age = 1) AS x FROM spent WHERE age <= 100 GROUP BY ALL)"""
+
+
+@query(
+    "spike_text",
+    with_(
+        SQL_TAIL_SPIKE,
+        """SELECT series, series AS location, '+' || printf('%.0f', (x - m) / m * 100) || '% expected usage' AS details
+           FROM hit WHERE x > m + 0.25 * s""",
+    ),
+)
+def spike_text(spark, sf):
+    """Priorities whose latest order exceeds mean + 0.25 stds of their last 100, as text."""
+    rows = table(spark, sf, "orders").select(
+        F.col("o_orderpriority").alias("series"), F.col("o_orderdate").alias("ts"), "o_orderkey", "o_totalprice"
+    )
+    spikes = kpi.latest_spike(rows, KEY, "ts", "o_totalprice", ["o_orderkey"], sigmas=0.25)
+    return kpi.spike_text(spikes, KEY).withColumn("location", F.upper("location"))
+
+
 def site_waste(spark, sf):
     """Waste per site (nation) and day.
 
@@ -231,6 +272,24 @@ def site_status(spark, sf):
     return kpi.site_status(sites(spark, sf), spikes, "site_id")
 
 
+@query(
+    "sites_flagged",
+    with_(
+        SQL_SITE_WASTE,
+        "aged AS (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY date DESC) AS age FROM site_days)",
+        """st AS (SELECT site_id, avg(total) AS m, stddev_samp(total) AS s, max(total) FILTER (age = 1) AS x
+                  FROM aged WHERE age <= 100 GROUP BY ALL)""",
+        """SELECT n_nationkey AS site_id, n_name AS site FROM nation
+           WHERE n_nationkey IN (SELECT site_id FROM st WHERE x > m + 0.5 * s)""",
+    ),
+)
+def sites_flagged(spark, sf):
+    """The sites whose latest day exceeds mean + 0.5 stds, without the others."""
+    days = site_waste(spark, sf).select("site_id", "date", "total")
+    spikes = kpi.latest_spike(days, ["site_id"], "date", "total", [], sigmas=0.5)
+    return kpi.flagged_sites(sites(spark, sf), spikes, "site_id")
+
+
 # ---------------------------------------------------------------- emissions and scenarios
 
 MEASURES = {
@@ -333,6 +392,8 @@ def scenario_grid(spark, sf):
                     coalesce(waste_score, 75) AS waste_score FROM up LEFT JOIN ws USING (series))""",
         "tot AS (SELECT *, energy_score * 0.4::DOUBLE + water_score * 0.3::DOUBLE + waste_score * 0.3::DOUBLE AS score FROM sc)",
         f"""SELECT series, energy_score, water_score, waste_score, {r('score', 1)} AS score,
+                   {r('energy_score * 0.4::DOUBLE', 1)} AS energy_weighted, {r('water_score * 0.3::DOUBLE', 1)} AS water_weighted,
+                   {r('waste_score * 0.3::DOUBLE', 1)} AS waste_weighted,
                    CASE WHEN score >= 90 THEN 'A' WHEN score >= 80 THEN 'B+' WHEN score >= 70 THEN 'B'
                         WHEN score >= 60 THEN 'C+' ELSE 'C' END AS grade,
                    CASE WHEN score < 50 THEN '#DC3545' WHEN score < 75 THEN '#FFC107' ELSE '#28A745' END AS gauge_colour

@@ -23,7 +23,7 @@ def duck(sf: str) -> duckdb.DuckDBPyConnection:
 
 def _norm(v):
     if isinstance(v, float):
-        return "nan" if math.isnan(v) else repr(v + 0.0)
+        return "nan" if math.isnan(v) else repr(v)
     return repr(v)
 
 
