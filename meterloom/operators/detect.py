@@ -45,11 +45,12 @@ def to_alerts(
         "method",
     ).filter(F.col("severity").isNotNull())
     kind = alert_type("resource", "residual") if kind is None else kind
-    named = rows.withColumn("alert_type", kind)
-    for c in ("actual", "predicted", "residual", "sigma"):
-        named = named.withColumn(c, tidy(c, 2))
-    keyed = named.withColumn("alert_id", alert_id(dedup_key("resource", "metric", "series", "ts")))
-    return keyed.select(*ALERT_COLUMNS)
+    made = {
+        "alert_id": alert_id(dedup_key("resource", "metric", "series", "ts")),
+        "alert_type": kind,
+        **{c: tidy(c, 2) for c in ("actual", "predicted", "residual", "sigma")},
+    }
+    return rows.select(*[made[c].alias(c) if c in made else F.col(c) for c in ALERT_COLUMNS])
 
 
 def detect_energy(

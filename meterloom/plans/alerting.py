@@ -68,8 +68,13 @@ def stored_alerts(spark, sf):
 
 
 def as_stored(found):
-    """Found alerts as a table: created an hour after the reading, status by hour."""
-    state = F.element_at(F.array(F.lit("active"), F.lit("acknowledged"), F.lit("resolved")), F.hour("ts") % 3 + 1)
+    """Found alerts as a table, created an hour after the reading.
+
+    Those of the night are still active, those of the day shift acknowledged, those
+    of the late shift resolved.
+    """
+    hour = F.hour("ts")
+    state = F.when(hour < 8, "active").when(hour < 16, "acknowledged").otherwise("resolved")
     created = F.col("ts") + F.expr("interval 1 hour")
     return ops.with_defaults(found.withColumn("status", state), created)
 
@@ -171,7 +176,7 @@ def detect_waste(spark, sf):
 SQL_ALL = ", ".join([SQL_DAILY, SQL_WASTE, SQL_PREDICTED, sql_energy(None), sql_water(None), sql_waste(None)]) + """,
 found AS (SELECT * FROM energy_alerts UNION ALL SELECT * FROM water_alerts UNION ALL SELECT * FROM waste_alerts)"""
 SQL_STORED = SQL_ALL + """,
-stored AS (SELECT *, CASE hour(ts) % 3 WHEN 0 THEN 'active' WHEN 1 THEN 'acknowledged' ELSE 'resolved' END AS status,
+stored AS (SELECT *, CASE WHEN hour(ts) < 8 THEN 'active' WHEN hour(ts) < 16 THEN 'acknowledged' ELSE 'resolved' END AS status,
                   ts + INTERVAL 1 HOUR AS created_at FROM found)"""
 SQL_RANK = "CASE severity WHEN 'critical' THEN 1 WHEN 'high' THEN 2 WHEN 'medium' THEN 3 ELSE 4 END"
 
@@ -460,8 +465,8 @@ def alert_append(spark, sf):
     "alert_state",
     with_(
         SQL_ALL,
-        """SELECT alert_id, CASE WHEN h % 3 = 2 OR h % 6 = 1 THEN 'resolved' WHEN h % 3 = 1 THEN 'acknowledged' ELSE 'active' END AS status,
-                  CASE WHEN h % 3 = 2 OR h % 6 = 1 THEN ts + INTERVAL 2 HOUR END AS resolved_at FROM (SELECT *, hour(ts) AS h FROM found)""",
+        """SELECT alert_id, CASE WHEN h >= 12 THEN 'resolved' WHEN h >= 8 THEN 'acknowledged' ELSE 'active' END AS status,
+                  CASE WHEN h >= 12 THEN ts + INTERVAL 2 HOUR END AS resolved_at FROM (SELECT *, hour(ts) AS h FROM found)""",
     ),
 )
 def alert_state(spark, sf):
@@ -474,10 +479,10 @@ def alert_state(spark, sf):
         at = F.col("ts") + F.expr(f"interval {hours} hours")
         return stored.filter(which).select("alert_id", at.alias("at"))
 
-    store.acknowledge(requests(hour % 3 == 1, 1))
-    store.resolve(requests((hour % 3 == 2) | (hour % 6 == 1), 2))
-    store.acknowledge(requests(hour % 3 == 2, 3))
-    store.resolve(requests(hour % 6 == 1, 4))
+    store.acknowledge(requests((hour >= 8) & (hour < 16), 1))
+    store.resolve(requests(hour >= 12, 2))  # acknowledged and active ones
+    store.acknowledge(requests(hour >= 16, 3))  # already resolved
+    store.resolve(requests(hour >= 12, 4))  # already resolved
     return store.state().select("alert_id", "status", "resolved_at")
 
 
