@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from meterloom.functions.numeric import tidy
 from meterloom.functions.severity import alert_id, alert_type, dedup_key, severity_tier
-from meterloom.operators.features import backfill_std, rolling_stat
-from meterloom.operators.recent import trailing_range
+from meterloom.operators.features import backfill_std, rolling_stats
+from meterloom.operators.recent import tail_per_series, trailing_range
 from meterloom.operators.windows import ordered, whole
 
 # Rolling windows, minimum counts and scan ranges.
@@ -53,6 +53,17 @@ def to_alerts(
     return rows.select(*[made[c].alias(c) if c in made else F.col(c) for c in ALERT_COLUMNS])
 
 
+def with_lookback(df: DataFrame, keys: Sequence[str], ts: str, scan: int | None, rows: int) -> DataFrame:
+    """The rows a scan of the last ``scan`` slots needs: its own and the frame before it.
+
+    A series has at most one row per slot, so ``scan + 1`` rows cover the range, gaps
+    or not, and the rolling statistics inside it come out as over the whole history.
+    """
+    if scan is None:
+        return df
+    return tail_per_series(df, keys, ts, scan + 1 + rows).drop("age")
+
+
 def detect_energy(
     predictions: DataFrame,
     keys: Sequence[str],
@@ -69,8 +80,11 @@ def detect_energy(
     rows = predictions.withColumn("residual", F.col("actual") - F.col("predicted"))
     if std_after_cut and scan_hours is not None:
         rows = trailing_range(rows, keys, ts, f"{scan_hours} hours")
-    std = rolling_stat(F.stddev_samp, "residual", keys, ts, HOURLY_ROWS, HOURLY_MIN)
-    rows = backfill_std(rows.withColumn("_std", std), keys, ts, "_std", series_col="residual")
+    rows = rows.withColumn("_all_std", F.stddev_samp("residual").over(whole(keys)))
+    if not std_after_cut:
+        rows = with_lookback(rows, keys, ts, scan_hours, HOURLY_ROWS)
+    rows = rolling_stats(rows, keys, ts, "residual", HOURLY_ROWS, HOURLY_MIN, std="_std")
+    rows = backfill_std(rows, keys, ts, "_std").withColumn("_std", F.coalesce("_std", "_all_std"))
     if not std_after_cut and scan_hours is not None:
         rows = trailing_range(rows, keys, ts, f"{scan_hours} hours")
     scored = rows.withColumn("sigma", sigma_of(F.col("residual"), F.col("_std")))
@@ -94,15 +108,11 @@ def detect_water(
     unpivoted first, so all of them share one shuffle and one sort.
     """
     pairs = ", ".join(f"'{c}', cast(`{c}` as double)" for c in metrics)
-    long = df.select(*keys, ts, F.expr(f"stack({len(metrics)}, {pairs}) as (metric, actual)"))
+    near = with_lookback(df, keys, ts, scan_hours, HOURLY_ROWS)
+    long = near.select(*keys, ts, F.expr(f"stack({len(metrics)}, {pairs}) as (metric, actual)"))
     by = [*keys, "metric"]
-    std = rolling_stat(F.stddev_samp, "actual", by, ts, HOURLY_ROWS, HOURLY_MIN)
-    rows = long.withColumns(
-        {
-            "predicted": rolling_stat(F.avg, "actual", by, ts, HOURLY_ROWS, HOURLY_MIN),
-            "_std": F.nullif(std, F.lit(0.0)),
-        }
-    )
+    rows = rolling_stats(long, by, ts, "actual", HOURLY_ROWS, HOURLY_MIN, "predicted", "_std")
+    rows = rows.withColumn("_std", F.nullif("_std", F.lit(0.0)))
     rows = backfill_std(rows, by, ts, "_std").withColumn(
         "residual", F.col("actual") - F.col("predicted")
     )
@@ -126,8 +136,9 @@ def detect_waste(
     scan_days: int | None = SCAN_DAYS,
 ) -> DataFrame:
     """Daily residuals against the prediction, in stds of the series' last two weeks."""
-    std = rolling_stat(F.stddev_samp, "actual", keys, date, DAILY_ROWS, DAILY_MIN)
-    rows = predictions.withColumn("_std", F.nullif(std, F.lit(0.0)))
+    rows = with_lookback(predictions, keys, date, scan_days, DAILY_ROWS)
+    rows = rolling_stats(rows, keys, date, "actual", DAILY_ROWS, DAILY_MIN, std="_std")
+    rows = rows.withColumn("_std", F.nullif("_std", F.lit(0.0)))
     rows = backfill_std(rows, keys, date, "_std").withColumn(
         "residual", F.col("actual") - F.greatest(F.col("predicted"), F.lit(0.0))
     )

@@ -91,22 +91,27 @@ def waste_features(
     return out.withColumn("diversion_rate", safe_ratio(recycled, total))
 
 
-def rolling_stat(stat, col: str, keys: Sequence[str], ts: str, rows: int, at_least: int) -> Column:
-    """A trailing aggregate, NULL until ``at_least`` values are in the frame."""
-    frame = trailing(keys, ts, rows)
-    return F.when(F.count(col).over(frame) >= at_least, stat(col).over(frame))
-
-
 def rolling_stats(
-    df: DataFrame, keys: Sequence[str], ts: str, col: str, rows: int, at_least: int
+    df: DataFrame,
+    keys: Sequence[str],
+    ts: str,
+    col: str,
+    rows: int,
+    at_least: int,
+    mean: str | None = None,
+    std: str | None = None,
 ) -> DataFrame:
-    """Trailing ``{col}_mean`` and ``{col}_std``."""
-    return df.withColumns(
-        {
-            f"{col}_mean": rolling_stat(F.avg, col, keys, ts, rows, at_least),
-            f"{col}_std": rolling_stat(F.stddev_samp, col, keys, ts, rows, at_least),
-        }
-    )
+    """Trailing mean and std as the columns named, NULL until ``at_least`` values are there.
+
+    A sliding frame is summed anew for every row, so the count is taken once for both
+    and a statistic without a name is not computed.
+    """
+    frame = trailing(keys, ts, rows)
+    stats = {mean: F.avg(col).over(frame), std: F.stddev_samp(col).over(frame)}
+    wanted = {name: stat for name, stat in stats.items() if name}
+    found = df.withColumns({"_n": F.count(col).over(frame), **wanted})
+    enough = F.col("_n") >= at_least
+    return found.withColumns({name: F.when(enough, F.col(name)) for name in wanted}).drop("_n")
 
 
 def backfill_std(

@@ -207,7 +207,7 @@ def severity_tiers(spark, sf):
     from meterloom.operators.features import backfill_std
 
     rows = hourly(spark, sf).select("series", "ts", "usage")
-    rows = rolling_stats(rows, KEY, "ts", "usage", detect.HOURLY_ROWS, detect.HOURLY_MIN)
+    rows = rolling_stats(rows, KEY, "ts", "usage", detect.HOURLY_ROWS, detect.HOURLY_MIN, "usage_mean", "usage_std")
     rows = backfill_std(rows, KEY, "ts", "usage_std", series_col="usage")
     residual = F.col("usage") - F.col("usage_mean")
     scored = rows.withColumn("sigma", detect.sigma_of(residual, F.col("usage_std")))

@@ -135,7 +135,7 @@ rfill AS (SELECT *, coalesce(
 )
 def rolling_stats_min_periods(spark, sf):
     rows = hourly(spark, sf).select("series", "ts", "usage")
-    stats = ops.rolling_stats(rows, KEY, "ts", "usage", 168, 12)
+    stats = ops.rolling_stats(rows, KEY, "ts", "usage", 168, 12, "usage_mean", "usage_std")
     filled = ops.backfill_std(stats, KEY, "ts", "usage_std", series_col="usage")
     return rounded(filled.drop("usage"))
 

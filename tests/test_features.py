@@ -52,7 +52,7 @@ def test_centered_mean(frame, series, rows):
 
 
 def test_rolling_std_with_minimum_count_and_backfill(frame, series):
-    out = features.rolling_stats(frame, ["series"], "ts", "v", 168, 12)
+    out = features.rolling_stats(frame, ["series"], "ts", "v", 168, 12, "v_mean", "v_std")
     filled = features.backfill_std(out, ["series"], "ts", "v_std", series_col="v")
     np.testing.assert_allclose(column(filled, "v_std"), series.v.rolling(168, min_periods=12).std().bfill())
 
@@ -60,7 +60,7 @@ def test_rolling_std_with_minimum_count_and_backfill(frame, series):
 @pytest.mark.parametrize("rows, known", [(11, False), (12, True)])
 def test_short_series_falls_back_to_its_own_std(frame, rows, known):
     short = frame.filter(hour_number("ts") < hour_number(F.lit("2024-01-01").cast("timestamp_ntz")) + rows)
-    out = features.rolling_stats(short, ["series"], "ts", "v", 168, 12)
+    out = features.rolling_stats(short, ["series"], "ts", "v", 168, 12, "v_mean", "v_std")
     assert (out.filter("v_std is not null").count() > 0) == known
     assert features.backfill_std(out, ["series"], "ts", "v_std", series_col="v").filter("v_std is null").count() == 0
 
@@ -74,7 +74,7 @@ def test_constant_series_raises_no_alert(spark):
 def test_time_blocks_equal_the_unsplit_windows(frame):
     def lagged(df, keys):
         cols = features.hourly_lag_columns(keys, "ts", "v") | {"smooth": features.smooth(keys, "ts", "v", 7)}
-        return features.rolling_stats(df.withColumns(cols), keys, "ts", "v", 168, 12)
+        return features.rolling_stats(df.withColumns(cols), keys, "ts", "v", 168, 12, "v_mean", "v_std")
 
     whole = lagged(frame, ["series"])
     slotted = frame.withColumn("slot", hour_number("ts"))
