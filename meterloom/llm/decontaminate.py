@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from meterloom.llm.common import checkpointed, ship, text_rows, words_of
+from meterloom.llm.common import checkpointed, ship, text_rows, unused, words_of
 
 ship(__name__)
 
@@ -269,8 +269,9 @@ def judged(found: DataFrame, share: int = 20) -> DataFrame:
 def without_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the contaminated rows; rows of one id are judged by their own texts."""
     key = F.struct(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("row"))
-    keyed = docs.withColumn("__key", key)
-    index = build_index(keyed, id_col="__key", text_col=text_col)
-    bad = judged(search(index, items)).filter("contaminated").select(F.col("doc_id").alias("__bad")).distinct()
-    same = keyed["__key"]["id"].eqNullSafe(bad["__bad"]["id"]) & (keyed["__key"]["row"] == bad["__bad"]["row"])
+    name = unused(docs, "__key")
+    keyed = docs.withColumn(name, key)
+    index = build_index(keyed, id_col=name, text_col=text_col)
+    bad = judged(search(index, items)).filter("contaminated").select(F.col("doc_id").alias("bad")).distinct()
+    same = keyed[name]["id"].eqNullSafe(bad["bad"]["id"]) & (keyed[name]["row"] == bad["bad"]["row"])
     return keyed.join(bad, same, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

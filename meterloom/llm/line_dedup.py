@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
-from meterloom.llm.common import checkpointed, ship, text_rows
+from meterloom.llm.common import checkpointed, ship, text_rows, unused
 
 ship(__name__)
 
@@ -233,16 +233,15 @@ def dedupe_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Null and empty texts and blank lines stay. ``drop_emptied`` leaves out texts that had
     words and have none left: they only repeated earlier ones.
     """
+    own, its_id, its_row, lines = (unused(docs, n) for n in ("__own", "__id", "__row", "__gone"))
     gone = repeated_lines(docs, id_col, text_col).select(
-        F.col("doc_id").alias("__id"), F.col("row").alias("__row"), F.array_union("exact", "near").alias("__gone")
+        F.col("doc_id").alias(its_id), F.col("row").alias(its_row), F.array_union("exact", "near").alias(lines)
     )
     text = F.col(f"`{text_col}`")
-    keyed = docs.select("*", F.xxhash64(F.coalesce(text, F.lit(""))).alias("__own"))
-    joined = keyed.join(gone, keyed[id_col].eqNullSafe(gone["__id"]) & (keyed["__own"] == gone["__row"]), "left")
-    kept = F.array_join(
-        F.filter(F.split(text, "\n", -1), lambda _, i: ~F.array_contains(F.col("__gone"), i)), "\n"
-    )
-    changed = joined.withColumn(text_col, F.when(F.col("__gone").isNull(), text).otherwise(kept))
+    keyed = docs.select("*", F.xxhash64(F.coalesce(text, F.lit(""))).alias(own))
+    joined = keyed.join(gone, keyed[id_col].eqNullSafe(gone[its_id]) & (keyed[own] == gone[its_row]), "left")
+    kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda _, i: ~F.array_contains(F.col(lines), i)), "\n")
+    changed = joined.withColumn(text_col, F.when(F.col(lines).isNull(), text).otherwise(kept))
     if drop_emptied:
-        changed = changed.filter(F.col("__gone").isNull() | text.rlike(r"\S"))
+        changed = changed.filter(F.col(lines).isNull() | text.rlike(r"\S"))
     return changed.select(*[F.col(f"`{c}`") for c in docs.columns])

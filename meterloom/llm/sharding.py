@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from meterloom.llm.common import checkpointed
+from meterloom.llm.common import checkpointed, unused
 
 WORD = 60  # bits of a hash word
 #: Directory bits that one pass may look below the depth an even spread would need.
@@ -31,7 +31,8 @@ def bit_text(prefix: Column, depth: Column) -> Column:
 def extendible_shards(
     docs: DataFrame, limit: int, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()
 ) -> DataFrame:
-    """(doc_id, n_bytes, shard, depth, shard_bytes, shard_rows) and the columns in ``keep``, for every row.
+    """(doc_id, n_bytes, shard, depth, shard_bytes, shard_rows) for every row, and with ``keep`` those
+    columns in a struct ``kept``.
 
     ``shard`` is the bucket's hash prefix as bits, ``depth`` their number. A bucket of at
     most ``limit`` bytes stays whole; a larger one splits on its next bit. A row alone in
@@ -44,10 +45,12 @@ def extendible_shards(
     """
     if limit < 1:
         raise ValueError("a shard needs a limit of a byte or more")
+    kept = [F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept")] if keep else []
+    carried = ["kept"] if keep else []
     rows = docs.select(
         F.col(f"`{id_col}`").alias("doc_id"),
         F.coalesce(F.octet_length(F.col(f"`{text_col}`")), F.lit(0)).cast("long").alias("n_bytes"),
-        *[F.col(f"`{c}`") for c in keep],
+        *kept,
         F.array(
             id_word(f"`{id_col}`"),
             F.shiftrightunsigned(F.xxhash64(f"`{text_col}`"), 64 - WORD),
@@ -77,7 +80,7 @@ def extendible_shards(
         shard = F.concat("__path", bit_text(F.col("leaf.prefix"), F.col("leaf.d")))
         done.append(
             placed.filter("leaf IS NOT NULL").select(
-                "doc_id", "n_bytes", *[f"`{c}`" for c in keep], shard.alias("shard"),
+                "doc_id", "n_bytes", *carried, shard.alias("shard"),
                 F.length(shard).cast("long").alias("depth"), "leaf.shard_bytes", "leaf.shard_rows",
             )
         )
@@ -86,7 +89,7 @@ def extendible_shards(
         if word == 3 or left.isEmpty():
             break
         rows = placed.filter("leaf IS NULL").select(
-            "doc_id", "n_bytes", *[f"`{c}`" for c in keep], "__words",
+            "doc_id", "n_bytes", *carried, "__words",
             F.concat("__path", bit_text(F.col("__cell"), F.lit(bits))).alias("__path"),
         )
         step = min(MOST_BITS, SPARE + 6)
@@ -98,12 +101,9 @@ def extendible_shards(
 
 def write_shards(docs: DataFrame, limit: int, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Documents written as Parquet under ``path``, a folder for each shard."""
-    others = tuple(c for c in docs.columns if c != id_col)
-    placed = extendible_shards(docs, limit, id_col, text_col, keep=others)
-    (
-        placed.select(F.col("doc_id").alias(id_col), *[f"`{c}`" for c in others], "shard")
-        .repartition("shard").write.partitionBy("shard").parquet(path)
-    )
+    folder = unused(docs, "shard")
+    placed = extendible_shards(docs, limit, id_col, text_col, keep=tuple(docs.columns))
+    placed.select("kept.*", F.col("shard").alias(folder)).repartition(folder).write.partitionBy(folder).parquet(path)
 
 
 #: The same buckets by prefix sums over every depth; ids are taken to be different.

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from meterloom.llm.common import checkpointed, components, ship, text_rows
+from meterloom.llm.common import checkpointed, components, ship, text_rows, unused
 
 ship(__name__)
 
@@ -129,24 +129,25 @@ def one_of_each(docs: DataFrame, radius: int = 2, id_col: str = "doc_id", text_c
     """``docs`` with one row of each group: the smallest doc_id, of equal ids the smallest hash of the
     text, of equal rows any. Rows without doc_id come first. All columns stay."""
     key = F.struct(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("row"))
-    keyed = docs.withColumn("__key", key)
-    found = checkpointed(simhashes(keyed, id_col="__key", text_col=text_col))
+    name = unused(docs, "__key")
+    keyed = docs.withColumn(name, key)
+    found = checkpointed(simhashes(keyed, id_col=name, text_col=text_col))
     prints = checkpointed(found.groupBy("fingerprint").agg(F.min("doc_id").alias("first")))
     linked = components(near_links(prints.select("fingerprint"), radius))
     kept = (
         prints.join(linked, prints["fingerprint"] == linked["node"], "left")
-        .groupBy(F.coalesce("component", "fingerprint").alias("c")).agg(F.min("first").alias("__kept")).select("__kept")
+        .groupBy(F.coalesce("component", "fingerprint").alias("c")).agg(F.min("first").alias("kept")).select("kept")
     )
     # Kept rows that came more than once; only these move again.
-    repeated = found.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("__kept"), F.lit(True).alias("__more"))
-    marked = checkpointed(kept.join(repeated, kept["__kept"].eqNullSafe(repeated["__kept"]), "left").select(kept["__kept"], "__more"))
-    same = lambda k: keyed["__key"]["id"].eqNullSafe(k["__kept"]["id"]) & (keyed["__key"]["row"] == k["__kept"]["row"])
-    single, more = marked.filter("__more IS NULL"), marked.filter("__more")
+    repeated = found.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("kept"), F.lit(True).alias("more"))
+    marked = checkpointed(kept.join(repeated, kept["kept"].eqNullSafe(repeated["kept"]), "left").select(kept["kept"], "more"))
+    same = lambda k: keyed[name]["id"].eqNullSafe(k["kept"]["id"]) & (keyed[name]["row"] == k["kept"]["row"])
+    single, more = marked.filter("more IS NULL"), marked.filter("more")
     columns = [F.col(f"`{c}`") for c in docs.columns]
     once = keyed.join(single, same(single), "left_semi").select(*columns)
     if more.isEmpty():
         return once
-    return once.unionByName(keyed.join(more, same(more), "left_semi").dropDuplicates(["__key"]).select(*columns))
+    return once.unionByName(keyed.join(more, same(more), "left_semi").dropDuplicates([name]).select(*columns))
 
 
 def as_hex(fingerprint: str = "fingerprint"):
