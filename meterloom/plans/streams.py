@@ -11,51 +11,54 @@ from meterloom.session import scratch_path
 from meterloom.sources.alert_store import AlertStore
 from meterloom.streaming import jobs
 
+MAX_FILES = 100
 
-def reading_stream(spark, sf):
+
+def reading_stream(spark, sf, max_files=MAX_FILES):
     schema = table(spark, sf, "events").schema
-    events = jobs.read_readings(spark, sf, schema, "events.parquet")
-    return events.select(
+    events = jobs.read_readings(spark, f"{sf}/events.parquet", schema, max_files)
+    return events.filter("event_type IS NOT NULL").select(
         F.col("event_type").alias("series"), "ts", "value", F.col("user_id").cast("double").alias("level")
     )
 
 
 @query("stream_rollup_hourly", with_(SQL_OBSERVED, f"SELECT series, ts, {rs('usage', 'level', 'readings')} FROM obs"))
-def stream_rollup_hourly(spark, sf):
+def stream_rollup_hourly(spark, sf, max_files=MAX_FILES):
     root = scratch_path(spark, "stream-rollup")
-    measures = [
-        F.sum("value").alias("usage"),
-        F.avg("level").alias("level"),
-        F.count(F.lit(1)).cast("double").alias("readings"),
-    ]
-    jobs.hourly_rollup(reading_stream(spark, sf), KEY, "ts", measures, f"{root}/hours", f"{root}/checkpoint")
-    return rounded(jobs.read_rollup(spark, f"{root}/hours", KEY, "ts"))
+    cols = ["value", "level"]
+    jobs.hourly_rollup(reading_stream(spark, sf, max_files), KEY, "ts", cols, f"{root}/hours", f"{root}/checkpoint")
+    hours = jobs.read_rollup(spark, f"{root}/hours", KEY, "ts", cols)
+    return rounded(
+        hours.select(
+            "series", "ts", F.col("value_sum").alias("usage"), F.col("level_mean").alias("level"),
+            F.col("rows").cast("double").alias("readings"),
+        )
+    )
 
 
 @query("stream_alert_dedup", "SELECT DISTINCT event_type AS series, date_trunc('hour', ts) AS bucket FROM events")
-def stream_alert_dedup(spark, sf):
+def stream_alert_dedup(spark, sf, max_files=MAX_FILES):
     root = scratch_path(spark, "stream-dedup")
-    jobs.first_per_bucket(reading_stream(spark, sf), KEY, "ts", f"{root}/keys", f"{root}/checkpoint")
-    return spark.read.parquet(f"{root}/keys")
+    jobs.first_per_bucket(reading_stream(spark, sf, max_files), KEY, "ts", f"{root}/keys", f"{root}/checkpoint")
+    return jobs.read_buckets(spark, f"{root}/keys")
 
 
 @query(
     "stream_scan_alerts",
-    with_(SQL_HOURLY, sql_water("48 HOUR"), "SELECT alert_id, series, ts, metric, severity, sigma, 'active' AS status FROM water_alerts"),
+    with_(SQL_HOURLY, sql_water(None), "SELECT alert_id, series, ts, metric, severity, sigma, 'active' AS status FROM water_alerts"),
 )
-def stream_scan_alerts(spark, sf):
-    """The water detector after every batch, run twice on the same input."""
+def stream_scan_alerts(spark, sf, max_files=MAX_FILES):
+    """The water detector over all hours that the stream brought, run twice on the same input."""
     root = scratch_path(spark, "stream-scan")
     store = AlertStore(spark, f"{root}/store")
-
-    measures = {"water_gallons": F.col("value"), "pressure_psi": F.col("level") / F.col("n")}
+    measures = {"water_gallons": F.col("value_sum"), "pressure_psi": F.col("level_mean")}
 
     def detector(hours):
-        return detect.detect_water(hours, KEY, "ts", WATER_ROLES)
+        return detect.detect_water(hours, KEY, "ts", WATER_ROLES, None)
 
-    for attempt in ("first", "again"):
+    for _ in range(2):
         jobs.scan_into_store(
-            reading_stream(spark, sf), KEY, "ts", ["value", "level"], measures, detector, f"{root}/history", store,
-            f"{root}/checkpoint-{attempt}", now(),
+            reading_stream(spark, sf, max_files), KEY, "ts", ["value", "level"], measures, detector, f"{root}/history",
+            store, f"{root}/checkpoint", now(),
         )
     return store.state().select("alert_id", "series", "ts", "metric", "severity", "sigma", "status")

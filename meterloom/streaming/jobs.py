@@ -2,36 +2,40 @@
 
 Every job takes a streaming frame of readings, a target folder and a checkpoint
 folder, and runs with ``availableNow`` until its input is used up; started again with
-the same checkpoint it takes up where it stopped.
+the same checkpoint it takes up where it stopped. A target belongs to one checkpoint.
+
+No job keeps watermarked state: a batch appends what it adds, in a folder named by its
+number, and readers merge. So no reading is late, files may come in any order and any
+number a batch, and a repeated batch replaces its own folder only.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from meterloom.functions.timeparts import floor_hour, from_instant, to_instant
+from meterloom.functions.timeparts import floor_hour
 from meterloom.operators.clean import gapfill, interpolate_linear
-from meterloom.operators.detect import HOURLY_ROWS, SCAN_HOURS
+from meterloom.operators.detect import HOURLY_ROWS
+from meterloom.session import saved
 from meterloom.sources.alert_store import AlertStore
+from meterloom.sources.artifacts import path_exists
 
-LATENESS = "2 hours"
 
+def read_readings(spark: SparkSession, table: str, schema: T.StructType, max_files: int = 100) -> DataFrame:
+    """A table of readings, one Parquet file or a folder of part files, as a stream.
 
-def read_readings(spark: SparkSession, folder: str, schema: T.StructType, glob: str, max_files: int = 100) -> DataFrame:
-    """Files of readings as a stream."""
-    return (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", glob)
-        .option("maxFilesPerTrigger", max_files)
-        .parquet(folder)
-    )
+    The last letter is a glob of one letter: a stream takes a glob that names a file,
+    but not the file itself.
+    """
+    name = table.rstrip("/")
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(f"{name[:-1]}[{name[-1]}]")
 
 
-def _run(frame: DataFrame, checkpoint: str, mode: str, each: Callable[[DataFrame, int], None]) -> None:
+def _run(frame: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None]) -> None:
     query = (
-        frame.writeStream.outputMode(mode)
+        frame.writeStream.outputMode("append")
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .foreachBatch(each)
@@ -40,50 +44,75 @@ def _run(frame: DataFrame, checkpoint: str, mode: str, each: Callable[[DataFrame
     query.awaitTermination()
 
 
+def _partials(batch: DataFrame, keys: Sequence[str], ts: str, cols: Sequence[str]) -> DataFrame:
+    """Per hour: rows, and sum and number of the known values of each column."""
+    parts = [a for c in cols for a in (F.sum(c).alias(f"{c}_sum"), F.count(c).alias(f"{c}_n"))]
+    return batch.groupBy(*keys, floor_hour(ts).alias(ts)).agg(F.count(F.lit(1)).alias("rows"), *parts)
+
+
+def _write(rows: DataFrame, target: str, number: int) -> None:
+    rows.hint("rebalance", "date").write.mode("overwrite").partitionBy("date").parquet(f"{target}/batch={number}")
+
+
+def _stored(spark: SparkSession, target: str) -> DataFrame | None:
+    if not path_exists(spark, target):
+        return None
+    return spark.read.option("basePath", target).parquet(f"{target}/batch=*")
+
+
+def _merged(partials: DataFrame, keys: Sequence[str], ts: str, cols: Sequence[str]) -> DataFrame:
+    total = partials.groupBy(*keys, ts).agg(
+        *[F.sum(c).alias(c) for c in ("rows", *(f"{c}_{k}" for c in cols for k in ("sum", "n")))]
+    )
+    means = [(F.col(f"{c}_sum") / F.nullif(f"{c}_n", F.lit(0))).alias(f"{c}_mean") for c in cols]
+    return total.select(*keys, ts, "rows", *[f"{c}_sum" for c in cols], *means)
+
+
 def hourly_rollup(
-    readings: DataFrame, keys: Sequence[str], ts: str, aggregates: Sequence[Column], target: str, checkpoint: str,
-    lateness: str = LATENESS,
+    readings: DataFrame, keys: Sequence[str], ts: str, cols: Sequence[str], target: str, checkpoint: str
 ) -> None:
-    """Tumbling one-hour windows; each batch writes the hours it changed to its own folder.
+    """Every batch appends its sums per key and hour; ``read_rollup`` adds them up."""
+
+    def each(batch: DataFrame, number: int) -> None:
+        _write(_partials(batch, keys, ts, cols).withColumn("date", F.to_date(ts)), target, number)
+
+    _run(readings, checkpoint, each)
+
+
+def read_rollup(spark: SparkSession, target: str, keys: Sequence[str], ts: str, cols: Sequence[str]) -> DataFrame:
+    """Hours over all batches: keys, time, ``rows``, and ``_sum`` and ``_mean`` of each column."""
+    return _merged(_stored(spark, target), keys, ts, cols)
+
+
+def compact_rollup(spark: SparkSession, source: str, target: str, keys: Sequence[str], ts: str, cols: Sequence[str]) -> None:
+    """All batches of ``source`` as the one batch of a new target, for readers of a long history."""
+    columns = [F.sum(c).alias(c) for c in ("rows", *(f"{c}_{k}" for c in cols for k in ("sum", "n")))]
+    _write(_stored(spark, source).groupBy(*keys, ts, "date").agg(*columns), target, 0)
 
-    Writing is keyed by the batch number, so a repeated batch replaces its files.
-    Hours older than the watermark are dropped from state and late rows for them ignored.
+
+def first_per_bucket(readings: DataFrame, keys: Sequence[str], ts: str, target: str, checkpoint: str) -> None:
+    """One row per key and hour, whenever its readings come.
+
+    A batch is compared with the stored rows of its own dates; those of its own folder,
+    left by a broken attempt, don't count.
     """
-    hours = (
-        readings.withColumn("_event", to_instant(ts))
-        .withWatermark("_event", lateness)
-        .groupBy(*keys, F.window("_event", "1 hour").alias("_w"))
-        .agg(*aggregates)
-        .withColumn(ts, from_instant("_w.start"))
-        .drop("_w")
-    )
-    _run(hours, checkpoint, "update", lambda batch, n: batch.write.mode("overwrite").parquet(f"{target}/batch={n}"))
+    spark = readings.sparkSession
 
+    def each(batch: DataFrame, number: int) -> None:
+        unique = batch.select(*keys, floor_hour(ts).alias("bucket")).distinct().withColumn("date", F.to_date("bucket"))
+        stored = _stored(spark, target)
+        if stored is not None:
+            first, last = unique.agg(F.min("date"), F.max("date")).first()
+            near = stored.filter(F.col("date").between(first, last) & (F.col("batch") != number))
+            same = [unique[c].eqNullSafe(near[c]) for c in (*keys, "bucket")]
+            unique = unique.join(near, on=same, how="left_anti")
+        _write(unique, target, number)
 
-def read_rollup(spark: SparkSession, target: str, keys: Sequence[str], ts: str) -> DataFrame:
-    """The latest version of every hour."""
-    rows = spark.read.option("basePath", target).parquet(target)
-    newest = W.partitionBy(*keys, ts).orderBy(F.desc("batch"))
-    return rows.withColumn("_v", F.row_number().over(newest)).filter("_v = 1").drop("_v", "batch")
+    _run(readings, checkpoint, each)
 
 
-def first_per_bucket(
-    readings: DataFrame, keys: Sequence[str], ts: str, target: str, checkpoint: str, lateness: str = LATENESS
-) -> None:
-    """One row per key and hour, whichever arrives first; repeats within the watermark go."""
-    bucket = readings.select(*keys, to_instant(ts).alias("_event"), floor_hour(ts).alias("bucket"))
-    bucket = bucket.withWatermark("_event", lateness)
-    unique = bucket.dropDuplicatesWithinWatermark([*keys, "bucket"])
-    query = (
-        unique.select(*keys, "bucket")
-        .writeStream.outputMode("append")
-        .format("parquet")
-        .option("path", target)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+def read_buckets(spark: SparkSession, target: str) -> DataFrame:
+    return _stored(spark, target).drop("batch", "date")
 
 
 Detector = Callable[[DataFrame], DataFrame]
@@ -93,41 +122,71 @@ def scan_into_store(
     readings: DataFrame,
     keys: Sequence[str],
     ts: str,
-    sums: Sequence[str],
+    cols: Sequence[str],
     measures: Mapping[str, Column],
     detector: Detector,
     history: str,
     store: AlertStore,
     checkpoint: str,
-    created_at: Column,
-    lookback_hours: int = SCAN_HOURS + HOURLY_ROWS + 24,
+    now: Column,
+    lookback: int = HOURLY_ROWS,
 ) -> None:
-    """Scan recent hours after every batch and append the alerts that are new.
-
-    Each batch stores its partial hourly sums and counts, partitioned by date, in a
-    folder of its own; the scan adds the partials of the lookback up, so its cost
-    does not grow with the history; ``measures`` are formed from the sums and the row
-    count ``n``. Running a batch twice adds no alert: the partials
-    are replaced and the store turns known keys down, closed ones included.
+    """Take in all new readings, then scan the hours they can have changed and add the new alerts.
+
+    Batches append partial sums and, per series, the first and last hour they touched. One
+    scan follows when the input is used up: of every series from its first touched hour to
+    ``lookback`` hours after its last one, over closed hours (before the hour of ``now``),
+    with the history that the detector's frames need. The result does not depend on the
+    order of files or their number a batch. ``measures`` are formed from the columns of
+    ``read_rollup``. ``scanned`` records the batches done, so a broken scan is repeated
+    and a finished one is not; the store turns known keys down, closed ones included.
     """
     spark = readings.sparkSession
+    sums, touched, scanned = (f"{history}/{n}" for n in ("sums", "touched", "scanned"))
 
     def each(batch: DataFrame, number: int) -> None:
-        partial = batch.groupBy(*keys, floor_hour(ts).alias(ts)).agg(
-            *[F.sum(c).alias(c) for c in sums], F.count(F.lit(1)).alias("n")
-        )
-        partial.withColumn("date", F.to_date(ts)).hint("rebalance", "date").write.mode("overwrite").partitionBy("date").parquet(
-            f"{history}/batch={number}"
-        )
-        stored = spark.read.option("basePath", history).parquet(f"{history}/batch=*")
-        latest = stored.agg(F.max(ts)).first()[0]
-        if latest is None:
-            return
-        oldest = F.lit(latest).cast("timestamp_ntz") - F.expr(f"interval {lookback_hours} hours")
-        near = stored.filter((F.col("date") >= F.to_date(oldest)) & (F.col(ts) >= oldest))
-        hours = near.groupBy(*keys, ts).agg(*[F.sum(c).alias(c) for c in [*sums, "n"]])
-        formed = hours.select(*keys, ts, *[c.alias(name) for name, c in measures.items()])
-        cleaned = interpolate_linear(gapfill(formed, keys, ts).drop("is_observed"), keys, ts, list(measures))
-        store.add(detector(cleaned), created_at, include_closed=True)
-
-    _run(readings, checkpoint, "append", each)
+        _write(_partials(batch, keys, ts, cols).withColumn("date", F.to_date(ts)), sums, number)
+        span = batch.groupBy(*keys).agg(F.min(floor_hour(ts)).alias("lo"), F.max(floor_hour(ts)).alias("hi"))
+        span.write.mode("overwrite").parquet(f"{touched}/batch={number}")
+
+    _run(readings, checkpoint, each)
+    spans = _stored(spark, touched)
+    if spans is None:
+        return
+    last = spans.agg(F.max("batch")).first()[0]
+    if path_exists(spark, scanned):
+        spans = spans.filter(F.col("batch") > (spark.read.parquet(scanned).agg(F.max("batch")).first()[0]))
+    hours = F.expr(f"interval {lookback} hours")
+    wanted = saved(
+        spans.groupBy(*keys).agg(F.min("lo").alias("lo"), (F.max("hi") + hours).alias("hi")), "touched-hours"
+    )
+    if not wanted.isEmpty():
+        _scan(_stored(spark, sums), wanted, keys, ts, cols, measures, detector, store, now, lookback)
+    spark.range(1).select(F.lit(last).alias("batch")).write.mode("append").parquet(scanned)
+
+
+def _scan(partials, wanted, keys, ts, cols, measures, detector, store, now, lookback) -> None:
+    """The detector over the wanted hours and the observed hours around them.
+
+    Ends of the range move out to the next observed hour, so that gaps at either end are
+    filled as in the whole series. ``date`` bounds prune the folders where no series looks.
+    """
+    closed = partials.filter(F.col(ts) < floor_hour(now))
+    spots = closed.select(*keys, ts).distinct().join(wanted, list(keys))
+    begin = F.col("lo") - F.expr(f"interval {lookback} hours")
+    range_of = spots.groupBy(*keys, "lo", "hi").agg(
+        F.coalesce(F.max(F.when(F.col(ts) <= begin, F.col(ts))), F.min(ts)).alias("from"),
+        F.coalesce(F.min(F.when(F.col(ts) >= F.col("hi"), F.col(ts))), F.max(ts)).alias("to"),
+    )
+    ranges = saved(range_of, "scan-ranges")
+    first, final = ranges.agg(F.to_date(F.min("from")), F.to_date(F.max("to"))).first()
+    if first is None:
+        return
+    near = closed.filter(F.col("date").between(first, final)).join(ranges, list(keys))
+    near = near.filter(F.col(ts).between(F.col("from"), F.col("to"))).drop("lo", "hi", "from", "to")
+    formed = _merged(near, keys, ts, cols).select(*keys, ts, *[c.alias(name) for name, c in measures.items()])
+    cleaned = interpolate_linear(gapfill(formed, keys, ts).drop("is_observed"), keys, ts, list(measures))
+    found = detector(cleaned)
+    inside = ranges.select(F.concat_ws("/", *keys).alias("series"), "lo", "hi")
+    found = found.join(inside, "series").filter(F.col("ts").between(F.col("lo"), F.col("hi"))).select(*found.columns)
+    store.add(found, now, include_closed=True)

@@ -1,14 +1,19 @@
-"""Streaming jobs: late rows, restarts, equality with the batch rollup."""
+"""Streaming jobs: any order of files, restarts, equality with the batch result."""
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from meterloom.operators.detect import detect_water
+from meterloom.plans import streams
+from meterloom.plans.catalog import ORACLES
 from meterloom.sources.alert_store import AlertStore
 from meterloom.streaming import jobs
+from tests.compare import compare, duck
 
 SCHEMA = "series string, ts timestamp_ntz, value double"
+SF = "/root/testdata/sf0.01"
 
 
 def put(spark, folder, name, rows):
@@ -24,32 +29,34 @@ def t(day, hour, minute=0):
 
 
 def rolled(spark, target):
-    rows = jobs.read_rollup(spark, target, ["series"], "ts").collect()
-    return {(r.series, r.ts): r.usage for r in rows}
+    rows = jobs.read_rollup(spark, target, ["series"], "ts", ["value"]).collect()
+    return {(r.series, r.ts): (r.value_sum, r.value_mean, r.rows) for r in rows}
 
 
-def test_rollup_updates_restarts_and_drops_late_rows(spark, tmp_path):
+def test_rollup_restarts_and_keeps_late_rows(spark, tmp_path):
     source, target, checkpoint = (str(tmp_path / n) for n in ("in", "out", "cp"))
-    run = lambda: jobs.hourly_rollup(
-        stream(spark, source), ["series"], "ts", [F.sum("value").alias("usage")], target, checkpoint, "2 hours"
-    )
-    put(spark, source, "1", [("a", t(1, 0, 5), 1.0), ("a", t(1, 0, 50), 2.0), ("a", t(1, 1, 10), 4.0)])
+    run = lambda: jobs.hourly_rollup(stream(spark, source), ["series"], "ts", ["value"], target, checkpoint)
+    put(spark, source, "1", [("a", t(9, 0, 5), 1.0), ("a", t(9, 0, 50), 2.0), ("a", t(9, 1, 10), None)])
     run()
-    assert rolled(spark, target) == {("a", t(1, 0)): 3.0, ("a", t(1, 1)): 4.0}
-    put(spark, source, "2", [("a", t(1, 1, 30), 8.0), ("a", t(1, 9), 16.0)])
+    assert rolled(spark, target) == {("a", t(9, 0)): (3.0, 1.5, 2), ("a", t(9, 1)): (None, None, 1)}
+    put(spark, source, "2", [("a", t(9, 1, 30), 8.0), ("a", t(1, 9), 16.0)])
     run()
-    put(spark, source, "3", [("a", t(1, 1, 40), 100.0), ("a", t(1, 9, 30), 32.0)])
     run()
-    assert rolled(spark, target) == {("a", t(1, 0)): 3.0, ("a", t(1, 1)): 12.0, ("a", t(1, 9)): 48.0}
+    expected = {("a", t(9, 0)): (3.0, 1.5, 2), ("a", t(9, 1)): (8.0, 8.0, 2), ("a", t(1, 9)): (16.0, 16.0, 1)}
+    assert rolled(spark, target) == expected
+    jobs.compact_rollup(spark, target, f"{target}-one", ["series"], "ts", ["value"])
+    assert rolled(spark, f"{target}-one") == expected
 
 
-def test_first_per_bucket_over_two_files(spark, tmp_path):
+def test_first_per_bucket_over_files(spark, tmp_path):
     source, target, checkpoint = (str(tmp_path / n) for n in ("in", "out", "cp"))
-    put(spark, source, "1", [("a", t(1, 0, 5), 1.0), ("a", t(1, 0, 6), 1.0)])
-    put(spark, source, "2", [("a", t(1, 0, 50), 2.0), ("b", t(1, 0, 50), 2.0), ("a", t(1, 1), 1.0)])
+    put(spark, source, "1", [("a", t(5, 0, 5), 1.0), ("a", t(5, 0, 6), 1.0)])
+    put(spark, source, "2", [("a", t(5, 0, 50), 2.0), ("b", t(5, 0, 50), 2.0), ("a", t(1, 1), 1.0)])
+    put(spark, source, "3", [("a", t(1, 1, 9), 2.0), (None, t(1, 1, 9), 2.0)])
+    put(spark, source, "4", [(None, t(1, 1, 19), 2.0)])
     jobs.first_per_bucket(stream(spark, source), ["series"], "ts", target, checkpoint)
-    rows = sorted((r.series, r.bucket) for r in spark.read.parquet(target).collect())
-    assert rows == [("a", t(1, 0)), ("a", t(1, 1)), ("b", t(1, 0))]
+    rows = [(r.series, r.bucket) for r in jobs.read_buckets(spark, target).collect()]
+    assert len(rows) == 4 and set(rows) == {("a", t(5, 0)), ("a", t(1, 1)), ("b", t(5, 0)), (None, t(1, 1))}
 
 
 def test_scan_appends_only_new_alerts(spark, tmp_path):
@@ -58,18 +65,39 @@ def test_scan_appends_only_new_alerts(spark, tmp_path):
     calm = [("a", dt.datetime(2024, 1, 1) + dt.timedelta(hours=h), 10.0 + h % 3) for h in range(100)]
     put(spark, source, "1", [*calm, ("a", t(5, 4), 200.0)])
 
-    def run(cp):
+    def run(at):
         jobs.scan_into_store(
-            stream(spark, source), ["series"], "ts", ["value"], {"flow": F.col("value")},
-            lambda hours: detect_water(hours, ["series"], "ts", {"flow": "flow"}),
-            history, store, cp, F.lit("2024-02-01").cast("timestamp_ntz"),
+            stream(spark, source), ["series"], "ts", ["value"], {"flow": F.col("value_sum")},
+            lambda hours: detect_water(hours, ["series"], "ts", {"flow": "flow"}, None),
+            history, store, checkpoint, F.lit(at).cast("timestamp_ntz"),
         )
 
-    run(checkpoint)
-    first = [(r.ts, r.severity) for r in store.alerts().collect()]
-    assert first == [(t(5, 4), "critical")]
-    run(str(tmp_path / "other"))
-    assert store.alerts().count() == 1
+    run("2024-02-01")
+    assert [(r.ts, r.severity) for r in store.alerts().filter("severity = 'critical'").collect()] == [(t(5, 4), "critical")]
+    n = store.alerts().count()
+    run("2024-02-01")
+    assert store.alerts().count() == n
     put(spark, source, "2", [("a", t(5, 5), 300.0)])
-    run(checkpoint)
-    assert sorted(r.ts for r in store.alerts().collect()) == [t(5, 4), t(5, 5)]
+    run("2024-02-01")
+    assert sorted(r.ts for r in store.alerts().filter("sigma > 3").collect()) == [t(5, 4), t(5, 5)]
+    put(spark, source, "3", [("a", t(5, 6), 900.0)])
+    run("2024-01-05 06:30:00")  # the hour isn't closed
+    assert store.alerts().filter("ts = timestamp_ntz'2024-01-05 06:00:00'").count() == 0
+
+
+@pytest.fixture(scope="module")
+def parted(spark, tmp_path_factory):
+    """The same readings as a folder of eight files, not ordered by time."""
+    root = str(tmp_path_factory.mktemp("parted"))
+    rows = spark.read.parquet(f"{SF}/events.parquet")
+    rows.repartition(8, F.xxhash64("event_id")).write.parquet(f"{root}/events.parquet")
+    return root
+
+
+@pytest.mark.parametrize("name", ["stream_rollup_hourly", "stream_alert_dedup", "stream_scan_alerts"])
+@pytest.mark.parametrize("max_files", [1, 100])
+def test_many_files_equal_batch(spark, parted, name, max_files):
+    query = lambda s, sf: getattr(streams, name)(s, sf, max_files)
+    same, found, expected, diff, names = compare(spark, duck(SF), parted, query, ORACLES[name])
+    assert same, names
+    assert found == expected, diff
