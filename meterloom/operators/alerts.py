@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from meterloom.functions.severity import SEVERITY_ORDER, dedup_key, severity_rank
 from meterloom.functions.text import alert_label, decimal_text, resource_unit, signed, title_words, whole_number
@@ -24,6 +24,7 @@ def with_defaults(alerts: DataFrame, created_at: Column) -> DataFrame:
 def new_only(found: DataFrame, stored: DataFrame, include_closed: bool = False) -> DataFrame:
     """Found alerts whose key is not stored, each key once.
 
+    Of found alerts with one key the one with the largest sigma is kept.
     Only active alerts suppress a new one, so a closed bucket may alert again;
     ``include_closed=True`` makes every stored alert suppress.
     """
@@ -32,7 +33,8 @@ def new_only(found: DataFrame, stored: DataFrame, include_closed: bool = False)
     fresh = found.withColumn("_key", key).join(
         known.select(key.alias("_key")), "_key", "left_anti"
     )
-    return fresh.dropDuplicates(["_key"]).drop("_key")
+    best = F.max_by(F.struct(*found.columns), F.struct("sigma", *[c for c in ("alert_id", "method") if c in found.columns]))
+    return fresh.groupBy("_key").agg(best.alias("_a")).select("_a.*")
 
 
 def current_state(alerts: DataFrame, events: DataFrame) -> DataFrame:
@@ -88,17 +90,20 @@ def counts(state: DataFrame) -> DataFrame:
     return active(state).groupBy("severity").agg(F.count(F.lit(1)).alias("alert_count"))
 
 
-def by_bucket(top: DataFrame) -> DataFrame:
-    """A listed page of alerts grouped by severity, in severity order.
+def by_bucket(state: DataFrame, listed: int = 50) -> DataFrame:
+    """Active alerts grouped by severity: the count of all, and the ids of the first ``listed`` of each.
 
-    The collected lists are bounded by the page, so pass ``top_active`` here.
+    The ids are trimmed by rank in the map tasks before they are collected.
     """
-    entry = F.struct((-F.col("sigma")).alias("neg_sigma"), "alert_id")
-    grouped = top.groupBy(F.coalesce("severity", F.lit(SEVERITY_ORDER[-1])).alias("severity")).agg(
-        F.count(F.lit(1)).alias("alert_count"),
-        F.array_join(F.transform(F.sort_array(F.collect_list(entry)), lambda e: e["alert_id"]), ",").alias("alert_ids"),
+    rows = active(state).select(
+        F.coalesce("severity", F.lit(SEVERITY_ORDER[-1])).alias("severity"), (-F.col("sigma")).alias("neg_sigma"), "alert_id"
     )
-    return grouped.withColumn("bucket_order", severity_rank("severity"))
+    rank = F.row_number().over(Window.partitionBy("severity").orderBy("neg_sigma", "alert_id"))
+    top = rows.withColumn("_rank", rank).filter(F.col("_rank") <= listed)
+    entries = F.sort_array(F.collect_list(F.struct("neg_sigma", "alert_id")))
+    ids = top.groupBy("severity").agg(F.array_join(F.transform(entries, lambda e: e["alert_id"]), ",").alias("alert_ids"))
+    sizes = rows.groupBy("severity").agg(F.count(F.lit(1)).alias("alert_count"))
+    return sizes.join(ids, "severity").withColumn("bucket_order", severity_rank("severity"))
 
 
 def dashboard_text(top: DataFrame) -> DataFrame:

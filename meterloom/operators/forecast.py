@@ -11,13 +11,11 @@ from meterloom.functions.timeparts import is_school_session, is_weekend
 from meterloom.operators.recent import tail_per_series
 from meterloom.operators.windows import ordered, trailing, whole
 
-MAX_HORIZON = 30  # fixed value: longest forecast served, in days
-
-
 def check_horizon(periods: int) -> int:
+    """``periods`` as asked for; a day or more."""
     if periods < 1:
         raise ValueError("periods must be positive")
-    return min(periods, MAX_HORIZON)
+    return periods
 
 
 def future_dates(last: str, periods: int) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from meterloom.functions.numeric import clamp, safe_ratio
 from meterloom.functions.text import currency, decimal_text, percent_text, signed, title_words
@@ -230,7 +230,7 @@ def _period_scores(daily: DataFrame, keys: Sequence[str], date: str, cols: dict[
         change = (F.col(f"_old_{name}") - F.col(f"_new_{name}")) / F.nullif(F.col(f"_old_{name}"), F.lit(0.0))
         return F.when(F.col("_n") >= 60, clamp(NEUTRAL_SCORE + change * 100, 0, 100).cast("int"))
 
-    return sums.select(*keys, *[score(n).alias(f"{n}_score") for n in cols])
+    return sums.select(*keys, *[score(n).alias(f"{n}_score") for n in cols], F.col("_n").alias("basis_days"))
 
 
 def grade(score: str) -> Column:
@@ -256,31 +256,37 @@ def sustainability_score(
     water: str,
     diversion: str,
 ) -> DataFrame:
-    """Weighted 0–100 score with grade; a missing part scores the neutral 75."""
+    """Weighted 0–100 score with grade, over the parts there are.
+
+    A part without its 60 days of usage, or without waste rows, is NULL and so is its
+    weighted share; the others are weighted up to a whole. ``basis_days`` are the usage
+    days that were found, at most 60.
+    """
     parts = _period_scores(usage, keys, date, {"energy": energy, "water": water})
     waste_score = (
         tail_per_series(waste, keys, date, 30)
         .groupBy(*keys)
         .agg(F.least(F.lit(100.0), F.avg(diversion) * 100).cast("int").alias("waste_score"))
     )
-    scored = parts.join(waste_score, list(keys), "left").fillna(
-        NEUTRAL_SCORE, subset=["energy_score", "water_score", "waste_score"]
-    )
-    total = sum((F.col(f"{n}_score") * w for n, w in WEIGHTS.items()), F.lit(0.0))
+    scored = parts.join(waste_score, list(keys), "left")
+    weight = sum((F.when(F.col(f"{n}_score").isNotNull(), w).otherwise(0.0) for n, w in WEIGHTS.items()), F.lit(0.0))
     weighted = {f"{n}_weighted": F.col(f"{n}_score") * w for n, w in WEIGHTS.items()}
-    return scored.withColumns({"score": total, **weighted}).withColumns(
-        {"grade": grade("score"), "gauge_colour": gauge_colour("score")}
+    total = sum((F.coalesce(c, F.lit(0.0)) for c in weighted.values()), F.lit(0.0))
+    known = F.col("score").isNotNull()
+    return scored.withColumns({"score": total / F.nullif(F.round(weight, 9), F.lit(0.0)), **weighted}).withColumns(
+        {"grade": F.when(known, grade("score")), "gauge_colour": F.when(known, gauge_colour("score"))}
     )
 
 
 def forecast_overage(
     forecast: DataFrame, daily: DataFrame, keys: Sequence[str], date: str, col: str
 ) -> DataFrame:
-    """Projected total against the same number of latest actual days."""
-    projected = forecast.groupBy(*keys).agg(F.sum("forecast").alias("projected"))
-    actual = (
-        tail_per_series(daily, keys, date, 30).groupBy(*keys).agg(F.sum(col).alias("actual_30"))
-    )
+    """Projected total against the same number of latest actual days (``actual_30`` for the usual 30)."""
+    projected = forecast.groupBy(*keys).agg(F.sum("forecast").alias("projected"), F.count_distinct(date).alias("_days"))
+    age = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(date)))
+    latest = daily.select(*keys, date, col).withColumn("_age", age).join(projected.select(*keys, "_days"), list(keys))
+    actual = latest.filter("_age <= _days").groupBy(*keys).agg(F.sum(col).alias("actual_30"))
+    projected = projected.drop("_days")
     pct = F.when(F.col("actual_30") > 0, (F.col("projected") - F.col("actual_30")) / F.col("actual_30") * 100).otherwise(0.0)
     text = lambda c: decimal_text(c, 0)
     return (

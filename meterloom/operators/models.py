@@ -2,24 +2,24 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import LinearRegression, LinearRegressionModel, RandomForestRegressor
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from meterloom.functions.numeric import floor_zero, minmax, minmax_inverse
 from meterloom.functions.timeparts import calendar_columns
 from meterloom.operators.features import lag_vector
-from meterloom.operators.forecast import check_horizon, half_std_bounds
+from meterloom.operators.forecast import check_horizon, forecast_flat, half_std_bounds
 from meterloom.operators.recent import tail_per_series
-from meterloom.sources.artifacts import load_model, save_model
+from meterloom.operators.windows import ordered
+from meterloom.sources.artifacts import load_model, path_exists, save_model
 
 # ---------------------------------------------------------------- random forest
 
@@ -94,7 +94,8 @@ def forecast_forest(
     The state is one row per series with its last values in an array, so a step is
     a narrow projection: the loop runs over the horizon and never shuffles.
     ``seed_lags=True`` holds the 7-day lag at the first seed, and averages
-    predictions only, until a week of predictions exists.
+    predictions only, until a week of predictions exists. A series with less than a week
+    of history gets the flat forecast, and its ``method`` says so.
     """
     periods = check_horizon(periods)
     features = forest_features(target, population)
@@ -118,7 +119,7 @@ def forecast_forest(
             *keys, "_last", population, F.concat("_hist", F.array("_yhat")).alias("_hist")
         )
     days = state.select(*keys, "_last", F.posexplode(F.slice("_hist", 8, periods)).alias("_i", "forecast"))
-    return days.select(
+    learned = days.select(
         *keys,
         F.date_add("_last", F.col("_i") + 1).alias(date),
         "forecast",
@@ -126,6 +127,19 @@ def forecast_forest(
         (F.col("forecast") * (1 + FOREST_MARGIN)).alias("upper"),
         F.lit("random_forest").alias("method"),
     )
+    return _with_flat(learned, df, keys, date, target, periods, 7, FOREST_MARGIN)
+
+
+def _with_flat(
+    learned: DataFrame, df: DataFrame, keys: Sequence[str], date: str, col: str, periods: int, least: int, margin: float,
+    unknown: DataFrame | None = None,
+) -> DataFrame:
+    """``learned`` and the flat forecast of the series it leaves out: fewer than ``least`` rows, or in ``unknown``."""
+    short = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") < least).select(*keys)
+    if unknown is not None:
+        short = short.union(unknown.select(*keys)).distinct()
+    flat = forecast_flat(df.join(short, list(keys), "left_semi"), keys, date, col, periods, margin)
+    return learned.unionByName(flat)
 
 
 def _forest_inputs(target: str, step: int, seed_lags: bool) -> dict[str, Column]:
@@ -144,6 +158,7 @@ def _forest_inputs(target: str, step: int, seed_lags: bool) -> dict[str, Column]
 # ---------------------------------------------------------------- autoregression
 
 AR_STEPS = 14  # fixed value: days of history the autoregression looks at
+AR_FLAT_MARGIN = 0.10  # of the flat forecast that short series get
 
 
 @dataclass(frozen=True)
@@ -158,21 +173,32 @@ class Autoregression:
     def steps(self) -> int:
         return len(self.coefficients)
 
-    def run(self, seed: Column, steps: Column) -> Column:
-        """``seed`` followed by ``steps`` free-running predictions (scaled)."""
-        weights = F.array(*[F.lit(c) for c in self.coefficients])
+    def step_weights(self, spark: SparkSession, steps: int) -> DataFrame:
+        """(step, weights, constant): what the value ``step`` days ahead takes from the seed days.
 
-        def one(values: Column) -> Column:
-            parts = F.zip_with(weights, F.slice(values, -self.steps, self.steps), lambda w, v: w * v)
-            return F.aggregate(parts, F.lit(self.intercept), lambda a, v: a + v)
+        The model is linear, so a free run of any length is a fixed combination of its
+        seeds; the table has a row a day and does not grow with the series.
+        """
+        n = self.steps
+        reach = [([float(i == j) for j in range(n)], 0.0) for i in range(n)]
+        for _ in range(steps):
+            near = reach[-n:]
+            weights = [sum(c * w[j] for c, (w, _) in zip(self.coefficients, near)) for j in range(n)]
+            reach.append((weights, self.intercept + sum(c * k for c, (_, k) in zip(self.coefficients, near))))
+        rows = [(i + 1, w, k) for i, (w, k) in enumerate(reach[n:])]
+        return spark.createDataFrame(rows, "_step int, _weights array<double>, _constant double")
 
-        return F.aggregate(
-            F.sequence(F.lit(1), steps), seed, lambda values, _: F.concat(values, F.array(one(values)))
-        )
+
+def _ahead(seeds: Column) -> Column:
+    """Value of a step from the seed days."""
+    return _dot("_weights", seeds) + F.col("_constant")
 
 
 def _scaled(df: DataFrame, scale: DataFrame, keys: Sequence[str], col: str) -> DataFrame:
-    return df.join(scale, list(keys)).withColumn("_scaled", minmax(col, "lo", "hi"))
+    """A series that the training did not see is scaled by its own range."""
+    own = df.groupBy(*keys).agg(F.min(col).alias("_lo"), F.max(col).alias("_hi")).join(scale, list(keys), "left")
+    known = own.select(*keys, F.coalesce("lo", "_lo").alias("lo"), F.coalesce("hi", "_hi").alias("hi"))
+    return df.join(known, list(keys)).withColumn("_scaled", minmax(col, "lo", "hi"))
 
 
 def fit_autoregression(
@@ -208,10 +234,11 @@ def _sorted_values(date: str, col: str) -> Column:
 
 
 def forecast_autoregression(
-    model: Autoregression, df: DataFrame, keys: Sequence[str], date: str, col: str, periods: int, cap: bool = True
+    model: Autoregression, df: DataFrame, keys: Sequence[str], date: str, col: str, periods: int
 ) -> DataFrame:
-    """Recursive forecast, one row per series until the days are exploded."""
-    horizon = check_horizon(periods) if cap else periods
+    """Recursive forecast as one dot product a day. A series with fewer rows than the model
+    looks back gets the flat forecast, and its ``method`` says so."""
+    horizon = check_horizon(periods)
     recent = tail_per_series(_scaled(df, model.scale, keys, col), keys, date, model.steps)
     seeds = (
         recent.groupBy(*keys)
@@ -224,14 +251,15 @@ def forecast_autoregression(
         .filter(F.size("_seed") == model.steps)
     )
     spread = df.groupBy(*keys).agg(F.stddev_samp(col).alias("_std"))
-    path = F.slice(model.run(F.col("_seed"), F.lit(horizon)), model.steps + 1, horizon)
-    days = seeds.select(*keys, "_last", "lo", "hi", F.posexplode(path).alias("_i", "_value"))
-    return (
+    steps = seeds.withColumn("_step", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
+    days = steps.join(model.step_weights(df.sparkSession, horizon), "_step").withColumn("_value", _ahead(F.col("_seed")))
+    learned = (
         days.withColumn("forecast", floor_zero(minmax_inverse("_value", "lo", "hi")))
-        .withColumn(date, F.date_add("_last", F.col("_i") + 1))
+        .withColumn(date, F.date_add("_last", F.col("_step")))
         .join(spread, list(keys))
         .select(*keys, date, "forecast", *half_std_bounds("forecast", "_std"), F.lit("autoregression").alias("method"))
     )
+    return _with_flat(learned, df, keys, date, col, horizon, model.steps, AR_FLAT_MARGIN)
 
 
 def backcast_autoregression(
@@ -239,27 +267,20 @@ def backcast_autoregression(
 ) -> DataFrame:
     """In-sample path: the first rows echo the actuals, the rest runs free from them.
 
-    One array per series holds its days; a daily series is bounded by the calendar.
+    A row needs its series' first days and the weights of its step, so no series is
+    collected and the cost is the same for every day.
     """
-    pairs = F.sort_array(
-        F.collect_list(F.struct(F.col(date).alias("date"), F.col(col).alias("actual"), "_scaled"))
+    rows = _scaled(df, model.scale, keys, col).select(
+        *keys, date, F.col(col).alias("actual"), "_scaled", "lo", "hi", (F.row_number().over(ordered(keys, date)) - 1).alias("idx")
     )
-    whole = _scaled(df, model.scale, keys, col).groupBy(*keys).agg(
-        pairs.alias("_rows"), F.first("lo").alias("lo"), F.first("hi").alias("hi")
-    )
-    seed = F.transform(F.slice("_rows", 1, model.steps), lambda e: e["_scaled"])
-    extra = F.size("_rows") - model.steps
-    path = F.when(extra > 0, model.run(seed, F.greatest(extra, F.lit(1)))).otherwise(seed)
-    rows = whole.select(
-        *keys, "lo", "hi", F.posexplode(F.arrays_zip(F.col("_rows"), path.alias("_path"))).alias("_i", "_r")
-    )
-    free = floor_zero(minmax_inverse(F.col("_r._path"), "lo", "hi"))
-    return rows.select(
-        *keys,
-        F.col("_r._rows.date").alias(date),
-        F.col("_i").alias("idx"),
-        F.col("_r._rows.actual").alias("actual"),
-        F.when(F.col("_i") < model.steps, F.col("_r._rows.actual")).otherwise(free).alias("predicted"),
+    first = F.sort_array(F.collect_list(F.struct("idx", F.col("_scaled").alias("v"))))
+    seeds = rows.filter(F.col("idx") < model.steps).groupBy(*keys).agg(F.transform(first, lambda e: e["v"]).alias("_seed"))
+    longest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    weights = model.step_weights(df.sparkSession, max(0, longest - model.steps))
+    joined = rows.join(seeds, list(keys)).withColumn("_step", F.col("idx") - model.steps + 1).join(weights, "_step", "left")
+    free = floor_zero(minmax_inverse(_ahead(F.col("_seed")), "lo", "hi"))
+    return joined.select(
+        *keys, date, "idx", "actual", F.when(F.col("idx") < model.steps, F.col("actual")).otherwise(free).alias("predicted")
     )
 
 
@@ -271,62 +292,111 @@ RIDGE = 1e-3
 INTERVAL_Z = 1.2816
 
 
-def _design(days: np.ndarray, start: float, span: float, extra: np.ndarray) -> np.ndarray:
-    parts = [np.ones_like(days), (days - start) / span]
+def _terms(day: Column, regressors: Sequence[str]) -> Column:
+    """Inputs of a day: constant, trend, weekly and yearly waves, scaled regressors (0 if missing)."""
+    parts = [F.lit(1.0), (day - F.col("start")) / F.col("span")]
     for period, order in ((7.0, WEEKLY_ORDER), (365.25, YEARLY_ORDER)):
         for k in range(1, order + 1):
-            angle = 2 * np.pi * k * days / period
-            parts += [np.sin(angle), np.cos(angle)]
-    return np.column_stack([*parts, extra])
+            angle = day * F.lit(2 * math.pi * k / period)
+            parts += [F.sin(angle), F.cos(angle)]
+    for i, name in enumerate(regressors):
+        scaled = (F.col(name).cast("double") - F.get("centre", F.lit(i))) / F.get("scale", F.lit(i))
+        parts.append(F.coalesce(scaled, F.lit(0.0)))
+    return F.array(*parts)
 
 
-def seasonal_regression(
-    history: DataFrame, wanted: DataFrame, keys: Sequence[str], date: str, col: str, regressors: Sequence[str]
-) -> DataFrame:
-    """Trend + weekly + yearly terms + regressors, fitted per series, for the wanted days.
+def _solved(sums: Column, n: int, rows: Column) -> Column:
+    """Weights of the ridge regression whose ``sums`` are the products of all pairs of inputs and target.
 
-    Both frames are daily, so a group is bounded by the calendar; Spark spreads the
-    series over the cluster and each task solves small least-squares systems.
+    ``sums`` is the upper triangle of an (n + 1)-square matrix, row by row. The system is
+    symmetric and, with the ridge, positive definite, so elimination needs no pivoting.
     """
-    number = [F.col(r).cast("double").alias(r) for r in regressors]
-    base = [*keys, F.unix_date(date).cast("double").alias("_day"), *number]
-    rows = history.select(*base, F.col(col).cast("double").alias("_y")).unionByName(
-        wanted.select(*base, F.lit(None).cast("double").alias("_y"))
+    m = n + 1
+
+    def at(i: Column, j: Column) -> Column:
+        a, b = F.least(i, j), F.greatest(i, j)
+        return F.get(sums, (a * m - F.floor(a * (a - 1) / 2) + b - a).cast("int"))
+
+    numbers = lambda k: F.array(*[F.lit(x) for x in range(k)])
+    ridge = lambda i, j: F.when((i == j) & (i > 0), rows * RIDGE).otherwise(0.0)
+    system = F.transform(numbers(n), lambda i: F.transform(numbers(m), lambda j: at(i, j) + ridge(i, j)))
+
+    def eliminate(matrix: Column, k: Column) -> Column:
+        pivot = F.get(matrix, k)
+        return F.transform(
+            matrix,
+            lambda row, i: F.when(i == k, F.transform(row, lambda x: x / F.get(row, k))).otherwise(
+                F.zip_with(row, pivot, lambda x, p: x - F.get(row, k) / F.get(pivot, k) * p)
+            ),
+        )
+
+    return F.transform(F.aggregate(numbers(n), system, eliminate), lambda row: F.get(row, F.lit(n)))
+
+
+def _dot(weights: str, terms: Column) -> Column:
+    return F.aggregate(F.zip_with(weights, terms, lambda w, x: w * x), F.lit(0.0), lambda a, v: a + v)
+
+
+def fit_seasonal(history: DataFrame, keys: Sequence[str], date: str, col: str, regressors: Sequence[str]) -> DataFrame:
+    """Trend + weekly + yearly terms + regressors by least squares, a row of weights per series.
+
+    Days without a value are left out. The products of inputs fold to one sum per pair in
+    the map tasks; each series then solves one small system. Only built-in functions.
+    """
+    day = F.unix_date(date).cast("double")
+    known = history.filter(F.col(col).isNotNull()).select(
+        *keys, day.alias("_day"), F.col(col).cast("double").alias("_y"), *[F.col(r).cast("double").alias(r) for r in regressors]
     )
-    known = {f.name: f.dataType for f in history.schema.fields}
-    schema = T.StructType(
-        [T.StructField(k, known[k]) for k in keys]
-        + [T.StructField("_day", T.DoubleType())]
-        + [T.StructField(c, T.DoubleType()) for c in ("forecast", "lower", "upper")]
+    spread = lambda r: F.coalesce(F.nullif(F.stddev_samp(r), F.lit(0.0)), F.lit(1.0))
+    kind = "array<double>"
+    scale = known.groupBy(*keys).agg(
+        F.min("_day").alias("start"),
+        F.greatest(F.max("_day") - F.min("_day"), F.lit(1.0)).alias("span"),
+        F.array(*[F.avg(r) for r in regressors]).cast(kind).alias("centre"),
+        F.array(*[spread(r) for r in regressors]).cast(kind).alias("scale"),
+        F.count(F.lit(1)).alias("_rows"),
     )
-
-    def fit(group: pd.DataFrame) -> pd.DataFrame:
-        train, ask = group[group["_y"].notna()], group[group["_y"].isna()]
-        if train.empty or ask.empty:
-            return pd.DataFrame(columns=schema.names)
-        first = train["_day"].min()
-        span = max(train["_day"].max() - first, 1.0)
-        centre = train[list(regressors)].mean()
-        scale = train[list(regressors)].std().replace(0, 1.0).fillna(1.0)
-        extra = lambda g: ((g[list(regressors)] - centre) / scale).fillna(0.0).to_numpy()
-        x = _design(train["_day"].to_numpy(), first, span, extra(train))
-        y = train["_y"].to_numpy()
-        penalty = RIDGE * len(y) * np.eye(x.shape[1])
-        penalty[0, 0] = 0.0
-        weights = np.linalg.solve(x.T @ x + penalty, x.T @ y)
-        width = INTERVAL_Z * np.std(y - x @ weights)
-        mean = _design(ask["_day"].to_numpy(), first, span, extra(ask)) @ weights
-        out = ask[[*keys, "_day"]].copy()
-        out["forecast"] = np.clip(mean, 0, None)
-        out["lower"], out["upper"] = np.clip(mean - width, 0, None), np.clip(mean, 0, None) + width
-        return out
-
-    done = rows.groupBy(*keys).applyInPandas(fit, schema)
-    return done.select(
+    n = 2 + 2 * (WEEKLY_ORDER + YEARLY_ORDER) + len(regressors)
+    inputs = known.join(scale, list(keys)).select(*keys, "_y", _terms(F.col("_day"), regressors).alias("_x"))
+    z = F.concat("_x", F.array("_y"))
+    pairs = F.flatten(F.transform(z, lambda a, i: F.transform(F.slice(z, i + 1, n + 1), lambda b: a * b)))
+    sums = inputs.select(*keys, F.posexplode(pairs).alias("_i", "_v")).groupBy(*keys, "_i").agg(F.sum("_v").alias("_v"))
+    rows = sums.groupBy(*keys).agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("_i", "_v"))), lambda s: s["_v"]).alias("_sums")
+    )
+    solved = rows.join(scale, list(keys)).withColumn("weights", _solved(F.col("_sums"), n, F.col("_rows")))
+    fitted = solved.select(*keys, "start", "span", "centre", "scale", "weights")
+    left = known.join(fitted, list(keys)).withColumn("_r", F.col("_y") - _dot("weights", _terms(F.col("_day"), regressors)))
+    width = left.groupBy(*keys).agg((F.stddev_pop("_r") * INTERVAL_Z).alias("width"))
+    return fitted.join(width, list(keys))
+
+
+def predict_seasonal(model: DataFrame, wanted: DataFrame, keys: Sequence[str], date: str, regressors: Sequence[str]) -> DataFrame:
+    """A forecast for every wanted day; NULL for a series that the model doesn't know."""
+    rows = wanted.select(*keys, date, *regressors).join(model, list(keys), "left")
+    mean = _dot("weights", _terms(F.unix_date(date).cast("double"), regressors))
+    floor = lambda c: F.when(c.isNotNull(), F.greatest(c, F.lit(0.0)))
+    return rows.withColumn("_mean", mean).select(
         *keys,
-        F.date_from_unix_date(F.col("_day").cast("int")).alias(date),
-        "forecast",
-        "lower",
-        "upper",
-        F.lit("seasonal_regression").alias("method"),
+        date,
+        floor(F.col("_mean")).alias("forecast"),
+        floor(F.col("_mean") - F.col("width")).alias("lower"),
+        (floor(F.col("_mean")) + F.col("width")).alias("upper"),
+        F.when(F.col("_mean").isNotNull(), "seasonal_regression").alias("method"),
     )
+
+
+def seasonal_regression(
+    history: DataFrame, wanted: DataFrame, keys: Sequence[str], date: str, col: str, regressors: Sequence[str]
+) -> DataFrame:
+    """Fit on the history, forecast the wanted days."""
+    return predict_seasonal(fit_seasonal(history, keys, date, col, regressors), wanted, keys, date, regressors)
+
+
+def save_seasonal(model: DataFrame, path: str) -> str:
+    model.write.mode("overwrite").parquet(path)
+    return path
+
+
+def load_seasonal(spark: SparkSession, path: str) -> DataFrame | None:
+    return spark.read.parquet(path) if path_exists(spark, path) else None

@@ -67,6 +67,14 @@ def stored_alerts(spark, sf):
     return as_stored(all_alerts(spark, sf))
 
 
+def alert_table(spark, sf):
+    """The alert store after a scan of all history; what reads it has no detector in its plan."""
+    store = AlertStore(spark, scratch_path(spark, "alert-table"))
+    created = F.col("ts") + F.expr("interval 1 hour")
+    store.add(as_stored(all_alerts(spark, sf)).drop("created_at"), created)
+    return store
+
+
 def as_stored(found):
     """Found alerts as a table, created an hour after the reading.
 
@@ -353,7 +361,7 @@ SQL_COLS = "alert_id, series, ts, resource, metric, actual, predicted, residual,
     with_(SQL_STORED, f"SELECT {SQL_COLS} FROM stored WHERE status = 'active' ORDER BY {SQL_RANK}, sigma DESC, alert_id LIMIT 50"),
 )
 def alerts_active(spark, sf):
-    return ops.top_active(stored_alerts(spark, sf), 50)
+    return ops.top_active(alert_table(spark, sf).state().drop("resolved_at"), 50)
 
 
 @query(
@@ -361,7 +369,7 @@ def alerts_active(spark, sf):
     with_(SQL_STORED, f"SELECT {SQL_COLS} FROM stored WHERE status = 'active' AND resource = 'water' ORDER BY {SQL_RANK}, sigma DESC, alert_id LIMIT 50"),
 )
 def alerts_active_resource(spark, sf):
-    return ops.top_active(stored_alerts(spark, sf), 50, "water")
+    return ops.top_active(alert_table(spark, sf).state("water").drop("resolved_at"), 50)
 
 
 @query(
@@ -369,25 +377,25 @@ def alerts_active_resource(spark, sf):
     with_(SQL_STORED, f"SELECT {SQL_COLS} FROM stored WHERE created_at >= TIMESTAMP '{NOW}' - INTERVAL 72 HOUR ORDER BY created_at DESC, alert_id LIMIT 100"),
 )
 def alerts_recent(spark, sf):
-    return ops.recent(stored_alerts(spark, sf), now(), 72, 100)
+    return ops.recent(alert_table(spark, sf).state().drop("resolved_at"), now(), 72, 100)
 
 
 @query("alert_counts", with_(SQL_STORED, "SELECT severity, count(*) AS alert_count FROM stored WHERE status = 'active' GROUP BY ALL"))
 def alert_counts(spark, sf):
-    return ops.counts(stored_alerts(spark, sf))
+    return ops.counts(alert_table(spark, sf).state())
 
 
 @query(
     "alerts_by_bucket",
     with_(
         SQL_STORED,
-        f"page AS (SELECT * FROM stored WHERE status = 'active' ORDER BY {SQL_RANK}, sigma DESC, alert_id LIMIT 50)",
-        f"""SELECT severity, count(*) AS alert_count, string_agg(alert_id, ',' ORDER BY sigma DESC, alert_id) AS alert_ids,
-                   CAST({SQL_RANK} AS INTEGER) AS bucket_order FROM page GROUP BY severity""",
+        "act AS (SELECT *, row_number() OVER (PARTITION BY severity ORDER BY sigma DESC, alert_id) AS rn FROM stored WHERE status = 'active')",
+        f"""SELECT severity, count(*) AS alert_count, string_agg(alert_id, ',' ORDER BY rn) FILTER (rn <= 50) AS alert_ids,
+                   CAST({SQL_RANK} AS INTEGER) AS bucket_order FROM act GROUP BY severity""",
     ),
 )
 def alerts_by_bucket(spark, sf):
-    return ops.by_bucket(ops.top_active(stored_alerts(spark, sf), 50))
+    return ops.by_bucket(alert_table(spark, sf).state(), 50)
 
 
 @query(
@@ -401,7 +409,7 @@ def alerts_by_bucket(spark, sf):
     ),
 )
 def alerts_top3(spark, sf):
-    return ops.dashboard_text(ops.top_active(stored_alerts(spark, sf), 3))
+    return ops.dashboard_text(ops.top_active(alert_table(spark, sf).state(), 3))
 
 
 def earlier(found):
@@ -496,3 +504,17 @@ def alert_state(spark, sf):
 )
 def alert_retention(spark, sf):
     return ops.retained(stored_alerts(spark, sf), now(), 10).select("alert_id", "status", "created_at")
+
+
+@query(
+    "alert_purge",
+    with_(
+        SQL_STORED,
+        f"""aged AS (SELECT status IN ('resolved', 'acknowledged') AND created_at < TIMESTAMP '{NOW}' - INTERVAL 10 DAY AS old FROM stored)""",
+        "SELECT count(*) FILTER (NOT old) AS kept, count(*) FILTER (old) AS removed FROM aged",
+    ),
+)
+def alert_purge(spark, sf):
+    """The store copied without old closed alerts, with the number left out."""
+    target, removed = alert_table(spark, sf).purge_to(scratch_path(spark, "purged"), now(), 10)
+    return target.alerts().agg(F.count(F.lit(1)).alias("kept"), F.lit(removed).cast("long").alias("removed"))

@@ -15,6 +15,7 @@ from meterloom.functions import errors
 from meterloom.operators import alerts as alert_ops, clean, detect, features, forecast as fc, models
 from meterloom.operators.health import health_report
 from meterloom.operators.rollup import resample
+from meterloom.session import saved
 from meterloom.sources import csv_tables
 from meterloom.sources.alert_store import AlertStore
 from meterloom.sources.artifacts import load_metrics, load_model, save_metrics, save_model
@@ -46,7 +47,7 @@ ENERGY_REGRESSORS = ["temperature_f", "is_weekend", "is_school_session"]
 
 def ingest_folder(spark: SparkSession, folder: str) -> Ingested:
     """Every file that can be read; the others are listed in ``errors``."""
-    return ingest({n: (lambda n=n, f=f: LOADERS[n](spark, f"{folder}/{f}")) for n, f in FILES.items()})
+    return ingest({n: (lambda n=n, f=f: LOADERS[n](spark, f"{folder}/{f}", keep_corrupt=True)) for n, f in FILES.items()})
 
 
 def _with_site(df: DataFrame) -> DataFrame:
@@ -113,6 +114,7 @@ class Models:
     root: str
     energy_name: str | None = None
     energy: models.Autoregression | None = None
+    seasonal: DataFrame | None = None
     waste: PipelineModel | None = None
     water: models.Autoregression | None = None
     metrics: dict[str, dict] = field(default_factory=dict)
@@ -122,7 +124,16 @@ class Models:
         return self.energy_name is not None and self.waste is not None
 
 
-def _errors(joined: DataFrame, target: str, model: str, trained_at: Column) -> DataFrame:
+def model_days(tables: dict[str, DataFrame]) -> DataFrame:
+    """Daily waste with the forest's inputs: the weekly mean ends the day before, so no input
+    holds the day's own total. ``waste_daily`` keeps the inclusive mean for display."""
+    days = features.waste_features(tables["waste_daily"], SITE, "date", WASTE, "recycled_lbs", leak_free=True)
+    return days.select(*SITE, "date", WASTE, *FOREST_INPUTS)
+
+
+def _errors(
+    joined: DataFrame, target: str, model: str, trained_at: Column, top_feature: str | None = None
+) -> DataFrame:
     return joined.agg(
         errors.mape("actual", "predicted").alias("mape"),
         errors.mae("actual", "predicted").alias("mae"),
@@ -130,7 +141,8 @@ def _errors(joined: DataFrame, target: str, model: str, trained_at: Column) -> D
         F.count_distinct("date").alias("test_days"),
     ).select(
         F.lit(target).alias("target"), F.lit(model).alias("model"), "mape", "mae", "rmse", "test_days",
-        trained_at.cast("date").alias("trained_at"),
+        trained_at.cast("timestamp_ntz").alias("trained_at"), F.lit(top_feature).cast("string").alias("top_feature"),
+        F.lit("spark").alias("backend"),
     )
 
 
@@ -147,7 +159,7 @@ def _test_days(test: DataFrame) -> int:
 
 def _fit_ar(train: DataFrame, test: DataFrame, col: str):
     model, fitted = models.fit_autoregression(train, SITE, "date", col)
-    ahead = models.forecast_autoregression(model, train, SITE, "date", col, _test_days(test), cap=False)
+    ahead = models.forecast_autoregression(model, train, SITE, "date", col, max(1, _test_days(test)))
     return model, fitted, _against(test, ahead, col)
 
 
@@ -161,29 +173,37 @@ def train(tables: dict[str, DataFrame], cutoff: str, root: str, trained_at: Colu
     for target, col in (("energy", ENERGY), ("water", WATER)):
         if f"{target}_daily" not in tables:
             continue
-        days = clean.drop_missing_target(tables[f"{target}_daily"], col)
+        known = clean.drop_missing_target(tables[f"{target}_daily"], col)
+        days = saved(known.select(*SITE, "date", col, *(ENERGY_REGRESSORS if target == "energy" else [])), f"{target}-days")
         part, test = clean.split_train_test(days, "date", cutoff)
         if target == "energy":
-            ahead = models.seasonal_regression(part, test, SITE, "date", col, ENERGY_REGRESSORS)
+            seasonal = saved(models.fit_seasonal(part, SITE, "date", col, ENERGY_REGRESSORS), "seasonal")
+            ahead = models.predict_seasonal(seasonal, test, SITE, "date", ENERGY_REGRESSORS)
             best = _errors(_against(test, ahead, col), target, "seasonal_regression", trained_at)
             mape = best.first()["mape"]
             if mape is not None and mape <= fc.RETRAIN_ABOVE_MAPE:
+                models.save_seasonal(seasonal, f"{root}/energy_seasonal")
                 rows.append(best)
                 continue
         model, fitted, compared = _fit_ar(part, test, col)
         found = _errors(compared, target, "autoregression", trained_at)
         if target == "energy" and mape is not None and not found.first()["mape"] < mape:
+            models.save_seasonal(seasonal, f"{root}/energy_seasonal")
             rows.append(best)
             continue
         models.save_autoregression(fitted, model, f"{root}/{target}_autoregression")
         rows.append(found)
     if "waste_daily" in tables:
-        days = clean.drop_missing_target(tables["waste_daily"], WASTE)
+        days = saved(clean.drop_missing_target(model_days(tables), WASTE), "waste-days")
         part, test = clean.split_train_test(days, "date", cutoff)
         forest = models.fit_forest(part, WASTE, FOREST_INPUTS)
         scored = models.predict_forest(forest, test, FOREST_INPUTS, "forecast")
-        rows.append(_errors(_against(test, scored, WASTE), "waste", "random_forest", trained_at))
+        weights = models.forest_importances(part.sparkSession, forest, FOREST_INPUTS)
+        top = weights.orderBy(F.desc("importance"), "feature").first()["feature"]
+        rows.append(_errors(_against(test, scored, WASTE), "waste", "random_forest", trained_at, top))
         save_model(forest, f"{root}/waste_forest")
+    if not rows:
+        raise ValueError("no table to train on: the folder had no energy, water or waste file")
     metrics = rows[0]
     for more in rows[1:]:
         metrics = metrics.unionByName(more)
@@ -199,6 +219,7 @@ def load_models(spark: SparkSession, root: str) -> Models:
         root,
         energy_name=energy,
         energy=models.load_autoregression(spark, f"{root}/energy_autoregression") if energy == "autoregression" else None,
+        seasonal=models.load_seasonal(spark, f"{root}/energy_seasonal") if energy == "seasonal_regression" else None,
         waste=load_model(spark, f"{root}/waste_forest"),
         water=models.load_autoregression(spark, f"{root}/water_autoregression"),
         metrics=metrics,
@@ -215,7 +236,7 @@ def forecast_energy(tables: dict[str, DataFrame], loaded: Models, periods: int =
     if loaded.energy is not None:
         return models.forecast_autoregression(loaded.energy, days, SITE, "date", ENERGY, periods)
     future = fc.future_regressors(days, SITE, "date", "temperature_f", periods)
-    return models.seasonal_regression(days, future, SITE, "date", ENERGY, ENERGY_REGRESSORS)
+    return models.predict_seasonal(loaded.seasonal, future, SITE, "date", ENERGY_REGRESSORS)
 
 
 def forecast_water(tables: dict[str, DataFrame], loaded: Models, periods: int = 7) -> DataFrame:
@@ -241,7 +262,7 @@ def predicted_energy_hours(tables: dict[str, DataFrame], loaded: Models) -> Data
         yhat = models.backcast_autoregression(loaded.energy, days, SITE, "date", ENERGY)
         yhat = yhat.withColumnRenamed("predicted", "yhat")
     else:
-        yhat = models.seasonal_regression(days, days, SITE, "date", ENERGY, ENERGY_REGRESSORS)
+        yhat = models.predict_seasonal(loaded.seasonal, days, SITE, "date", ENERGY_REGRESSORS)
         yhat = yhat.withColumnRenamed("forecast", "yhat")
     profile = fc.hourly_profile(hours, SITE, "timestamp", ENERGY)
     return fc.disaggregate_hourly(hours, yhat, profile, SITE, "timestamp", ENERGY)
@@ -259,10 +280,12 @@ def find_alerts(tables: dict[str, DataFrame], loaded: Models) -> DataFrame:
         roles = {WATER: "flow", "pressure_psi": "pressure"}
         found.append(detect.detect_water(tables["water_hourly"], SITE, "timestamp", roles))
     if "waste_daily" in tables and loaded.waste is not None:
-        scored = models.predict_forest(loaded.waste, tables["waste_daily"], FOREST_INPUTS).select(
+        scored = models.predict_forest(loaded.waste, model_days(tables), FOREST_INPUTS).select(
             *SITE, "date", F.col(WASTE).alias("actual"), "predicted", F.lit("random_forest").alias("method")
         )
         found.append(detect.detect_waste(scored, SITE, "date", WASTE))
+    if not found:
+        raise ValueError("no table to scan: the folder had no energy, water or waste file")
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)

@@ -97,6 +97,56 @@ def forecast_json(spark, sf):
     return flat.select("series", "date", F.to_json(record).alias("document"))
 
 
+SQL_ERRORS = f"""
+cand AS (
+    SELECT series, date, total AS actual, 'seasonal_naive' AS model, lag(total, 7) OVER (PARTITION BY series ORDER BY date) AS predicted FROM waste
+    UNION ALL
+    SELECT series, date, total, 'trailing_mean', avg(total) OVER (PARTITION BY series ORDER BY date ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) FROM waste),
+errs AS (SELECT series AS target, model, avg(abs((actual - predicted) / nullif(actual, 0))) * 100 AS mape,
+                avg(abs(actual - predicted)) AS mae, sqrt(avg(pow(actual - predicted, 2))) AS rmse,
+                count(DISTINCT date) AS test_days, max(date) AS trained_at
+         FROM cand WHERE predicted IS NOT NULL AND date > DATE '{CUTOFF}' GROUP BY ALL)"""
+
+
+def served_forecast(forecast, metrics, by="series"):
+    """One document per series: the model and its metrics, and the days in order.
+
+    ``metrics`` has (target, mape, trained_at) of the model that made the forecast.
+    """
+    day = F.struct("date", "forecast", "lower", "upper")
+    rows = forecast.groupBy(by, "method").agg(F.sort_array(F.collect_list(day)).alias("days"))
+    known = metrics.select(F.col("target").alias(by), "mape", "trained_at")
+    return rows.join(known, by, "left").select(
+        by, F.col("method").alias("model"), F.size("days").cast("long").alias("periods"), "mape", "trained_at", "days"
+    )
+
+
+@query(
+    "forecast_document",
+    with_(
+        SQL_WASTE, SQL_ERRORS, SQL_FLAT,
+        f"""SELECT series, 'rolling_mean' AS model, count(*) AS periods, any_value({r('mape')}) AS mape,
+                   any_value(CAST(trained_at AS TIMESTAMP)) AS trained_at, min(date) AS first_day, max(date) AS last_day,
+                   {r('sum(forecast)', 4)} AS total FROM flat LEFT JOIN errs ON target = series AND model = 'trailing_mean' GROUP BY series""",
+    ),
+)
+def forecast_document(spark, sf):
+    """The served document of the flat forecast, with its days summed up for comparison."""
+    days = saved(waste(spark, sf).select("series", "date", "total"), "waste")
+    metrics = holdout_metrics(days).filter("model = 'trailing_mean'")
+    last = days.groupBy(F.col("series").alias("target")).agg(F.max("date").cast("timestamp_ntz").alias("trained_at"))
+    flat = ops.forecast_flat(days, KEY, "date", "total", 7, FLAT_MARGIN["waste"])
+    served = served_forecast(flat, metrics.join(last, "target"))
+    total = F.aggregate(F.col("days.forecast"), F.lit(0.0), lambda a, v: a + v)
+    return rounded(
+        served.select(
+            "series", "model", "periods", "mape", "trained_at", F.array_min("days.date").alias("first_day"),
+            F.array_max("days.date").alias("last_day"), total.alias("total"),
+        ),
+        {"total": 4},
+    )
+
+
 # ---------------------------------------------------------------- profile and hourly prediction
 
 SQL_PROFILE = """
@@ -201,17 +251,6 @@ def chart_labels(spark, sf):
 
 # ---------------------------------------------------------------- evaluation
 
-SQL_ERRORS = f"""
-cand AS (
-    SELECT series, date, total AS actual, 'seasonal_naive' AS model, lag(total, 7) OVER (PARTITION BY series ORDER BY date) AS predicted FROM waste
-    UNION ALL
-    SELECT series, date, total, 'trailing_mean', avg(total) OVER (PARTITION BY series ORDER BY date ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) FROM waste),
-errs AS (SELECT series AS target, model, avg(abs((actual - predicted) / nullif(actual, 0))) * 100 AS mape,
-                avg(abs(actual - predicted)) AS mae, sqrt(avg(pow(actual - predicted, 2))) AS rmse,
-                count(DISTINCT date) AS test_days, max(date) AS trained_at
-         FROM cand WHERE predicted IS NOT NULL AND date > DATE '{CUTOFF}' GROUP BY ALL)"""
-
-
 def holdout_metrics(days):
     """Errors of the history-only candidates on the days after the cutoff."""
     found = ops.naive_candidates(days, KEY, "date", "total")
@@ -227,13 +266,22 @@ def forecast_errors(spark, sf):
     return rounded(holdout_metrics(waste(spark, sf)))
 
 
-@query("metrics_roundtrip", with_(SQL_WASTE, SQL_ERRORS, f"{SQL_ERROR_ROWS}, trained_at FROM errs"))
+@query(
+    "metrics_roundtrip",
+    with_(
+        SQL_WASTE, SQL_ERRORS,
+        f"""{SQL_ERROR_ROWS}, CAST(trained_at AS TIMESTAMP) AS trained_at, 'spark' AS backend,
+            CASE model WHEN 'seasonal_naive' THEN 'total_lag_7d' END AS top_feature FROM errs""",
+    ),
+)
 def metrics_roundtrip(spark, sf):
     """Metrics written as JSON and read back."""
     found = ops.naive_candidates(waste(spark, sf), KEY, "date", "total")
     _, test = split_train_test(found.withColumnRenamed("series", "target"), "date", CUTOFF)
     stamp = test.groupBy("target", "model").agg(F.max("date").alias("trained_at"))
     metrics = ops.holdout_errors(test, ["target", "model"], "date").join(stamp, ["target", "model"])
+    top = F.when(F.col("model") == "seasonal_naive", "total_lag_7d")
+    metrics = metrics.withColumns({"backend": F.lit("spark"), "top_feature": top})
     path = save_metrics(rounded(metrics), scratch_path(spark, "metrics"))
     return load_metrics(spark, path)
 

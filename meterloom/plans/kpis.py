@@ -1,4 +1,4 @@
-"""Cost, usage, diversion, emission, scenario and score queries."""
+"""Cost, usage, diversion, emission and score queries."""
 
 from __future__ import annotations
 
@@ -10,7 +10,6 @@ from meterloom.functions.numeric import safe_ratio
 from meterloom.operators import emissions, kpi
 from meterloom.operators.forecast import forecast_seasonal_rolling
 from meterloom.operators.recent import tail_per_series
-from meterloom.operators.scenario import score_scenarios
 from meterloom.plans.base import (
     KEY, MEMBER, SQL_DAILY, SQL_TRIPS, SQL_USAGE, SQL_WASTE, daily, query, r, readings, rounded, rs,
     table, trips_observed, usage, waste, with_,
@@ -290,7 +289,7 @@ def sites_flagged(spark, sf):
     return kpi.flagged_sites(sites(spark, sf), spikes, "site_id")
 
 
-# ---------------------------------------------------------------- emissions and scenarios
+# ---------------------------------------------------------------- emissions
 
 MEASURES = {
     "Electricity": "fuel",
@@ -338,40 +337,6 @@ def co2e_total(spark, sf):
     return rounded(emissions.co2e_total(_co2e(spark, sf), ["series", "year"]), 2)
 
 
-SCENARIOS = list(product((20000, 65000, 130000, 200000), (0, 10, 25, 40)))
-
-
-@query(
-    "scenario_grid",
-    with_(
-        SQL_SITE_WASTE,
-        """base AS (SELECT site_id, (sum(total - recycled) * 0.544 - sum(recycled) * 0.5) / 1000 AS co2, sum(spend) AS cost
-                    FROM site_days GROUP BY ALL)""",
-        "budgets(b) AS (VALUES (20000.0::DOUBLE), (65000.0::DOUBLE), (130000.0::DOUBLE), (200000.0::DOUBLE))",
-        "targets(t) AS (VALUES (0.0::DOUBLE), (10.0::DOUBLE), (25.0::DOUBLE), (40.0::DOUBLE))",
-        """fund AS (SELECT *, 56.0::DOUBLE * (1 - exp(-b / 65000)) AS capacity, t * 2200 AS required,
-                    CASE WHEN t * 2200 > 0 THEN least(1.0::DOUBLE, b / (t * 2200)) WHEN b > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS adequacy
-             FROM base, budgets, targets)""",
-        "done AS (SELECT *, least(capacity, t) * (0.85::DOUBLE + 0.15::DOUBLE * adequacy) AS achieved FROM fund)",
-        f"""SELECT site_id, b AS budget, t AS target_pct, {r('capacity')} AS capacity_pct, {r('adequacy')} AS funding_adequacy,
-                   {r('achieved')} AS achieved_pct, {r('achieved / 100 * co2', 4)} AS co2_saved,
-                   {r('achieved / 100 * cost', 2)} AS annual_savings,
-                   {r('CASE WHEN achieved * cost > 0 THEN b / (achieved / 100 * cost) END', 9)} AS payback_years,
-                   {r('greatest(0, t - achieved)')} AS gap_pct, {r('greatest(0, required - b)')} AS additional_needed,
-                   CASE WHEN adequacy >= 0.85 THEN 'High' WHEN adequacy >= 0.45 THEN 'Medium' ELSE 'Low' END AS confidence
-            FROM done""",
-    ),
-)
-def scenario_grid(spark, sf):
-    landfill = F.sum(F.col("total") - F.col("recycled")) * emissions.DEFAULT_FACTORS["Waste_Landfill"]
-    avoided = F.sum("recycled") * emissions.DEFAULT_FACTORS["Waste_Recycled"]
-    base = site_waste(spark, sf).groupBy("site_id").agg(
-        ((landfill + avoided) / 1000).alias("co2"), F.sum("spend").alias("cost")
-    )
-    scored = score_scenarios(base, SCENARIOS, "co2", "cost").drop("co2", "cost")
-    return rounded(scored, {"co2_saved": 4, "annual_savings": 2, "payback_years": 9})
-
-
 # ---------------------------------------------------------------- score and outlook
 
 
@@ -387,16 +352,18 @@ def scenario_grid(spark, sf):
         """ws AS (SELECT series, CAST(trunc(least(100, avg(coalesce(recycled / nullif(total, 0), 0)) * 100)) AS INTEGER) AS waste_score
                   FROM wa WHERE age <= 30 GROUP BY ALL)""",
         """sc AS (SELECT series,
-                    CASE WHEN n >= 60 THEN CAST(trunc(greatest(0, least(100, 75 + (fo - fn) / fo * 100))) AS INTEGER) ELSE 75 END AS energy_score,
-                    CASE WHEN n >= 60 THEN CAST(trunc(greatest(0, least(100, 75 + (tb - tn) / tb * 100))) AS INTEGER) ELSE 75 END AS water_score,
-                    coalesce(waste_score, 75) AS waste_score FROM up LEFT JOIN ws USING (series))""",
-        "tot AS (SELECT *, energy_score * 0.4::DOUBLE + water_score * 0.3::DOUBLE + waste_score * 0.3::DOUBLE AS score FROM sc)",
-        f"""SELECT series, energy_score, water_score, waste_score, {r('score', 1)} AS score,
+                    CASE WHEN n >= 60 THEN CAST(trunc(greatest(0, least(100, 75 + (fo - fn) / fo * 100))) AS INTEGER) END AS energy_score,
+                    CASE WHEN n >= 60 THEN CAST(trunc(greatest(0, least(100, 75 + (tb - tn) / tb * 100))) AS INTEGER) END AS water_score,
+                    waste_score, n AS basis_days FROM up LEFT JOIN ws USING (series))""",
+        """tot AS (SELECT *, (coalesce(energy_score * 0.4::DOUBLE, 0) + coalesce(water_score * 0.3::DOUBLE, 0) + coalesce(waste_score * 0.3::DOUBLE, 0))
+                   / nullif(round((energy_score IS NOT NULL)::INT * 0.4::DOUBLE + (water_score IS NOT NULL)::INT * 0.3::DOUBLE
+                          + (waste_score IS NOT NULL)::INT * 0.3::DOUBLE, 9), 0) AS score FROM sc)""",
+        f"""SELECT series, basis_days, energy_score, water_score, waste_score, {r('score', 1)} AS score,
                    {r('energy_score * 0.4::DOUBLE', 1)} AS energy_weighted, {r('water_score * 0.3::DOUBLE', 1)} AS water_weighted,
                    {r('waste_score * 0.3::DOUBLE', 1)} AS waste_weighted,
-                   CASE WHEN score >= 90 THEN 'A' WHEN score >= 80 THEN 'B+' WHEN score >= 70 THEN 'B'
+                   CASE WHEN score IS NULL THEN NULL WHEN score >= 90 THEN 'A' WHEN score >= 80 THEN 'B+' WHEN score >= 70 THEN 'B'
                         WHEN score >= 60 THEN 'C+' ELSE 'C' END AS grade,
-                   CASE WHEN score < 50 THEN '#DC3545' WHEN score < 75 THEN '#FFC107' ELSE '#28A745' END AS gauge_colour
+                   CASE WHEN score IS NULL THEN NULL WHEN score < 50 THEN '#DC3545' WHEN score < 75 THEN '#FFC107' ELSE '#28A745' END AS gauge_colour
             FROM tot""",
     ),
 )

@@ -14,15 +14,15 @@ TS, DAY = T.TimestampNTZType(), T.DateType()
 
 ENERGY = _schema(
     ("timestamp", TS), ("building", STR), ("energy_kwh", DBL), ("temperature_f", DBL),
-    ("occupancy", DBL),
+    ("occupancy", INT),
 )
 WATER = _schema(("timestamp", TS), ("zone", STR), ("water_gallons", DBL), ("pressure_psi", DBL))
 WASTE = _schema(
     ("date", DAY), ("total_waste_lbs", DBL), ("recycled_lbs", DBL), ("landfill_lbs", DBL),
-    ("population_count", DBL),
+    ("population_count", INT),
 )
 TRANSPORT = _schema(
-    ("date", DAY), ("vehicle_type", STR), ("fuel_gallons", DBL), ("trips_count", DBL),
+    ("date", DAY), ("vehicle_type", STR), ("fuel_gallons", DBL), ("trips_count", INT),
     ("miles_driven", DBL),
 )
 EMISSION_FACTORS = _schema(
@@ -36,5 +36,5 @@ ALERTS = _schema(
 ALERT_EVENTS = _schema(("alert_id", STR), ("event", STR), ("at", TS))
 METRICS = _schema(
     ("target", STR), ("model", STR), ("mape", DBL), ("mae", DBL), ("rmse", DBL),
-    ("test_days", T.LongType()), ("trained_at", DAY),
+    ("test_days", T.LongType()), ("trained_at", TS), ("top_feature", STR), ("backend", STR),
 )

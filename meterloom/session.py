@@ -23,21 +23,16 @@ def local_session(cpus: int | str = 8, app: str = "meterloom") -> SparkSession:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="meterloom-"))
     return spark
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under ``spark.checkpoint.dir``, the folder all executors share.
-
-    Only a local master may fall back to a temporary folder: on a cluster a
-    machine-local path would be lost with its executor.
-    """
+    """A fresh path under ``spark.checkpoint.dir``, the folder all executors share."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
-        root = tempfile.mkdtemp(prefix="meterloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

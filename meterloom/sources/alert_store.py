@@ -4,18 +4,19 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from meterloom import schemas
-from meterloom.functions.timeparts import day_start
 from meterloom.operators import alerts as ops
 from meterloom.session import saved
 from meterloom.sources.artifacts import path_exists
 
+STORED = T.StructType([*schemas.ALERTS.fields, T.StructField("month", T.StringType())])
+
 
 @dataclass(frozen=True)
 class AlertStore:
-    """``alerts`` is partitioned by resource; ``events`` holds status changes.
+    """``alerts`` is partitioned by resource and month; ``events`` holds status changes.
 
     Files are only added, so a scan and a status change can run side by side, and a
     retried job is stopped by the key check of ``add``.
@@ -37,10 +38,14 @@ class AlertStore:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(path)
 
-    def alerts(self, resource: str | None = None) -> DataFrame:
-        """Stored alerts; a resource reads its partition only."""
-        rows = self._read(self._alerts, schemas.ALERTS)
-        return rows.filter(F.col("resource") == resource) if resource else rows
+    def alerts(self, resource: str | None = None, since: Column | None = None) -> DataFrame:
+        """Stored alerts; a resource, and a day to begin with, read their months only."""
+        rows = self._read(self._alerts, STORED)
+        if resource:
+            rows = rows.filter(F.col("resource") == resource)
+        if since is not None:
+            rows = rows.filter(F.col("month") >= F.date_format(since, "yyyy-MM"))
+        return rows.drop("month")
 
     def events(self) -> DataFrame:
         return self._read(self._events, schemas.ALERT_EVENTS)
@@ -58,12 +63,14 @@ class AlertStore:
         since = rows.agg(F.min("ts")).first()[0]
         if since is None:
             return
-        near = self.alerts().filter(F.col("ts") >= day_start(F.lit(since).cast("timestamp_ntz")))
-        fresh = ops.new_only(rows, ops.current_state(near, self.events()), include_closed)
-        fresh = ops.with_defaults(fresh, created_at).hint("rebalance", "resource")
-        fresh.select(*[F.col(f.name).cast(f.dataType) for f in schemas.ALERTS.fields]).write.mode(
-            "append"
-        ).partitionBy("resource").parquet(self._alerts)
+        near = self.alerts(since=F.lit(since).cast("timestamp_ntz"))
+        changes = self.events().join(near.select("alert_id"), "alert_id", "left_semi")
+        fresh = ops.new_only(rows, ops.current_state(near, changes), include_closed)
+        self._append(ops.with_defaults(fresh, created_at))
+
+    def _append(self, rows: DataFrame) -> None:
+        dated = rows.select(*[F.col(f.name).cast(f.dataType) for f in schemas.ALERTS.fields]).withColumn("month", F.date_format("ts", "yyyy-MM"))
+        dated.hint("rebalance", "resource", "month").write.mode("append").partitionBy("resource", "month").parquet(self._alerts)
 
     def _change(self, events: DataFrame) -> None:
         events.select(*[F.col(f.name).cast(f.dataType) for f in schemas.ALERT_EVENTS.fields]).write.mode(
@@ -77,10 +84,10 @@ class AlertStore:
     def acknowledge(self, requests: DataFrame) -> None:
         self._change(ops.acknowledge(self.alerts(), self.events(), requests))
 
-    def purge_to(self, root: str, now: Column, days: int = 30) -> AlertStore:
-        """A new store without old closed alerts; the old one is left as it is."""
+    def purge_to(self, root: str, now: Column, days: int = 30) -> tuple[AlertStore, int]:
+        """A new store without old closed alerts, and how many those were; the old one is left as it is."""
         kept = ops.retained(self.state(), now, days).select("alert_id")
         target = AlertStore(self.spark, root)
-        self.alerts().join(kept, "alert_id", "left_semi").write.partitionBy("resource").parquet(target._alerts)
+        target._append(self.alerts().join(kept, "alert_id", "left_semi"))
         target._change(self.events().join(kept, "alert_id", "left_semi"))
-        return target
+        return target, self.alerts().count() - target.alerts().count()

@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from meterloom import schemas
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+    """Whether a file or folder is there, as Spark's readers see it."""
+    try:
+        spark.read.format("binaryFile").load(path).schema  # noqa: B018  (resolves the path)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
+    return True
 
 
 def save_model(model, path: str) -> str:
@@ -24,7 +31,12 @@ def load_model(spark: SparkSession, path: str, kind=PipelineModel):
 
 
 def save_metrics(metrics: DataFrame, path: str) -> str:
-    metrics.select(*schemas.METRICS.names).write.mode("overwrite").json(path)
+    """Metrics rows as JSON; a column that is not there is NULL."""
+    there = set(metrics.columns)
+    cols = [
+        (F.col(f.name) if f.name in there else F.lit(None)).cast(f.dataType).alias(f.name) for f in schemas.METRICS.fields
+    ]
+    metrics.select(*cols).write.mode("overwrite").json(path)
     return path
 
 

@@ -8,17 +8,24 @@ from dataclasses import dataclass, field
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from meterloom.sources.csv_tables import CORRUPT
+
 Reader = Callable[[], DataFrame]
 
-REPORT = "source string, status string, row_count long, error string"
+REPORT = "source string, status string, row_count long, corrupt_count long, error string"
 
 
 @dataclass
 class Ingested:
-    """Frames that could be read and the errors of those that could not."""
+    """Frames that could be read and the errors of those that could not.
+
+    ``corrupt`` counts the rows that did not fit their schema; they are in the frames,
+    with NULL where a value could not be read.
+    """
 
     frames: dict[str, DataFrame] = field(default_factory=dict)
     rows: dict[str, int] = field(default_factory=dict)
+    corrupt: dict[str, int] = field(default_factory=dict)
     errors: dict[str, str] = field(default_factory=dict)
 
     @property
@@ -26,26 +33,35 @@ class Ingested:
         return not self.errors
 
     def report(self, spark: SparkSession) -> DataFrame:
-        """One row per source: loaded or failed, rows, error text."""
-        loaded = [(s, "loaded", self.rows.get(s), None) for s in self.frames]
-        failed = [(s, "failed", None, e) for s, e in self.errors.items()]
+        """One row per source: loaded or failed, rows, rows that did not fit, error text."""
+        loaded = [(s, "loaded", self.rows.get(s), self.corrupt.get(s), None) for s in self.frames]
+        failed = [(s, "failed", None, None, e) for s, e in self.errors.items()]
         return spark.createDataFrame(loaded + failed, REPORT)
 
 
 def ingest(readers: Mapping[str, Reader], count_rows: bool = True) -> Ingested:
     """Run every reader; reading is lazy, so only an action can tell whether it works.
 
-    The action counts the rows, or with ``count_rows=False`` looks at the first only.
+    The action counts the rows and, where the frame has the corrupt-record column, those
+    that did not fit (the column is dropped then); with ``count_rows=False`` it looks at
+    the first row only.
     """
     out = Ingested()
     for source, reader in readers.items():
         try:
             df = reader()
+            marked = CORRUPT in df.columns
             if count_rows:
-                out.rows[source] = df.agg(F.count(F.lit(1))).first()[0]
+                # All columns go through the parser, else it would not look at their values.
+                bad = F.count_if(F.col(CORRUPT).isNotNull()) if marked else F.lit(None).cast("long")
+                read = F.max(F.xxhash64(*[f"`{c}`" for c in df.columns]))
+                n, bad_n, _ = df.agg(F.count(F.lit(1)), bad, read).first()
+                out.rows[source] = n
+                if marked:
+                    out.corrupt[source] = bad_n
             else:
                 df.isEmpty()
-            out.frames[source] = df
-        except (PySparkException, OSError) as error:
+            out.frames[source] = df.drop(CORRUPT) if marked else df
+        except (PySparkException, OSError, ValueError) as error:
             out.errors[source] = str(error).splitlines()[0]
     return out

@@ -78,8 +78,8 @@ def test_closed_bucket_alerts_again_unless_told(store, spark):
 
 def test_purge_drops_old_closed_alerts_only(store, tmp_path):
     store.resolve(ask(store, "series = 'b'", "2024-01-02 02:00"))
-    kept = store.purge_to(str(tmp_path / "kept"), at("2024-03-01 00:00"), 30)
-    assert kept.alerts().count() == 2 and store.alerts().count() == 3
+    kept, removed = store.purge_to(str(tmp_path / "kept"), at("2024-03-01 00:00"), 30)
+    assert removed == 1 and kept.alerts().count() == 2 and store.alerts().count() == 3
     assert kept.state().filter("status = 'active'").count() == 2
 
 
@@ -89,10 +89,29 @@ def test_order_counts_and_text(store):
     assert {r.severity: r.alert_count for r in ops.counts(state).collect()} == {"critical": 1, "high": 1, "medium": 1}
     line = ops.dashboard_text(ops.top_active(state, 1)).first()
     assert (line.issue, line.details) == ("Phantom Load", "+1,235 kWh  (3.5σ deviation)")
-    buckets = ops.by_bucket(ops.top_active(state, 50)).orderBy("bucket_order").collect()
+    buckets = ops.by_bucket(state, 50).orderBy("bucket_order").collect()
     assert [b.severity for b in buckets] == ["critical", "high", "medium"]
 
 
+def test_buckets_count_all_and_list_some(spark, tmp_path):
+    s = AlertStore(spark, str(tmp_path / "s"))
+    many = [(f"s{i}", "2024-01-01 00:00", "energy", "high", 2.0 + i / 100) for i in range(9)]
+    s.add(alert_rows(spark, many), at("2024-01-02 00:00"))
+    row = ops.by_bucket(s.state(), 3).first()
+    assert row.alert_count == 9 and len(row.alert_ids.split(",")) == 3
+
+
+def test_repeats_keep_the_largest_sigma(spark):
+    twice = [("a", "2024-01-01 00:00", "energy", "high", x) for x in (2.1, 2.9, 2.5)]
+    found = alert_rows(spark, twice)
+    assert [r.sigma for r in ops.new_only(found, found.limit(0).withColumn("status", F.lit("active"))).collect()] == [2.9]
+
+
+def test_a_resource_and_a_day_read_their_folders(store):
+    plan = store.alerts("water", at("2024-01-01 00:00"))._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "resource" in plan.split("PartitionFilters")[1][:200]
+
+
 def test_recent_uses_real_time(store):
     assert ops.recent(store.state(), at("2024-01-02 23:00"), 24).count() == 3
     assert ops.recent(store.state(), at("2024-01-03 00:01"), 24).count() == 0

@@ -63,6 +63,29 @@ def test_tables_are_whole(tables, spark):
     assert fuel.fuel_gallons == 50.0
 
 
+def test_model_inputs_do_not_hold_the_target(tables):
+    """A jump of one day's total moves no input of that day; the displayed mean does move."""
+    days = tables["waste_daily"]
+    jump = F.col("date") == F.lit("2025-04-10").cast("date")
+    moved = {**tables, "waste_daily": days.withColumn("total_waste_lbs", F.when(jump, 9e6).otherwise(F.col("total_waste_lbs")))}
+    inputs = lambda t: campus.model_days(t).filter(jump).select(*campus.FOREST_INPUTS).first()
+    assert inputs(tables) == inputs(moved)
+    later = F.col("date") == F.lit("2025-04-11").cast("date")
+    mean = lambda t: campus.model_days(t).filter(later).first()["total_waste_lbs_rolling_mean_7d"]
+    assert mean(moved) > 100 * mean(tables)
+
+
+def test_empty_folder(spark, tmp_path):
+    done = campus.ingest_folder(spark, str(tmp_path))
+    tables = campus.build_tables(done.frames)
+    assert not done.frames and len(done.errors) == 5 and tables == {}
+    now = F.lit("2025-05-01 06:00:00").cast("timestamp_ntz")
+    with pytest.raises(ValueError, match="no table to train on"):
+        campus.train(tables, "2025-03-31", str(tmp_path / "m"), now)
+    with pytest.raises(ValueError, match="no table to scan"):
+        campus.find_alerts(tables, campus.load_models(spark, str(tmp_path / "m")))
+
+
 def test_train_forecast_scan(tables, spark, tmp_path, monkeypatch):
     monkeypatch.setattr(models, "FOREST_TREES", 10)
     fit = models.fit_forest
@@ -73,7 +96,10 @@ def test_train_forecast_scan(tables, spark, tmp_path, monkeypatch):
     assert {r.method for r in campus.forecast_energy(tables, empty, 3).collect()} == {"rolling_mean"}
     metrics = {r.target: r for r in campus.train(tables, "2025-03-31", root, now).collect()}
     assert set(metrics) == {"energy", "waste"} and metrics["energy"].test_days == 30
+    assert metrics["waste"].top_feature in campus.FOREST_INPUTS and metrics["waste"].backend == "spark"
+    assert metrics["waste"].trained_at.isoformat() == "2025-05-01T06:00:00"
     loaded = campus.load_models(spark, root)
+    assert (loaded.seasonal is None) == (loaded.energy_name != "seasonal_regression")
     assert loaded.ready and loaded.energy_name == metrics["energy"].model
     for forecast in (campus.forecast_energy, campus.forecast_waste):
         rows = forecast(tables, loaded, 5).collect()

@@ -1,11 +1,12 @@
-"""KPI edges: months across years, zero totals, missing factors, grades, scenarios."""
+"""KPI edges: months across years, zero totals, missing factors, grades."""
 
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from meterloom.functions import numeric, severity, text
-from meterloom.operators import emissions, forecast, kpi, recent, scenario
+from meterloom.operators import emissions, forecast, kpi, recent
 
 
 def days(spark, rows, cols="series string, date string, v double"):
@@ -39,17 +40,6 @@ def test_missing_factor_takes_the_default(spark):
     assert math.isclose(emissions.co2e_total(out, ["site"]).first().co2e_total_kg, 38.95)
 
 
-def test_scenario_without_target_or_budget(spark):
-    base = spark.sql("select 'a' as site, 580d as co2, 87000d as cost")
-    rows = {(r.budget, r.target_pct): r for r in scenario.score_scenarios(base, [(0, 10), (65000, 0), (65000, 30)], "co2", "cost").collect()}
-    assert rows[(0.0, 10.0)].confidence == "Low" and rows[(0.0, 10.0)].payback_years is None
-    assert rows[(65000.0, 0.0)].confidence == "High" and rows[(65000.0, 0.0)].achieved_pct == 0.0
-    funded = rows[(65000.0, 30.0)]
-    adequacy = 65000 / 66000
-    assert math.isclose(funded.achieved_pct, 30 * (0.85 + 0.15 * adequacy))
-    assert math.isclose(funded.gap_pct, 30 - funded.achieved_pct)
-
-
 def test_grades_and_gauge(spark):
     df = spark.createDataFrame([(90.0,), (80.0,), (74.9,), (60.0,), (49.9,)], "s double")
     rows = df.select(kpi.grade("s"), kpi.gauge_colour("s")).collect()
@@ -85,8 +75,25 @@ def test_relative_age(spark):
     assert [r[0] for r in df.select(text.relative_age("ts", "now")).collect()] == ["just now", "5m ago", "3h ago", "2d ago"]
 
 
-def test_horizon_is_capped():
-    assert forecast.check_horizon(90) == 30
+def test_horizon_is_as_asked_for(spark):
+    with pytest.raises(ValueError):
+        forecast.check_horizon(0)
+    df = spark.sql("select 'a' as series, explode(sequence(date'2024-01-01', date'2024-03-01')) as date, 1.0 as v")
+    assert forecast.forecast_flat(df, ["series"], "date", "v", 60, 0.1).count() == 60
+    assert forecast.future_calendar(df, ["series"], "date", 90).count() == 90
+
+
+def test_score_over_the_parts_there_are(spark):
+    days = spark.sql("select explode(sequence(date'2024-01-01', date'2024-03-30')) as date").withColumns(
+        {"series": F.lit("long"), "e": F.lit(10.0), "w": F.lit(5.0)}
+    )
+    short = days.filter("date < date'2024-01-11'").withColumn("series", F.lit("short"))
+    waste = days.select("series", "date", F.lit(0.5).alias("d")).unionByName(short.select("series", "date", F.lit(0.8).alias("d")))
+    rows = {r.series: r for r in kpi.sustainability_score(days.unionByName(short), waste, ["series"], "date", "e", "w", "d").collect()}
+    assert (rows["long"].energy_score, rows["long"].basis_days, rows["long"].score) == (75, 60, pytest.approx(67.5))
+    assert (rows["short"].energy_score, rows["short"].basis_days, rows["short"].score) == (None, 10, pytest.approx(80.0))
+    none = kpi.sustainability_score(short, waste.filter("series = 'long'"), ["series"], "date", "e", "w", "d").first()
+    assert none.score is None and none.grade is None
 
 
 def test_forecasts_have_ordered_bounds(spark):

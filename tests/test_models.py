@@ -116,3 +116,56 @@ def test_forest_recursion_equals_a_plain_loop(forest, spark, seed_lags):
         one = spark.createDataFrame([{k: float(v) for k, v in row.items()}])
         preds.append(models.predict_forest(model, one, inputs).first().predicted)
     np.testing.assert_allclose(got, preds)
+
+
+def test_seasonal_regression_gives_wanted_days_only(weekly):
+    """A history day without a value is no forecast, and an unknown series has none."""
+    gap = weekly.withColumn("total", F.when(F.col("date") != F.lit("2024-01-20").cast("date"), F.col("total")))
+    future = weekly.filter("date >= date'2024-06-28'").select("series", F.date_add("date", 3).alias("date"), "population")
+    more = future.unionByName(future.withColumn("series", F.lit("new")))
+    rows = models.seasonal_regression(gap, more, ["series"], "date", "total", ["population"]).collect()
+    assert len(rows) == 12 and min(r.date for r in rows).isoformat() == "2024-07-01"
+    assert {r.series for r in rows if r.forecast is None} == {"new"}
+    plan = models.seasonal_regression(gap, future, ["series"], "date", "total", ["population"])._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Pandas" not in plan
+
+
+def test_seasonal_weights_equal_least_squares(weekly):
+    noisy = weekly.withColumn("total", F.col("total") + F.sin(F.unix_date("date") * 1.7) * 4).withColumn("population", F.unix_date("date") % 13)
+    row = models.fit_seasonal(noisy, ["series"], "date", "total", ["population"]).filter("series = 'a'").first()
+    data = noisy.filter("series = 'a'").orderBy("date").toPandas()
+    day = (np.array(data.date, dtype="datetime64[D]").astype(int)).astype(float)
+    parts = [np.ones_like(day), (day - day[0]) / (day[-1] - day[0])]
+    for period, order in ((7.0, 3), (365.25, 10)):
+        for k in range(1, order + 1):
+            parts += [np.sin(2 * np.pi * k / period * day), np.cos(2 * np.pi * k / period * day)]
+    p = data.population.astype(float)
+    x, y = np.column_stack([*parts, (p - p.mean()) / p.std()]), data.total.to_numpy(float)
+    ridge = 1e-3 * len(y) * np.eye(x.shape[1])
+    ridge[0, 0] = 0
+    weights = np.linalg.solve(x.T @ x + ridge, x.T @ y)
+    np.testing.assert_allclose(row.weights, weights, rtol=1e-6, atol=1e-7)
+    assert abs(row.width - 1.2816 * np.std(y - x @ weights)) < 1e-6
+
+
+def test_seasonal_model_saved_and_loaded(weekly, spark, tmp_path):
+    model = models.fit_seasonal(weekly, ["series"], "date", "total", ["population"])
+    again = models.load_seasonal(spark, models.save_seasonal(model, str(tmp_path / "seasonal")))
+    assert sorted(r.series for r in again.collect()) == ["a", "b"]
+    assert models.load_seasonal(spark, str(tmp_path / "none")) is None
+
+
+def test_short_and_unseen_series_get_the_flat_forecast(weekly, forest):
+    forest_model, rows, _ = forest
+    short = weekly.filter("date >= date'2024-06-26'").withColumn("series", F.concat(F.lit("short_"), "series"))
+    unseen = weekly.filter("series = 'a'").withColumn("series", F.lit("unseen"))
+    df = weekly.unionByName(short).unionByName(unseen)
+    model, _ = models.fit_autoregression(weekly, ["series"], "date", "total")
+    for out, name, long in (
+        (models.forecast_autoregression(model, df, ["series"], "date", "total", 60), "autoregression", 3),
+        (models.forecast_forest(forest_model, df, ["series"], "date", "total", "population", 3), "random_forest", 3),
+    ):
+        got = {r.series: r.method for r in out.collect()}
+        assert len(got) == 5 and sum(m == name for m in got.values()) == long
+        assert got["short_a"] == got["short_b"] == "rolling_mean"
+    assert models.forecast_autoregression(model, df, ["series"], "date", "total", 60).count() == 300

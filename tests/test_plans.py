@@ -19,7 +19,7 @@ GLOBAL_ROWS = {"health_report", "scan_summary"}
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 @pytest.mark.parametrize(
     "name",
-    ["detect_all", "hourly_disaggregation", "features_waste_daily", "site_status", "scenario_grid", "scan_summary",
+    ["detect_all", "hourly_disaggregation", "features_waste_daily", "site_status", "scan_summary",
      "alerts_active", "future_regressors", "co2e_total", "chart_alert_merge", "model_status", "sustainability_score"],
 )
 def test_no_cross_joins_and_no_single_partition_steps(spark, name):

@@ -1,5 +1,6 @@
 """CSV scans, ingest reports, metrics files."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from meterloom import schemas
@@ -21,6 +22,23 @@ def test_waste_with_blanks_and_optional_compost(spark, tmp_path):
     assert csv_tables.load_waste(spark, extra).first().composted_lbs == 1.5
 
 
+def test_columns_are_taken_by_name(spark, tmp_path):
+    path = write(tmp_path / "e.csv", "note,temperature_f,energy_kwh,building,timestamp,occupancy\nx,70,500,Gym,2025-01-01 00:00:00,3\n")
+    row = csv_tables.load_energy(spark, path).first()
+    assert (row.energy_kwh, row.temperature_f, row.building, row.occupancy) == (500.0, 70.0, "Gym", 3)
+    assert "note" not in row.asDict()
+    with pytest.raises(ValueError, match="pressure_psi"):
+        csv_tables.load_water(spark, write(tmp_path / "w.csv", "timestamp,zone,water_gallons\n2025-01-01 00:00:00,a,1\n"))
+
+
+def test_corrupt_rows_are_counted(spark, tmp_path):
+    path = write(tmp_path / "f.csv", "source,resource_type,unit,co2e_kg_per_unit\nEPA,Water,Gallon,0.00095\nEPA,Gas,Gallon,many\n")
+    done = ingest({"factors": lambda: csv_tables.load_emission_factors(spark, path, keep_corrupt=True), "bad": lambda: csv_tables.load_water(spark, path)})
+    assert (done.rows, done.corrupt, list(done.errors)) == ({"factors": 2}, {"factors": 1}, ["bad"])
+    assert "_corrupt" not in done.frames["factors"].columns
+    assert csv_tables.corrupt_rows(spark, path, schemas.EMISSION_FACTORS).first().resource_type == "Gas"
+
+
 def test_nan_becomes_null(spark, tmp_path):
     path = write(tmp_path / "e.csv", "timestamp,building,energy_kwh,temperature_f,occupancy\n2025-01-01 00:00:00,Gym,NaN,50,3\n")
     row = csv_tables.load_energy(spark, path).first()
