@@ -25,7 +25,7 @@ from meterloom.sources.ingest import ingest
     with_(
         SQL_OBSERVED,
         f"""SELECT series AS building, count(*) AS row_count, {r('sum(usage)', 2)} AS energy_kwh,
-                   {r('avg(level)')} AS temperature_f, {r('sum(readings)', 2)} AS occupancy,
+                   {r('avg(level)')} AS temperature_f, CAST(sum(readings) AS BIGINT) AS occupancy,
                    min(ts) AS first_ts, max(ts) AS last_ts FROM obs GROUP BY ALL""",
     ),
 )
@@ -37,7 +37,7 @@ def scan_hourly(spark, sf):
         F.col("series").alias("building"),
         F.col("usage").alias("energy_kwh"),
         F.col("level").alias("temperature_f"),
-        F.col("readings").alias("occupancy"),
+        F.col("readings").cast("int").alias("occupancy"),
     )
     csv_tables.write_csv(rows, path)
     scanned = csv_tables.load_energy(spark, path).groupBy("building").agg(
@@ -48,7 +48,74 @@ def scan_hourly(spark, sf):
         F.min("timestamp").alias("first_ts"),
         F.max("timestamp").alias("last_ts"),
     )
-    return rounded(scanned, {"energy_kwh": 2, "occupancy": 2})
+    return rounded(scanned, {"energy_kwh": 2})
+
+
+@query(
+    "scan_hourly_water",
+    with_(
+        SQL_OBSERVED,
+        f"""SELECT series AS zone, count(*) AS row_count, {r('sum(usage)', 2)} AS water_gallons, {r('avg(level)')} AS pressure_psi,
+                   min(ts) AS first_ts FROM obs GROUP BY ALL""",
+    ),
+)
+def scan_hourly_water(spark, sf):
+    """Hourly readings per zone as CSV with its columns in another order, scanned with the water schema."""
+    path = scratch_path(spark, "water-csv")
+    rows = hourly_observed(spark, sf).select(
+        F.col("level").alias("pressure_psi"), F.col("series").alias("zone"), F.col("usage").alias("water_gallons"),
+        F.col("ts").alias("timestamp"),
+    )
+    csv_tables.write_csv(rows, path)
+    scanned = csv_tables.load_water(spark, path).groupBy("zone").agg(
+        F.count(F.lit(1)).alias("row_count"),
+        F.sum("water_gallons").alias("water_gallons"),
+        F.avg("pressure_psi").alias("pressure_psi"),
+        F.min("timestamp").alias("first_ts"),
+    )
+    return rounded(scanned, {"water_gallons": 2})
+
+
+@query(
+    "scan_transport",
+    f"""SELECT o_orderpriority AS vehicle_type, count(*) AS row_count, {r('sum(o_totalprice)', 2)} AS fuel_gallons,
+               sum(o_custkey % 100)::BIGINT AS trips_count, min(CAST(o_orderdate AS DATE)) AS first_date
+        FROM orders GROUP BY ALL""",
+)
+def scan_transport(spark, sf):
+    """Trips as CSV, scanned with the transport schema."""
+    path = scratch_path(spark, "transport-csv")
+    rows = table(spark, sf, "orders").select(
+        F.to_date("o_orderdate").alias("date"), F.col("o_orderpriority").alias("vehicle_type"),
+        F.col("o_totalprice").alias("fuel_gallons"), (F.col("o_custkey") % 100).cast("int").alias("trips_count"),
+        F.col("o_totalprice").alias("miles_driven"),
+    )
+    csv_tables.write_csv(rows, path)
+    scanned = csv_tables.load_transport(spark, path).groupBy("vehicle_type").agg(
+        F.count(F.lit(1)).alias("row_count"),
+        F.sum("fuel_gallons").alias("fuel_gallons"),
+        F.sum("trips_count").alias("trips_count"),
+        F.min("date").alias("first_date"),
+    )
+    return rounded(scanned, 2)
+
+
+@query(
+    "scan_factors",
+    """SELECT 'unit-' || p_brand AS resource_type, count(*) AS row_count, max(p_size)::DOUBLE AS co2e_kg_per_unit
+       FROM part GROUP BY ALL""",
+)
+def scan_factors(spark, sf):
+    """A factor file with a row for each part, scanned with the factor schema."""
+    path = scratch_path(spark, "factors-csv")
+    rows = table(spark, sf, "part").select(
+        F.lit("catalogue").alias("source"), F.col("p_size").cast("double").alias("co2e_kg_per_unit"),
+        F.concat(F.lit("unit-"), "p_brand").alias("resource_type"), F.lit("piece").alias("unit"),
+    )
+    csv_tables.write_csv(rows, path)
+    return csv_tables.load_emission_factors(spark, path).groupBy("resource_type").agg(
+        F.count(F.lit(1)).alias("row_count"), F.max("co2e_kg_per_unit").alias("co2e_kg_per_unit")
+    )
 
 
 @query(
@@ -67,7 +134,7 @@ def scan_daily(spark, sf):
         F.col("total").alias("total_waste_lbs"),
         F.col("recycled").alias("recycled_lbs"),
         F.col("landfill").alias("landfill_lbs"),
-        F.col("population").alias("population_count"),
+        F.col("population").cast("int").alias("population_count"),
     )
     csv_tables.write_csv(rows, path)
     scanned = csv_tables.load_waste(spark, path).groupBy(F.year("date").cast("long").alias("year")).agg(
@@ -80,10 +147,10 @@ def scan_daily(spark, sf):
 
 @query(
     "ingest_report",
-    """SELECT 'events' AS source, 'loaded' AS status, count(*) AS row_count FROM events
-       UNION ALL SELECT 'lineitem', 'loaded', count(*) FROM lineitem
-       UNION ALL SELECT 'orders', 'loaded', count(*) FROM orders
-       UNION ALL SELECT 'fleet', 'failed', NULL""",
+    """SELECT 'events' AS source, 'loaded' AS status, count(*) AS row_count, NULL::BIGINT AS corrupt_count FROM events
+       UNION ALL SELECT 'lineitem', 'loaded', count(*), NULL FROM lineitem
+       UNION ALL SELECT 'orders', 'loaded', count(*), NULL FROM orders
+       UNION ALL SELECT 'fleet', 'failed', NULL, NULL""",
 )
 def ingest_report(spark, sf):
     """One of the sources does not exist; it is reported and the others load."""
