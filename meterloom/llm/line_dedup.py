@@ -124,69 +124,74 @@ def lines_of(rows: DataFrame, kind: str) -> DataFrame:
     )
 
 
-def _place() -> Column:
-    return F.struct("doc_id", "row", "line")
+PLACE = ["doc_id", "row", "line"]
+#: Buckets of the filter that keeps texts without eligible lines from moving; its size is this, whatever the input.
+BUCKETS = 1 << 19
 
 
-def near_lines(rows: DataFrame, firsts: DataFrame, kind: str) -> DataFrame:
-    """(h1, h2) of the distinct lines that are one word from an earlier one."""
-    # Shared keys; a group of any size folds to its least and largest line.
-    long = firsts.filter(F.col("n") >= LEAST_WORDS)
-    keyed = long.select(*ID, "place", F.explode(F.array(*KEYS)).alias("key")).filter("key IS NOT NULL")
-    shared = (
-        keyed.groupBy("key").agg(F.min(F.struct(*ID)).alias("a"), F.max(F.struct(*ID)).alias("b")).filter("a <> b").select("key")
-    )
-    eligible = keyed.join(shared, "key").select(*ID, "place").distinct()
-    # Their texts, each from its first place.
-    wanted = eligible.groupBy(F.col("place.doc_id").alias("doc_id"), F.col("place.row").alias("row")).agg(
-        F.collect_list(F.struct(*ID, F.col("place.line").alias("line"))).alias("lines")
-    )
-    text_of = rows.alias("r").join(
-        wanted.alias("w"), F.col("r.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("r.row") == F.col("w.row"))
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("doc_id", "row"), F.lit(BUCKETS)).cast("int")
+
+
+def eligible_texts(rows: DataFrame, firsts: DataFrame) -> DataFrame:
+    """(lid, words): distinct lines that share a key with another; lid grows with the line's place.
+
+    ``firsts`` has a row for each distinct line, so a key that occurs twice is shared by two
+    lines; a key of very many lines folds to a count, and the join back adds no pairs.
+    """
+    keyed = firsts.filter(F.col("n") >= LEAST_WORDS).select(*PLACE, F.explode(F.array(*KEYS)).alias("key")).filter("key IS NOT NULL")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1").select("key")
+    eligible = keyed.join(shared, "key").select(*PLACE).distinct()
+    wanted = checkpointed(eligible.groupBy("doc_id", "row").agg(F.collect_list("line").alias("lines")))
+    # Texts in buckets without any wanted line stay where they are: at most BUCKETS numbers are broadcast.
+    buckets = wanted.select(_bucket().alias("bucket")).distinct()
+    near = rows.withColumn("bucket", _bucket()).join(F.broadcast(buckets), "bucket", "left_semi")
+    same = F.col("r.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("r.row") == F.col("w.row"))
+    found = near.alias("r").join(wanted.alias("w"), same).select(
+        "r.doc_id", "r.row", F.split("text", "\n").alias("all"), F.explode("lines").alias("line")
     )
-    each = (
-        text_of.select("r.doc_id", "r.row", F.split("text", "\n").alias("all"), F.explode("lines").alias("l"))
-        .select(F.col("l.h1").alias("h1"), F.col("l.h2").alias("h2"),
-                F.struct("doc_id", "row", F.col("l.line").alias("line")).alias("place"),
-                F.get("all", F.col("l.line")).alias("words"))
-        .dropDuplicates(ID)
+    each = found.select(*PLACE, F.get("all", F.col("line")).alias("words")).dropDuplicates(PLACE)
+    return checkpointed(each.orderBy(*PLACE).select(F.monotonically_increasing_id().alias("lid"), *PLACE, "words"))
+
+
+def emit_variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lid, words) -> (variant, at, lid): a row for each word left out, and one (at -1) for the whole
+    line; some ten thousand rows at a time, however long the lines."""
+    for batch in batches:
+        lids, lines = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        value, at, of, made = [], [], [], 0
+        for lid, line in zip(lids, lines, strict=True):
+            without, whole = variants(line_words(line))
+            value += [without, np.array([whole])]
+            at += [np.arange(len(without)), np.array([-1])]
+            of.append(np.full(len(without) + 1, lid))
+            made += len(without) + 1
+            if made > 50_000:
+                yield _variant_batch(value, at, of)
+                value, at, of, made = [], [], [], 0
+        if made:
+            yield _variant_batch(value, at, of)
+
+
+def _variant_batch(value: list, at: list, of: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.concatenate(value), pa.int64()), pa.array(np.concatenate(at), pa.int32()), pa.array(np.concatenate(of), pa.int64())],
+        names=["variant", "at", "lid"],
     )
-    texts = checkpointed(each)
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            # A few thousand variants at a time, however long the lines.
-            h1s, h2s, places, lines = (batch.column(c).to_pylist() for c in range(4))
-            start = 0
-            while start < len(lines):
-                stop, made = start, 0
-                rows_, value, at = [], [], []
-                while stop < len(lines) and made < 50_000:
-                    without, whole = variants(line_words(lines[stop]))
-                    rows_ += [stop] * (len(without) + 1)
-                    value += [without, np.array([whole])]
-                    at += [np.arange(len(without)), np.array([-1])]
-                    made += len(without) + 1
-                    stop += 1
-                take = pa.array(rows_, pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(take), batch.column(1).take(take), batch.column(2).take(take),
-                     pa.array(np.concatenate(value), pa.int64()), pa.array(np.concatenate(at), pa.int32())],
-                    names=[*ID, "place", "variant", "at"],
-                )
-                start = stop
-
-    place = f"struct<doc_id: {kind}, row: bigint, line: int>"
-    emitted = texts.mapInArrow(emit, f"h1 long, h2 long, place {place}, variant long, at int")
+
+def near_lines(texts: DataFrame) -> DataFrame:
+    """Places of the distinct lines that are one word from an earlier one."""
+    emitted = texts.select("lid", "words").mapInArrow(emit_variants, "variant long, at int, lid long")
     left = emitted.filter("at >= 0")
     # Replaced word: the same variant without the same place. The earliest line of the group is the partner of all others.
-    earliest = left.groupBy("variant", "at").agg(F.min(F.struct("place", *ID)).alias("p"), F.count("*").alias("k")).filter("k > 1").drop("k")
-    replaced = left.join(earliest, ["variant", "at"]).filter("place > p.place").select(*ID, "p")
+    earliest = left.groupBy("variant", "at").agg(F.min("lid").alias("p"), F.count("*").alias("k")).filter("k > 1").drop("k")
+    replaced = left.join(earliest, ["variant", "at"]).filter("lid > p").select("lid", "p")
     # A word more: the variant is another line as a whole. Either of the two may be the earlier.
-    whole = emitted.filter("at < 0").select("variant", F.struct("place", *ID).alias("w"))
-    pairs = left.select("variant", F.struct("place", *ID).alias("v")).join(whole, "variant").filter("v.place <> w.place")
-    one_more = pairs.select(F.greatest("v", "w").alias("x"), F.least("v", "w").alias("p")).select("x.h1", "x.h2", "p")
-    partner = replaced.unionByName(one_more).groupBy(*ID).agg(F.min("p").alias("p"))
+    whole = emitted.filter("at < 0").select("variant", F.col("lid").alias("w"))
+    pairs = left.select("variant", "lid").join(whole, "variant").filter("lid <> w")
+    one_more = pairs.select(F.greatest("lid", "w").alias("lid"), F.least("lid", "w").alias("p"))
+    partner = replaced.unionByName(one_more).groupBy("lid").agg(F.min("p").alias("p"))
 
     @pandas_udf("boolean")
     def verified(x, y):
@@ -194,12 +199,8 @@ def near_lines(rows: DataFrame, firsts: DataFrame, kind: str) -> DataFrame:
 
         return pd.Series([one_word_apart(line_words(a), line_words(b)) for a, b in zip(x, y, strict=True)])
 
-    own = texts.select(*ID, F.col("words").alias("own"))
-    other = texts.select(F.col("h1").alias("p1"), F.col("h2").alias("p2"), F.col("words").alias("other"))
-    return (
-        partner.select(*ID, F.col("p.h1").alias("p1"), F.col("p.h2").alias("p2"))
-        .join(own, ID).join(other, ["p1", "p2"]).filter(verified("own", "other")).select(*ID)
-    )
+    other = texts.select(F.col("lid").alias("p"), F.col("words").alias("other"))
+    return texts.join(partner, "lid").join(other, "p").filter(verified("words", "other")).select(*PLACE)
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -212,15 +213,21 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kind = rows.schema["doc_id"].dataType.simpleString()
     lines = lines_of(rows, kind)
     # Equal lines fold in each task first: a line that a third of all texts have is a row a task.
-    firsts = checkpointed(
-        lines.groupBy(*ID).agg(F.min(_place()).alias("place"), F.first("n").alias("n"), *[F.first(k).alias(k) for k in KEYS])
+    folded = lines.groupBy(*ID).agg(
+        F.min(F.struct(*PLACE)).alias("place"), F.first("n").alias("n"), F.count("*").alias("times"),
+        *[F.first(k).alias(k) for k in KEYS],
+    )
+    firsts = checkpointed(folded.select(*ID, "place.*", "n", "times", *KEYS))
+    near = checkpointed(near_lines(eligible_texts(rows, firsts)))
+    # Lines that occur once and have no near one are done; the others meet all their places.
+    same = [firsts[c].eqNullSafe(near[c]) for c in PLACE]
+    close = firsts.join(near.withColumn("near", F.lit(True)), same, "left").select(
+        *ID, F.struct(*[firsts[c] for c in PLACE]).alias("first"), "times", "near"
     )
-    near = near_lines(rows, firsts, kind).withColumn("near", F.lit(True))
-    state = firsts.select(*ID, F.col("place").alias("first")).join(near, ID, "left")
+    state = close.filter("near OR times > 1").drop("times")
     gone = (
-        lines.select(*ID, "doc_id", "row", "line").join(state, ID)
-        .filter("near OR NOT (struct(doc_id, row, line) <=> first)")
-    )
+        lines.select(*ID, *PLACE).join(state, ID).filter("near OR NOT (struct(doc_id, row, line) <=> first)")
+    )
     return gone.groupBy("doc_id", "row").agg(
         F.array_sort(F.collect_set(F.when(F.col("near").isNull(), F.col("line")))).alias("exact"),
         F.array_sort(F.collect_set(F.when(F.col("near"), F.col("line")))).alias("near"),
