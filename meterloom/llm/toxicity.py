@@ -13,6 +13,7 @@
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -101,13 +102,28 @@ def features_of(hits: Counter, votes: np.ndarray, forms: list[float], n_words: i
     return x
 
 
-def choose_terms(toxic: Counter, clean: Counter, n_toxic: int, n_clean: int, most: int, least_rows: int = 3, odds: float = 20) -> dict[bytes, int]:
+def contexts_of(words: list[bytes]) -> dict[bytes, int]:
+    """Terms of a text, with a bit (of 63) for each word that stands before one of them."""
+    found: dict[bytes, int] = {}
+    for before, word in set(zip([b"", *words], words, strict=False)):
+        bit = 1 << zlib.crc32(before) % 63
+        for t in terms_of(word):
+            found[t] = found.get(t, 0) | bit
+    return found
+
+
+def choose_terms(
+    toxic: Counter, clean: Counter, contexts: dict[bytes, int], n_toxic: int, n_clean: int, most: int, odds: float = 20
+) -> dict[bytes, int]:
     """Terms whose share of toxic texts is ``odds`` times that of clean ones or more, by number of
-    toxic texts; none that another chosen term covers."""
+    toxic texts; none that another chosen term covers. A term is in three toxic texts and one in a
+    hundred of them at least, and stands after about as many different words as it has texts:
+    the words of a passage that was copied often stand after one."""
     good = []
+    least_rows = max(3, math.ceil(0.01 * n_toxic))
     for t, k in toxic.items():
         rate = (clean[t] + 0.5) / (n_clean + 1)
-        if k >= least_rows and (k + 0.5) / (n_toxic + 1) >= odds * rate and clean[t] <= 0.1 * k:
+        if contexts.get(t, 0).bit_count() >= max(3, min(k, 20) // 2) and k >= least_rows and (k + 0.5) / (n_toxic + 1) >= odds * rate and clean[t] <= 0.1 * k:
             good.append((-k, len(t), t))
     chosen: dict[bytes, int] = {}
     for _, _, t in sorted(good):
@@ -151,15 +167,28 @@ def label_model(n: float, ones: np.ndarray, pairs: np.ndarray, prior: float) ->
     return rates, linked
 
 
+def anchored(rates: np.ndarray, mean: np.ndarray, prior: float, votes: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Rates whose P(vote | clean) is not above what the labelled clean rows show; the rest of a
+    voter's votes are then of toxic texts. Voters of different languages never agree, so their
+    moments alone would call them weak."""
+    clean = votes[toxic == 0]
+    p0 = np.clip(np.minimum(rates[:, 0], (clean.sum(axis=0) + 1) / (len(clean) + 2)), 1e-4, 0.999)
+    p1 = np.where(p0 < rates[:, 0], (mean - (1 - prior) * p0) / prior, rates[:, 1])
+    return np.stack([p0, np.clip(p1, np.maximum(p0, 1e-3), 0.999)], axis=1)
+
+
 def posterior(votes: np.ndarray, model: Model) -> np.ndarray:
-    """P(toxic | votes), a row each; a voter shares its weight with those it is correlated with."""
+    """P(toxic | votes), a row each; a voter shares its weight with those it is correlated with.
+
+    A voter that finds nothing abstains: a toxic text has the words of its own language, and
+    says nothing by lacking all others.
+    """
     share = np.ones(votes.shape[1])
     for i, j, c in model.correlated:
         share[i] += c
         share[j] += c
     p0, p1 = model.accuracy[:, 0], model.accuracy[:, 1]
-    yes, no = np.log(p1 / p0), np.log((1 - p1) / (1 - p0))
-    sums = (votes * yes + (1 - votes) * no) @ (1 / share)
+    sums = votes @ (np.log(p1 / p0) / share)
     return 1 / (1 + np.exp(-np.clip(sums + math.log(model.prior / (1 - model.prior)), -30, 30)))
 
 
@@ -208,21 +237,27 @@ def fit(rows: DataFrame, labels: DataFrame, most_rows: int, most_terms: int) ->
     # Terms: texts of each class that have them; a task sends terms of toxic texts, with both counts.
     def term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = (Counter(), Counter())
+        around: dict[bytes, int] = {}
         n = [0, 0]
         for batch in batches:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 n[toxic] += 1
-                seen[toxic].update({t for w in set(words_of(text)) for t in terms_of(w)})
+                found = contexts_of(words_of(text))
+                seen[toxic].update(found.keys())
+                if toxic:
+                    for t, bits in found.items():
+                        around[t] = around.get(t, 0) | bits
         seen[0][b""], seen[1][b""] = n  # the empty term: number of texts
         both = list(seen[0].keys() | seen[1].keys())
         yield pa.RecordBatch.from_arrays(
-            [pa.array(both, pa.binary()), pa.array([seen[1][t] for t in both], pa.int64()), pa.array([seen[0][t] for t in both], pa.int64())],
-            names=["term", "toxic", "clean"],
+            [pa.array(both, pa.binary()), *(pa.array([s[t] for t in both], pa.int64()) for s in (seen[1], seen[0])),
+             pa.array([around.get(t, 0) for t in both], pa.int64())],
+            names=["term", "toxic", "clean", "contexts"],
         )
 
     counted = (
-        sample.mapInArrow(term_rows, "term binary, toxic long, clean long")
-        .groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+        sample.mapInArrow(term_rows, "term binary, toxic long, clean long, contexts long")
+        .groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.bit_or("contexts").alias("contexts"))
         .filter((F.col("toxic") >= 3) & (F.col("clean") <= 0.1 * F.col("toxic")) | (F.col("term") == b""))
         .orderBy((F.col("term") == b"").desc(), F.col("toxic").desc(), "term").limit(64 * most_terms + 1)
         .collect()
@@ -232,7 +267,8 @@ def fit(rows: DataFrame, labels: DataFrame, most_rows: int, most_terms: int) ->
     n_toxic, n_clean = toxic.pop(b"", 0), clean.pop(b"", 0)
     if not n_toxic or not n_clean:
         return Model()
-    terms = choose_terms(toxic, clean, n_toxic, n_clean, most_terms)
+    contexts = {bytes(r.term): r.contexts for r in counted}
+    terms = choose_terms(toxic, clean, contexts, n_toxic, n_clean, most_terms)
     heads = heads_of(terms)
     prior = min(0.9, max(0.01, n_toxic / (n_toxic + n_clean)))
     model = Model(terms=terms, heads=heads, prior=prior)
@@ -257,7 +293,7 @@ def fit(rows: DataFrame, labels: DataFrame, most_rows: int, most_terms: int) ->
     )
     values = np.array([r.v for r in sums])
     m = LEXICON_VOTERS + len(PATTERNS)
-    model.accuracy, model.correlated = label_model(values[0], values[1 : m + 1], values[m + 1 :].reshape(m, m), prior)
+    rates, model.correlated = label_model(values[0], values[1 : m + 1], values[m + 1 :].reshape(m, m), prior)
 
     # Linear classifier on posterior labels of the sample.
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,12 +307,15 @@ def fit(rows: DataFrame, labels: DataFrame, most_rows: int, most_terms: int) ->
                 made.append((votes, features_of(hits, votes, forms, len(words), len(terms))))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([np.packbits(v.astype(bool)).tobytes() for v, _ in made], pa.binary()),
-                 pa.array([x.astype("<f4").tobytes() for _, x in made], pa.binary())], names=["votes", "x"],
+                 pa.array([x.astype("<f4").tobytes() for _, x in made], pa.binary()), batch.column(1)],
+                names=["votes", "x", "toxic"],
             )
 
-    got = sample.mapInArrow(rows_of, "votes binary, x binary").toPandas()
+    got = sample.mapInArrow(rows_of, "votes binary, x binary, toxic int").toPandas()
     x = np.stack([np.frombuffer(b, dtype="<f4") for b in got["x"]]).astype(np.float64)
     votes = np.stack([np.unpackbits(np.frombuffer(b, dtype=np.uint8))[:m] for b in got["votes"]]).astype(np.float64)
+    mean = values[1 : m + 1] / max(1.0, values[0])
+    model.accuracy = anchored(rates, mean, prior, votes, got["toxic"].to_numpy())
     model.weights = fit_linear(x, posterior(votes, model))
     return model
 
