@@ -219,15 +219,19 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 def training_sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     """(text, toxic) of up to ``most`` labelled rows that may be learned from, the same for the
-    same tables. ids of the sample are broadcast: at most ``most`` rows, so the documents don't move."""
+    same tables. ids of the sample are broadcast: at most ``most`` rows, so other documents don't
+    move. An id with several labels is toxic if one says so; of several texts it has the smallest,
+    so that an id that very many rows share is one row of the sample."""
     ids = (
         labels.select("doc_id", F.col("toxic").cast("int").alias("toxic"))
         .filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out())
-        .dropDuplicates(["doc_id"])
+        .groupBy("doc_id")
+        .agg(F.max("toxic").alias("toxic"))
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(most)
     )
-    return docs.join(F.broadcast(ids), "doc_id").select("text", "toxic")
+    chosen = docs.join(F.broadcast(ids), "doc_id")
+    return chosen.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic")
 
 
 def fit(rows: DataFrame, labels: DataFrame, most_rows: int, most_terms: int) -> Model:

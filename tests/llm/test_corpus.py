@@ -325,6 +325,13 @@ def test_held_out_labels_are_not_learned_from(spark, small):
     assert a == b
 
 
+def test_sample_has_an_id_once(spark):
+    ids = [i for i in range(1, 60) if zlib.crc32(str(i).encode()) % 5]
+    docs = spark.createDataFrame([(ids[0], f"text {k:03}") for k in range(500)] + [(i, "other") for i in ids[1:]], "doc_id long, text string")
+    labels = spark.createDataFrame([(ids[0], 0), (ids[0], 1), (ids[1], 0)], "doc_id long, toxic int")
+    assert sorted(map(tuple, tx.training_sample(docs, labels, 10).collect())) == [("other", 0), ("text 000", 1)]
+
+
 def test_label_model_finds_rates_and_correlations():
     import numpy as np
 
