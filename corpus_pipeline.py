@@ -23,8 +23,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each SimHash group."""
-    return simhash.one_of_each(docs)
+    """The first document of each group: SimHash within two bits, or four fifths of all five-word shingles shared."""
+    return simhash.one_of_each(docs, alike=0.8)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

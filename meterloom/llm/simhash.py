@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from meterloom.llm import near_texts
 from meterloom.llm.common import checkpointed, components, ship, text_rows, unused
 
 ship(__name__)
@@ -125,15 +126,50 @@ def near_groups(docs: DataFrame, radius: int = 2, id_col: str = "doc_id", text_c
     return found.join(labels, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
-def one_of_each(docs: DataFrame, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sketches(docs: DataFrame, width: int, seed: int, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, fingerprint, size, bands, bits) for every row: its SimHash, and its signature of ``shingle``-word shingles. Map only."""
+    rows = text_rows(docs, id_col=id_col, text_col=text_col)
+    kind = rows.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            marks = [near_texts.signature(t, shingle) for t in texts]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([signed(simhash(t, width, seed)) for t in texts], pa.int64()),
+                 pa.array([m[0] for m in marks], pa.int32()), *(pa.array([m[i] for m in marks], pa.list_(pa.int64())) for i in (1, 2))],
+                names=["doc_id", "fingerprint", "size", "bands", "bits"],
+            )
+
+    return rows.mapInArrow(run, f"doc_id {kind}, fingerprint long, size int, bands array<long>, bits array<long>")
+
+
+def one_of_each(
+    docs: DataFrame, radius: int = 2, id_col: str = "doc_id", text_col: str = "text", width: int = 3, seed: int = 42,
+    alike: float | None = None, shingle: int = near_texts.WIDTH, small: int = 64,
+) -> DataFrame:
     """``docs`` with one row of each group: the smallest doc_id, of equal ids the smallest hash of the
-    text, of equal rows any. Rows without doc_id come first. All columns stay."""
+    text, of equal rows any. Rows without doc_id come first. All columns stay.
+
+    Texts are in one group if links join them: fingerprints (of ``width``-word shingles)
+    within ``radius`` bits and, with ``alike``, texts that share that much of their distinct
+    ``shingle``-word shingles, however far apart their fingerprints are.
+    """
     key = F.struct(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("row"))
     name = unused(docs, "__key")
     keyed = docs.withColumn(name, key)
-    found = checkpointed(simhashes(keyed, id_col=name, text_col=text_col))
+    if alike is None:
+        found = checkpointed(simhashes(keyed, width, seed, id_col=name, text_col=text_col))
+    else:
+        found = checkpointed(sketches(keyed, width, seed, shingle, id_col=name, text_col=text_col))
     prints = checkpointed(found.groupBy("fingerprint").agg(F.min("doc_id").alias("first")))
-    linked = components(near_links(prints.select("fingerprint"), radius))
+    links = near_links(prints.select("fingerprint"), radius)
+    if alike is not None:
+        links = checkpointed(links)
+        texts = found.groupBy(F.col("fingerprint").alias("node"), "doc_id.row").agg(*[F.first(c).alias(c) for c in ("size", "bands", "bits")])
+        rows = text_rows(keyed, id_col=name, text_col=text_col).select("doc_id.row", "text")
+        links = links.unionByName(near_texts.alike_links(texts, rows, links, alike, shingle, small))
+    linked = components(links)
     kept = (
         prints.join(linked, prints["fingerprint"] == linked["node"], "left")
         .groupBy(F.coalesce("component", "fingerprint").alias("c")).agg(F.min("first").alias("kept")).select("kept")
