@@ -125,7 +125,7 @@ def test_block(items: list[tuple[str, str]], width: int) -> Tests:
 
 
 def matches(tests: Tests, terms: bytes, counts: bytes, gaps: bytes, slop: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(item, length, starts of exact matches, starts of proximity matches) of a shard's postings."""
+    """(item, length, starts of exact matches, places of a proximity match's rarest word) of a shard's postings."""
     at = {t: i for i, t in enumerate(zlib.decompress(terms).split(b"\n"))}
     n_of, steps = unpacked(counts), unpacked(gaps)
     ends = np.cumsum(n_of)
@@ -164,7 +164,8 @@ def matches(tests: Tests, terms: bytes, counts: bytes, gaps: bytes, slop: int) -
                 exact = close(exact, row[j], j, 0)
                 if not len(exact):
                     break
-            yield int(item[w]), n, exact, np.maximum(near, 0)
+            # The start may lie before the document, even in the one before; the word is in it.
+            yield int(item[w]), n, exact, near + rare[0]
 
 
 def search_shard(tests: Tests, n_words: list[int], terms: bytes, counts: bytes, gaps: bytes, slop: int) -> list[tuple]:
