@@ -31,12 +31,12 @@ CLASSES = {
     "entropy_base64": (re.compile(r"[A-Za-z0-9+/_=-]+"), 24, 4.0),
 }
 
-#: Strings that look random and are public: an added span that matches is dropped.
+#: Strings that look random and are public: the part between / and = that holds one is not searched for windows.
 ALLOWED = (
     re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}"),  # UUID
-    re.compile(r"(?i:example|sample|dummy|placeholder|changeme|xxxx|your[_-])"),
+    re.compile(r"(?i:(?<![a-z])(example|sample|dummy|placeholder|changeme)(?![a-z])|xxxx|(?<![a-z])your[_-])"),
     re.compile(r"(?i:0123456789|abcdefghij|qwertyuiop)"),
-    re.compile(r"(?i:^(sha(1|256|384|512)|md5)[-_:=])"),  # named digests
+    re.compile(r"(?i:^(sha(1|256|384|512)|md5)[-_:=].*)"),  # named digests, to the end
 )
 
 
@@ -71,6 +71,21 @@ def hot_windows(run: str, width: int, least: float) -> list[tuple[int, int]]:
     return found
 
 
+def open_parts(word: str) -> list[tuple[int, int]]:
+    """The stretches of a candidate that are left without its allowed parts."""
+    ends = [-1, *(m.start() for m in re.finditer("[/=]", word)), len(word)]
+    allowed = [m.span() for a in ALLOWED for m in a.finditer(word)]
+    if not allowed:
+        return [(0, len(word))]
+    shut = sorted((max(x for x in ends if x < s) + 1, min(x for x in ends if x >= e)) for s, e in allowed)
+    parts, at = [], 0
+    for s, e in shut:
+        if s > at:
+            parts.append((at, s))
+        at = max(at, e)
+    return [*parts, (at, len(word))] if at < len(word) else parts
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """Matches of the three formats, leftmost and not overlapping within a kind."""
     spans = []
@@ -89,10 +104,11 @@ def spans_of(text: str) -> list[tuple[str, int, int]]:
         word = c.group()
         spans += [("hex", c.start() + m.start(), c.start() + m.end()) for m in HEX.finditer(word)]
         # Both a digit and a letter, else it is a number or a word.
-        if not re.search("[0-9]", word) or not re.search("[A-Za-z]", word) or any(a.search(word) for a in ALLOWED):
+        if not re.search("[0-9]", word) or not re.search("[A-Za-z]", word):
             continue
+        parts = open_parts(word)
         for kind, (runs, width, least) in CLASSES.items():
-            for run in runs.finditer(word):
+            for run in (r for a, b in parts for r in runs.finditer(word, a, b)):
                 if run.end() - run.start() < width or not re.search("[0-9]", run.group()) or not re.search("[A-Za-z]", run.group()):
                     continue
                 at = c.start() + run.start()
