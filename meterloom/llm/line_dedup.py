@@ -1,8 +1,9 @@
 """Line deduplication: a deletion-neighbourhood join on words.
 
 Lines are compared as word sequences. A line is removed if an earlier one has the same
-words or, from ``least`` words on, is one word away (one put in, left out or replaced; at
-least five words, so a similarity of 0.8 or more). Earlier: smaller (doc_id, line number).
+words or, from five words on, is one word away (one put in, left out or replaced). The
+bound is one word however long the line is: longer lines that differ in two words or more
+stay, also at a similarity of 0.8 or more. Earlier: smaller (doc_id, line number).
 
 Two lines one word apart share the words before the edit or those after it, hence a
 prefix or a suffix of a length that both know. Only lines that share such a key with
