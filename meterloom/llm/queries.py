@@ -7,7 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from meterloom.llm import bpe, decontaminate, line_dedup, lz_fingerprint, pii, secret_scan, sharding, simhash, token_counts, toxicity
+from meterloom.llm import (
+    block_names, bpe, collocations, decontaminate, hard_negatives, line_dedup, lz_fingerprint, pii, secret_scan, sharding, simhash,
+    token_counts, toxicity,
+)
 from meterloom.llm.common import count_of, joined_spans, table
 
 SHARD_BYTES = 1 << 20
@@ -88,12 +91,32 @@ def op10_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
     return secret_scan.digest(secret_scan.secret_spans(table(spark, sf, "documents")))
 
 
+def op11_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(rows.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+def op12_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return block_names.exact_groups(table(spark, sf, "documents"))
+
+
+def op13_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_decontaminate, op2_lz_fingerprint, op3_token_counts, op4_personal_data, op5_shards,
         op6_bpe, op7_simhash, op8_line_dedup, op9_toxicity, op10_secret_scan,
+        op11_hard_negatives, op12_exact_dedup, op13_collocations,
     )
 }
 
-ORACLES: dict[str, str] = {"op5_shards": sharding.ORACLE.format(limit=SHARD_BYTES)}
+ORACLES: dict[str, str] = {
+    "op5_shards": sharding.ORACLE.format(limit=SHARD_BYTES),
+    "op11_hard_negatives": hard_negatives.ORACLE,
+    "op12_exact_dedup": block_names.ORACLE,
+    "op13_collocations": collocations.ORACLE,
+}
