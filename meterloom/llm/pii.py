@@ -32,8 +32,13 @@ PATTERNS = {
 #: What a text must have for the pattern to be tried.
 GUARDS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]", "candidate": r"[0-9@]"}
 
+#: What a candidate sheds at its ends: a label such as ``tel:`` or ``ip=``, brackets, quotes and end signs.
+LEAD = r"^(?:[\p{L}_.-]{1,24}+[:=]++)?+[\"'(\[<{]*+"
+TAIL = r"(?<![)\"'\]>},.;:!?])[)\"'\]>},.;:!?]++$"
+
 ROUNDS = 3
-SUPPORT = 3.0  # known instances a pattern needs
+SUPPORT = 3.0  # known instances a pattern of two words needs
+WIDE_SUPPORT = 8.0  # those of one word, a label, or a shape, which say less
 LEAST_CONFIDENCE = 0.5  # of a pattern that passes scores on
 LEAST_SCORE = 0.7  # of an instance that is added
 AROUND = 80  # characters looked at for the words before and after
@@ -104,9 +109,16 @@ def matches(rows: DataFrame) -> DataFrame:
     ).select("uid", "doc_id", F.explode_outer(F.concat(*[_matches(k) for k in PATTERNS])).alias("m")).select("uid", "doc_id", "m.*")
     length = F.char_length("hit")
     so_far = Window.partitionBy("uid", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    placed = found.withColumn("end", F.sum(F.col("gap") + length).over(so_far).cast("int")).withColumn(
-        "start", F.col("end") - length
-    )
+    whole = found.withColumn("end", F.sum(F.col("gap") + length).over(so_far).cast("int")).withColumn("start", F.col("end") - length)
+    loose = F.col("kind") == "candidate"
+    ends = {"lead": F.when(loose, F.regexp_extract("hit", LEAD, 0)), "tail": F.when(loose, F.regexp_extract("hit", TAIL, 0))}
+    cut = whole.withColumns({n: F.coalesce(c, F.lit("")) for n, c in ends.items()})
+    lead, tail = F.char_length("lead"), F.char_length("tail")
+    core = F.greatest(F.char_length("hit") - lead - tail, F.lit(0))
+    placed = cut.withColumns({
+        "start": F.col("start") + lead, "end": F.col("start") + lead + core, "hit": F.substring("hit", lead + 1, core),
+        "before": F.concat("before", "lead"), "after": F.concat("tail", "after"),
+    })
     held = placed.withColumn("kind", F.when(_holds(F.col("kind"), F.col("hit")), F.col("kind")))
     base = F.col("kind").isin(*BASE)
     # Candidates that overlap a base match, which begins before or after: one running pass each way.
@@ -119,14 +131,26 @@ def matches(rows: DataFrame) -> DataFrame:
     return free.withColumn("kind", kept).select("uid", "doc_id", "kind", "start", "end", "hit", "before", "after")
 
 
-def _cues(before: str = "before", after: str = "after") -> Column:
-    """Lexical patterns of an occurrence: the two words before; the word before and the one after."""
+def _cues(before: str = "before", after: str = "after", hit: str = "hit") -> Column:
+    """Lexical patterns of an occurrence, each with the letter of its sort: the two words before (t),
+    the word before and the one after (b); and the wide ones: the word before (w), a label before
+    ``:`` or ``=`` (l), and the word before, or the beginning of a line, with the shape of the instance (s)."""
     plain = lambda c: F.regexp_replace(F.lower(c), "[0-9]", "0")
-    two = plain(F.regexp_extract(before, r"(\S+\s+\S+)\s*$", 1))
-    one = plain(F.regexp_extract(before, r"(\S+)\s*$", 1))
-    nxt = plain(F.regexp_extract(after, r"^\s*(\S+)", 1))
+    left = plain(before)
+    two = F.regexp_extract(left, r"(\S+\s+\S+)\s*$", 1)
+    one = F.regexp_extract(left, r"(\S+)\s*$", 1)
+    nxt = F.regexp_extract(plain(after), r"^\s*(\S+)", 1)
+    label = F.regexp_extract(left, r"([\p{L}_]+)\s*[:=]+\s*[\"'(\[<{]*$", 1)
+    shape = F.left(F.regexp_replace(F.regexp_replace(F.lower(hit), r"\p{L}+", "a"), "[0-9]+", "0"), F.lit(40))
+    begins = F.when((one == "") | F.col(before).rlike(r"\n\s*$"), F.lit("^")).otherwise(one)
     return F.filter(
-        F.array(F.when(two != "", F.concat(two, F.lit(" _"))), F.when((one != "") & (nxt != ""), F.concat(one, F.lit(" _ "), nxt))),
+        F.array(
+            F.when(two != "", F.concat(F.lit("t "), two, F.lit(" _"))),
+            F.when((one != "") & (nxt != ""), F.concat(F.lit("b "), one, F.lit(" _ "), nxt)),
+            F.when(one != "", F.concat(F.lit("w "), one, F.lit(" _"))),
+            F.when(label != "", F.concat(F.lit("l "), label, F.lit(": _"))),
+            F.concat(F.lit("s "), begins, F.lit(" _ "), shape),
+        ),
         lambda p: p.isNotNull(),
     )
 
@@ -147,7 +171,8 @@ def scores(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     for _ in range(rounds):
         support = (
             edges.select("instance", "pattern").distinct().join(known, "instance")
-            .groupBy("pattern", "kind").agg(F.sum("score").alias("s")).filter(F.col("s") >= SUPPORT)
+            .groupBy("pattern", "kind").agg(F.sum("score").alias("s"))
+            .filter(F.col("s") >= F.when(F.left("pattern", F.lit(1)).isin("t", "b"), SUPPORT).otherwise(WIDE_SUPPORT))
         )
         patterns = support.join(sizes, "pattern").withColumn("confidence", F.col("s") / (F.col("n") + 1)).filter(
             F.col("confidence") >= LEAST_CONFIDENCE
