@@ -12,6 +12,8 @@ WORD = 60  # bits of a hash word
 #: Directory bits that one pass may look below the depth an even spread would need.
 SPARE = 6
 MOST_BITS = 24
+#: Depths that are looked at on the driver, as sums of at most 2 ** COARSE prefixes.
+COARSE = 12
 
 
 def first_bits(value: Column, bits: int) -> Column:
@@ -28,6 +30,25 @@ def bit_text(prefix: Column, depth: Column) -> Column:
     return F.when(depth == 0, "").otherwise(F.lpad(F.bin(prefix), depth, F.lit("0")))
 
 
+def shallowest(cells: DataFrame, bits: int, limit: int) -> int:
+    """A depth above which no bucket of the first bits fits: the shallowest that does, or as far as
+    ``COARSE`` bits say. Prefixes shorter than that need no sums of their own, which would bring
+    the cells of half the table to one key."""
+    coarse = min(COARSE, bits)
+    sums = cells.groupBy(F.expr(f"shiftright(__cell, {bits - coarse})").alias("p")).agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("n"))
+    nodes = {r["p"]: (r["bytes"], r["n"]) for r in sums.collect()}  # at most 2 ** COARSE
+    found = coarse
+    for depth in range(coarse, -1, -1):
+        if any(b <= limit or n == 1 for b, n in nodes.values()):
+            found = depth
+        upper: dict[int, tuple[int, int]] = {}
+        for p, (b, n) in nodes.items():
+            old = upper.get(p >> 1, (0, 0))
+            upper[p >> 1] = (old[0] + b, old[1] + n)
+        nodes = upper
+    return found
+
+
 def extendible_shards(
     docs: DataFrame, limit: int, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()
 ) -> DataFrame:
@@ -67,7 +88,8 @@ def extendible_shards(
         lower = F.col("__words")[word].bitwiseAND(F.lit((1 << (WORD - used)) - 1))
         celled = rows.withColumn("__cell", F.shiftright(lower, WORD - used - bits))
         cells = checkpointed(celled.groupBy("__path", "__cell").agg(F.sum("n_bytes").alias("bytes"), F.count("*").alias("n")))
-        levels = cells.select("*", F.explode(F.sequence(F.lit(0), F.lit(bits))).alias("d")).withColumn(
+        top = 0 if used or word else shallowest(cells, bits, limit)
+        levels = cells.select("*", F.explode(F.sequence(F.lit(top), F.lit(bits))).alias("d")).withColumn(
             "prefix", F.expr(f"shiftright(__cell, {bits} - d)")
         )
         nodes = levels.groupBy("__path", "d", "prefix").agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("n"))
@@ -86,8 +108,10 @@ def extendible_shards(
         )
         left = cells.join(leaves, ["__path", "__cell"], "left_anti")
         word, used = (word + 1, 0) if used + bits == WORD else (word, used + bits)
-        if word == 3 or left.isEmpty():
+        if left.isEmpty():
             break
+        if word == 3:
+            raise RuntimeError("rows that differ in no bit of their hashes exceed the limit")
         rows = placed.filter("leaf IS NULL").select(
             "doc_id", "n_bytes", *carried, "__words",
             F.concat("__path", bit_text(F.col("__cell"), F.lit(bits))).alias("__path"),
