@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from meterloom.llm.common import checkpointed, ship, text_rows, unused, words_of
+from meterloom.llm.common import checkpointed, ship, stored, text_rows, unused, words_of
 
 ship(__name__)
 
@@ -203,8 +203,8 @@ def search(
     ``items`` are the item names whose windows occur, as strings; ``spans`` the hit words
     (start, end) by word number; ``near_items`` have the rarest words of a window within
     ``slop`` words of their places. Items go to the tasks in blocks of about
-    ``block_bytes``, so a task's memory doesn't grow with the benchmark; each block reads
-    the stored index, not the documents. Items without words match nothing; an item without
+    ``block_bytes``, one after another, so neither a task's nor the driver's memory grows with the
+    benchmark; each block reads the stored index, not the documents, and stores what it found. Items without words match nothing; an item without
     a name is called "null"; items of one name count once.
     """
     tests = items.select(
@@ -241,6 +241,8 @@ def search(
     for b in range(blocks):
         rows = tests.filter(F.pmod(F.xxhash64("name", "text"), F.lit(blocks)) == b).collect()
         part = hits(test_block([(r["name"], r["text"]) for r in rows], width))
+        if blocks > 1:  # run now: the plan of the union reads what was found, and holds no block
+            part = stored(part, "hits")
         found = part if found is None else found.unionByName(part)
     if blocks > 1:
         # Spans of several blocks overlap: sort, then carry (end so far, words so far) over them.
