@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from meterloom.functions.timeparts import epoch_seconds
-from meterloom.operators.windows import from_here, ordered, so_far
+from meterloom.operators.windows import neighbours, ordered
 
 
 def dedupe_keyed(
@@ -26,18 +26,22 @@ def dedupe_keyed(
     return kept.select(*[c if c in by else F.col(f"_kept.{c}").alias(c) for c in df.columns])
 
 
-def gapfill(df: DataFrame, keys: Sequence[str], ts: str, step: str = "hour") -> DataFrame:
+def gapfill(df: DataFrame, keys: Sequence[str], ts: str, step: str = "hour", block: int | None = None) -> DataFrame:
     """Continuous range per key from its first to its last slot.
 
     ``ts`` must be aligned to the step and unique per key. Each row expands to the
     slots up to the next row, so no spine has to be built and joined: the one
-    shuffle by key is shared with the windows that follow.
+    shuffle by key is shared with the windows that follow. ``block`` (seconds) splits
+    long series over tasks, as in ``neighbours``.
     """
     one = F.expr(f"interval 1 {step}")
     row = F.col(ts)
-    until = F.lead(ts).over(ordered(keys, ts)) - one
     values = [c for c in df.columns if c not in (*keys, ts)]
-    stretched = df.withColumn("_until", until).withColumn(
+    if block is None:
+        spaced = df.withColumn("_until", F.lead(ts).over(ordered(keys, ts)) - one)
+    else:
+        spaced = neighbours(df, keys, ts, {"row": row}, block, own=False).withColumn("_until", F.col("_next_row") - one)
+    stretched = spaced.withColumn(
         "_slot", F.explode(F.sequence(row, F.greatest(row, F.coalesce("_until", row)), one))
     )
     observed = F.col("_slot") == row
@@ -50,18 +54,12 @@ def gapfill(df: DataFrame, keys: Sequence[str], ts: str, step: str = "hour") ->
 
 
 def interpolate_linear(
-    df: DataFrame, keys: Sequence[str], ts: str, cols: Sequence[str]
+    df: DataFrame, keys: Sequence[str], ts: str, cols: Sequence[str], block: int | None = None
 ) -> DataFrame:
-    """Linear interpolation over the slots; the edges take the nearest value.
-
-    The descending half runs first, so the rows end up in time order and later
-    windows over the same series need no sort of their own.
-    """
+    """Linear interpolation over the slots; the edges take the nearest value. ``block`` as in ``neighbours``."""
     spot = df.withColumn("_pos", epoch_seconds(ts))
     point = {c: F.when(F.col(c).isNotNull(), F.struct("_pos", F.col(c).alias("v"))) for c in cols}
-    found = spot.withColumns(
-        {f"_next_{c}": F.last(point[c], True).over(from_here(keys, ts)) for c in cols}
-    ).withColumns({f"_prev_{c}": F.last(point[c], True).over(so_far(keys, ts)) for c in cols})
+    found = neighbours(spot, keys, ts, point, block)
 
     def filled(c: str):
         before, after = f"`_prev_{c}`", f"`_next_{c}`"
@@ -73,12 +71,10 @@ def interpolate_linear(
 
 
 def fill_forward_back(
-    df: DataFrame, keys: Sequence[str], ts: str, cols: Sequence[str]
+    df: DataFrame, keys: Sequence[str], ts: str, cols: Sequence[str], block: int | None = None
 ) -> DataFrame:
-    """Last known value; before the first one, the first."""
-    found = df.withColumns(
-        {f"_next_{c}": F.last(c, True).over(from_here(keys, ts)) for c in cols}
-    ).withColumns({f"_prev_{c}": F.last(c, True).over(so_far(keys, ts)) for c in cols})
+    """Last known value; before the first one, the first. ``block`` as in ``neighbours``."""
+    found = neighbours(df, keys, ts, {c: F.col(c) for c in cols}, block)
     return found.select(
         *[F.coalesce(f"_prev_{c}", f"_next_{c}").alias(c) if c in cols else F.col(c) for c in df.columns]
     )

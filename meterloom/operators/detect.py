@@ -170,11 +170,24 @@ def chart_energy_anomalies(df: DataFrame, keys: Sequence[str], ts: str) -> DataF
     return residual_outliers(df, keys, ts).withColumns({"type": kind, "severity": F.lit("high")})
 
 
-def chart_water_anomalies(df: DataFrame, keys: Sequence[str], date: str) -> DataFrame:
-    """Outliers of a daily chart (population std), tiered by their size in stds."""
+def _chart_marks() -> tuple[Column, Column]:
+    """Type and severity of a chart row whose ``deviation`` is an outlier."""
     sigma = F.col("deviation") / (F.col("deviation_std") + 1e-9)
     kind = F.when(F.col("actual") > F.col("predicted"), "High Spike").otherwise("Unusual Drop")
-    tier = F.when(sigma >= 3, "critical").when(sigma >= 2, "high").otherwise("medium")
-    return residual_outliers(df, keys, date, population_std=True).withColumns(
-        {"type": kind, "severity": tier}
+    return kind, F.when(sigma >= 3, "critical").when(sigma >= 2, "high").otherwise("medium")
+
+
+def chart_water_anomalies(df: DataFrame, keys: Sequence[str], date: str) -> DataFrame:
+    """Outliers of a daily chart (population std), tiered by their size in stds."""
+    kind, tier = _chart_marks()
+    return residual_outliers(df, keys, date, population_std=True).withColumns({"type": kind, "severity": tier})
+
+
+def charted_water(df: DataFrame, keys: Sequence[str], date: str) -> DataFrame:
+    """Every row of a daily chart with its number; outliers have their type and severity."""
+    kind, tier = _chart_marks()
+    marked = df.withColumn("deviation", F.abs(F.col("actual") - F.col("predicted"))).withColumns(
+        {"idx": F.row_number().over(ordered(keys, date)) - 1, "deviation_std": F.stddev_pop("deviation").over(whole(keys))}
     )
+    out = F.col("deviation") > F.col("deviation_std") * 2
+    return marked.select(*keys, date, "idx", "actual", "predicted", F.when(out, kind).alias("type"), F.when(out, tier).alias("severity"))

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from meterloom.functions.numeric import safe_ratio
 from meterloom.functions.timeparts import calendar_columns
-from meterloom.operators.windows import centered, from_here, ordered, trailing, whole
+from meterloom.operators.windows import ALL_ROWS, centered, from_here, ordered, so_far, trailing, whole
 
 # Lags and windows of the feature set.
 HOURLY_LAGS = (1, 24, 168)
@@ -91,6 +91,10 @@ def waste_features(
     return out.withColumn("diversion_rate", safe_ratio(recycled, total))
 
 
+#: Frames up to this many rows are summed anew for every row; longer ones by blocks.
+SHORT_FRAME = 32
+
+
 def rolling_stats(
     df: DataFrame,
     keys: Sequence[str],
@@ -103,15 +107,55 @@ def rolling_stats(
 ) -> DataFrame:
     """Trailing mean and std as the columns named, NULL until ``at_least`` values are there.
 
-    A sliding frame is summed anew for every row, so the count is taken once for both
-    and a statistic without a name is not computed.
+    The cost of a long frame does not grow with its length: a series is cut into blocks as long
+    as the frame, so a frame is the end of one block and the beginning of the next. Both are
+    running sums of deviations from a value of their own block, and the two are put together
+    as the parts of a variance are. Nothing is subtracted that was added far away, so the
+    result is as near as that of a frame summed on its own, and a frame of equal values has std 0.
     """
-    frame = trailing(keys, ts, rows)
-    stats = {mean: F.avg(col).over(frame), std: F.stddev_samp(col).over(frame)}
-    wanted = {name: stat for name, stat in stats.items() if name}
-    found = df.withColumns({"_n": F.count(col).over(frame), **wanted})
-    enough = F.col("_n") >= at_least
-    return found.withColumns({name: F.when(enough, F.col(name)) for name in wanted}).drop("_n")
+    if rows <= SHORT_FRAME:
+        frame = trailing(keys, ts, rows)
+        stats = {mean: F.avg(col).over(frame), std: F.stddev_samp(col).over(frame)}
+        wanted = {name: stat for name, stat in stats.items() if name}
+        found = df.withColumns({"_n": F.count(col).over(frame), **wanted})
+        enough = F.col("_n") >= at_least
+        return found.withColumns({name: F.when(enough, F.col(name)) for name in wanted}).drop("_n")
+
+    series, block = [*keys], [*keys, "_block"]
+    value = F.col(col).cast("double")
+    dev = value - F.col("_base")
+
+    def sums(frame) -> Column:
+        parts = {"n": F.count(value), "s": F.sum(dev), "q": F.sum(dev * dev), "lo": F.min(value), "hi": F.max(value)}
+        return F.struct(F.col("_base").alias("b"), *[p.over(frame).alias(n) for n, p in parts.items()])
+
+    placed = df.withColumn("_at", F.row_number().over(ordered(series, ts)) - 1).withColumn("_block", F.expr(f"_at div {rows}"))
+    back = Window.partitionBy(*block).orderBy(F.desc(ts))
+    based = placed.withColumn("_base", F.first(value, True).over(back.rowsBetween(*ALL_ROWS)))
+    ends = based.withColumn("_end", sums(back.rowsBetween(Window.unboundedPreceding, 0)))
+    begun = ends.withColumn("_begin", sums(so_far(block, ts)))
+    # In the order of (block, time), so the rows need no further sort.
+    earlier = F.lag("_end", rows - 1).over(Window.partitionBy(*series).orderBy("_block", ts))
+    both = begun.withColumn("_end", F.when(F.col("_at") % rows != rows - 1, earlier))
+
+    def part(side: str, name: str) -> Column:
+        return F.coalesce(F.col(f"{side}.{name}"), F.lit(0.0))
+
+    n1, n2 = part("_begin", "n"), part("_end", "n")
+    n = n1 + n2
+    mean1, mean2 = (F.col(f"{s}.b") + part(s, "s") / F.nullif(part(s, "n"), F.lit(0.0)) for s in ("_begin", "_end"))
+    gap = F.coalesce(mean2 - mean1, F.lit(0.0))
+    inner = [part(s, "q") - F.coalesce(part(s, "s") * part(s, "s") / F.nullif(part(s, "n"), F.lit(0.0)), F.lit(0.0)) for s in ("_begin", "_end")]
+    share = n2 / F.nullif(n, F.lit(0.0))
+    square = inner[0] + inner[1] + gap * gap * n1 * share
+    flat = F.least("_begin.lo", "_end.lo") == F.greatest("_begin.hi", "_end.hi")
+    found = {
+        mean: F.coalesce(mean1 + gap * share, mean2),
+        std: F.when(n > 1, F.when(flat, 0.0).otherwise(F.sqrt(F.greatest(square, F.lit(0.0)) / (n - 1)))),
+    }
+    enough = n >= at_least
+    out = both.withColumns({name: F.when(enough, stat) for name, stat in found.items() if name})
+    return out.drop("_at", "_block", "_base", "_begin", "_end")
 
 
 def backfill_std(

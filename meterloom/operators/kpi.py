@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from meterloom.functions.numeric import clamp, safe_ratio
+from meterloom.functions.severity import SEVERITY_ORDER
 from meterloom.functions.text import currency, decimal_text, percent_text, signed, title_words
 from meterloom.operators.recent import latest_day, month_start, month_to_date, tail_per_series
 from meterloom.operators.windows import whole
@@ -278,14 +279,30 @@ def sustainability_score(
     )
 
 
+def score_card(scores: DataFrame, counts: DataFrame, status: DataFrame) -> DataFrame:
+    """Scores with the number of active alerts by severity (``counts``: severity, alert_count) and
+    ``models_ready``: whether every target of ``status`` has a trained model.
+
+    The numbers are scalar subqueries, one row each, so nothing is joined.
+    """
+    total = lambda which: F.coalesce(F.sum(F.when(which, F.col("alert_count"))), F.lit(0)).cast("long")
+    severities = [(f"active_{s}", F.col("severity") == s) for s in SEVERITY_ORDER[:3]]
+    alerts = counts.agg(*[total(which).alias(name) for name, which in [*severities, ("active_total", F.lit(True))]])
+    ready = status.groupBy("target").agg(F.bool_or(F.col("status") == "Active").alias("has"))
+    ready = ready.agg(F.coalesce(F.bool_and("has"), F.lit(False)).alias("ready"))
+    return scores.select(
+        "*", *[alerts.select(c).scalar().alias(c) for c in alerts.columns], ready.scalar().alias("models_ready")
+    )
+
+
 def forecast_overage(
     forecast: DataFrame, daily: DataFrame, keys: Sequence[str], date: str, col: str
 ) -> DataFrame:
     """Projected total against the same number of latest actual days (``actual_30`` for the usual 30)."""
     projected = forecast.groupBy(*keys).agg(F.sum("forecast").alias("projected"), F.count_distinct(date).alias("_days"))
-    age = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(date)))
-    latest = daily.select(*keys, date, col).withColumn("_age", age).join(projected.select(*keys, "_days"), list(keys))
-    actual = latest.filter("_age <= _days").groupBy(*keys).agg(F.sum(col).alias("actual_30"))
+    longest = projected.agg(F.max("_days")).first()[0] or 0
+    latest = tail_per_series(daily.select(*keys, date, col), keys, date, longest).join(projected.select(*keys, "_days"), list(keys))
+    actual = latest.filter("age <= _days").groupBy(*keys).agg(F.sum(col).alias("actual_30"))
     projected = projected.drop("_days")
     pct = F.when(F.col("actual_30") > 0, (F.col("projected") - F.col("actual_30")) / F.col("actual_30") * 100).otherwise(0.0)
     text = lambda c: decimal_text(c, 0)

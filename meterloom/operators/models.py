@@ -19,6 +19,7 @@ from meterloom.operators.features import lag_vector
 from meterloom.operators.forecast import check_horizon, forecast_flat, half_std_bounds
 from meterloom.operators.recent import tail_per_series
 from meterloom.operators.windows import ordered
+from meterloom.session import saved
 from meterloom.sources.artifacts import load_model, path_exists, save_model
 
 # ---------------------------------------------------------------- random forest
@@ -158,6 +159,7 @@ def _forest_inputs(target: str, step: int, seed_lags: bool) -> dict[str, Column]
 # ---------------------------------------------------------------- autoregression
 
 AR_STEPS = 14  # fixed value: days of history the autoregression looks at
+BLOCK_BITS = 7  # a backcast is made in blocks of 2 ** BLOCK_BITS days
 AR_FLAT_MARGIN = 0.10  # of the flat forecast that short series get
 
 
@@ -262,22 +264,60 @@ def forecast_autoregression(
     return _with_flat(learned, df, keys, date, col, horizon, model.steps, AR_FLAT_MARGIN)
 
 
+def _matrix(rows: Sequence[Sequence[float]]) -> Column:
+    return F.expr("array(" + ", ".join("array(" + ", ".join(f"{v!r}D" for v in row) + ")" for row in rows) + ")")
+
+
+def _states(model: Autoregression, seeds: DataFrame, keys: Sequence[str], most: int) -> DataFrame:
+    """keys, _block, _seed: the days that the free run has just made when a block begins.
+
+    A block of days moves the state by a fixed matrix; its squares move it by 2, 4, 8 ... blocks. So
+    every block of a series is reached in as many steps as its number has bits, and a step doubles
+    the rows there are up to the series' own ``_last_block``. ``most`` is the largest of these.
+    """
+    n = model.steps
+    # The last value is a constant one, so that a step is a product.
+    step = [[float(j == i + 1) for j in range(n + 1)] for i in range(n - 1)] + [[*model.coefficients, model.intercept], [0.0] * n + [1.0]]
+
+    def times(a, b):
+        return [[sum(x * y for x, y in zip(row, column, strict=True)) for column in zip(*b, strict=True)] for row in a]
+
+    power = step
+    for _ in range(BLOCK_BITS):
+        power = times(power, power)
+    out = seeds.select(*keys, "_last_block", F.lit(0).alias("_block"), F.concat("_seed", F.array(F.lit(1.0))).alias("_state"))
+    for bit in range(most.bit_length()):
+        ahead = F.transform(_matrix(power), lambda row: F.aggregate(F.zip_with(row, "_state", lambda w, x: w * x), F.lit(0.0), lambda a, v: a + v))
+        later = F.struct((F.col("_block") + (1 << bit)).alias("_block"), ahead.alias("_state"))
+        both = F.array(F.struct("_block", "_state"), F.when(F.col("_block") + (1 << bit) <= F.col("_last_block"), later))
+        out = out.select(*keys, "_last_block", F.explode(F.array_compact(both)).alias("_s")).select(*keys, "_last_block", "_s.*")
+        power = times(power, power)
+    return out.select(*keys, "_block", F.slice("_state", 1, n).alias("_seed"))
+
+
 def backcast_autoregression(
     model: Autoregression, df: DataFrame, keys: Sequence[str], date: str, col: str
 ) -> DataFrame:
     """In-sample path: the first rows echo the actuals, the rest runs free from them.
 
-    A row needs its series' first days and the weights of its step, so no series is
-    collected and the cost is the same for every day.
+    The free run is cut into blocks. A row is a dot product of the state its block begins with and
+    the weights of its place in the block, so the cost is the same for every day, nothing is
+    collected, and what the driver makes does not grow with the series.
     """
+    block = 1 << BLOCK_BITS
     rows = _scaled(df, model.scale, keys, col).select(
         *keys, date, F.col(col).alias("actual"), "_scaled", "lo", "hi", (F.row_number().over(ordered(keys, date)) - 1).alias("idx")
     )
-    first = F.sort_array(F.collect_list(F.struct("idx", F.col("_scaled").alias("v"))))
-    seeds = rows.filter(F.col("idx") < model.steps).groupBy(*keys).agg(F.transform(first, lambda e: e["v"]).alias("_seed"))
-    longest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    weights = model.step_weights(df.sparkSession, max(0, longest - model.steps))
-    joined = rows.join(seeds, list(keys)).withColumn("_step", F.col("idx") - model.steps + 1).join(weights, "_step", "left")
+    first = F.sort_array(F.collect_list(F.when(F.col("idx") < model.steps, F.struct("idx", F.col("_scaled").alias("v")))))
+    ahead = F.greatest(F.col("idx") - model.steps, F.lit(0))
+    rows = rows.withColumns({"_block": F.floor(ahead / block).cast("int"), "_step": ahead % block + 1})
+    seeds = rows.groupBy(*keys).agg(F.transform(first, lambda e: e["v"]).alias("_seed"), F.max("_block").alias("_last_block"))
+    seeds = saved(seeds, "seeds")
+    most = seeds.agg(F.max("_last_block")).first()[0] or 0
+    full = seeds.filter(F.size("_seed") == model.steps)
+    states = _states(model, full, keys, most)
+    weights = model.step_weights(df.sparkSession, block)
+    joined = rows.join(states, [*keys, "_block"], "left").join(weights, "_step", "left")
     free = floor_zero(minmax_inverse(_ahead(F.col("_seed")), "lo", "hi"))
     return joined.select(
         *keys, date, "idx", "actual", F.when(F.col("idx") < model.steps, F.col("actual")).otherwise(free).alias("predicted")

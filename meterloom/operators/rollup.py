@@ -42,3 +42,17 @@ def resample(
     out = out_ts or ts
     slots = gapfill(rollup(df, keys, ts, step, sums, means, out), keys, out, step)
     return slots.drop("is_observed").fillna(0.0, subset=list(sums))
+
+
+def with_distinct(df: DataFrame, by: Mapping[str, Column], measures: Mapping[str, Column], key: str, name: str) -> DataFrame:
+    """Sums of ``measures`` per group, and the exact number of different integer keys as ``name``.
+
+    Keys become bits of a bitmap per group and bucket of 32768 keys, which folds in the map
+    tasks as sums do: what crosses the network goes by group and bucket, never by key. Null
+    keys don't count.
+    """
+    parts = df.groupBy(*[c.alias(n) for n, c in by.items()], F.bitmap_bucket_number(key).alias("_bucket")).agg(
+        *[F.sum(c).alias(n) for n, c in measures.items()], F.bitmap_construct_agg(F.bitmap_bit_position(key)).alias("_keys")
+    )
+    found = F.when(F.col("_bucket").isNotNull(), F.bitmap_count("_keys"))
+    return parts.groupBy(*by).agg(*[F.sum(n).alias(n) for n in measures], F.coalesce(F.sum(found), F.lit(0)).cast("double").alias(name))

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql.window import WindowSpec
 
+from meterloom.functions.timeparts import epoch_seconds
+
+
+ALL_ROWS = (W.unboundedPreceding, W.unboundedFollowing)
+
 
 def ordered(keys: Sequence[str], ts: str) -> WindowSpec:
     return W.partitionBy(*keys).orderBy(ts)
@@ -73,3 +78,48 @@ def in_time_blocks(
     spread = df.withColumn("_home", home).withColumn("_block", F.explode(copies))
     out = fn(spread, [*keys, "_block"])
     return out.filter(F.col("_block") == F.col("_home")).drop("_block", "_home")
+
+
+def neighbours(
+    df: DataFrame, keys: Sequence[str], ts: str, points: Mapping[str, Column], block: int | None = None, own: bool = True
+) -> DataFrame:
+    """``_prev_<name>`` and ``_next_<name>``: the nearest point of each name before a row and after it.
+
+    A point is a value of any type; where it is NULL there is none. A row's ``own`` point counts
+    on both sides, or on none. The descending half runs first, so the rows end up in time order
+    and later windows need no sort of their own.
+
+    ``block`` (seconds) cuts each series at fixed times, so that one long series is the work of
+    many tasks: the first and last point of every block are found first (one row a block), then carried over the blocks of a series, and come back to each block as an extra row at
+    either end. ``df`` is read twice then; store it if it is dear.
+    """
+    near = (W.unboundedPreceding, 0 if own else -1)
+    if block is None:
+        series = W.partitionBy(*keys)
+        after = {f"_next_{n}": F.last(p, True).over(series.orderBy(F.desc(ts)).rowsBetween(*near)) for n, p in points.items()}
+        before = {f"_prev_{n}": F.last(p, True).over(series.orderBy(ts).rowsBetween(*near)) for n, p in points.items()}
+        return df.withColumns(after).withColumns(before)
+    home = F.floor(epoch_seconds(ts) / block)
+    spots = df.withColumns({**{f"_at_{n}": p for n, p in points.items()}, "_block": home, "_side": F.lit(1)})
+    known = {n: F.when(F.col(f"_at_{n}").isNotNull(), F.struct(F.col(ts), F.col(f"_at_{n}").alias("p"))) for n in points}
+    ends = spots.groupBy(*keys, "_block").agg(
+        *[F.min(k).alias(f"_first_{n}") for n, k in known.items()], *[F.max(k).alias(f"_last_{n}") for n, k in known.items()]
+    )
+    earlier = W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    later = W.partitionBy(*keys).orderBy(F.desc("_block")).rowsBetween(W.unboundedPreceding, -1)
+    ends = ends.select(
+        *keys, "_block",
+        *[F.last(f"_first_{n}", True).over(later)["p"].alias(f"_on_{n}") for n in points],
+        *[F.last(f"_last_{n}", True).over(earlier)["p"].alias(f"_back_{n}") for n in points],
+    )
+
+    def extra(side: int, kind: str) -> DataFrame:
+        return ends.select(*keys, "_block", F.lit(side).alias("_side"), *[F.col(f"_{kind}_{n}").alias(f"_at_{n}") for n in points])
+
+    rows = spots.unionByName(extra(0, "back"), True).unionByName(extra(2, "on"), True)
+    rows = rows.repartition(*keys, "_block")  # rows that are dealt by series alone would stay so
+    part = W.partitionBy(*keys, "_block")
+    down, up = (part.orderBy(*order).rowsBetween(*near) for order in ([F.desc("_side"), F.desc(ts)], ["_side", ts]))
+    rows = rows.withColumns({f"_next_{n}": F.last(f"_at_{n}", True).over(down) for n in points})
+    rows = rows.withColumns({f"_prev_{n}": F.last(f"_at_{n}", True).over(up) for n in points})
+    return rows.filter("_side = 1").drop("_block", "_side", *[f"_at_{n}" for n in points])

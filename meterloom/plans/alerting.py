@@ -12,7 +12,7 @@ from meterloom.operators.features import rolling_stats, trailing_baseline
 from meterloom.operators.recent import tail_per_series, trailing_range
 from meterloom.operators.windows import ordered, trailing
 from meterloom.plans.base import (
-    KEY, SQL_DAILY, SQL_HOURLY, SQL_WASTE, days_of, hourly, query, rounded, rs, saved, waste, with_,
+    KEY, SQL_DAILY, SQL_HOURLY, SQL_WASTE, days_of, hourly, hourly_recent, query, rounded, rs, saved, waste, with_,
 )
 from meterloom.plans.features import frame
 from meterloom.plans.forecasts import SQL_AVP, SQL_PREDICTED, chart_hours, predicted_hours
@@ -173,7 +173,8 @@ def detect_energy_in_range(spark, sf):
 
 @query("detect_water", with_(SQL_HOURLY, sql_water("48 HOUR"), "SELECT * FROM water_alerts"))
 def detect_water(spark, sf):
-    return water_alerts(hourly(spark, sf))
+    """The last 48 hours, from the readings of those and of the week before them."""
+    return water_alerts(hourly_recent(spark, sf, detect.SCAN_HOURS + detect.HOURLY_ROWS))
 
 
 @query("detect_waste", with_(SQL_WASTE, sql_waste("14 DAY"), "SELECT * FROM waste_alerts"))
@@ -377,7 +378,7 @@ def alerts_active_resource(spark, sf):
     with_(SQL_STORED, f"SELECT {SQL_COLS} FROM stored WHERE created_at >= TIMESTAMP '{NOW}' - INTERVAL 72 HOUR ORDER BY created_at DESC, alert_id LIMIT 100"),
 )
 def alerts_recent(spark, sf):
-    return ops.recent(alert_table(spark, sf).state().drop("resolved_at"), now(), 72, 100)
+    return alert_table(spark, sf).recent(now(), 72, 100).drop("resolved_at")
 
 
 @query("alert_counts", with_(SQL_STORED, "SELECT severity, count(*) AS alert_count FROM stored WHERE status = 'active' GROUP BY ALL"))

@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from meterloom.functions.numeric import tidy
 from meterloom.operators.clean import fill_forward_back, gapfill, interpolate_linear
-from meterloom.operators.rollup import resample, rollup
+from meterloom.operators.recent import recent_readings
+from meterloom.operators.rollup import resample, rollup, with_distinct
 from meterloom.session import saved  # noqa: F401  (re-exported to the plans)
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,15 +57,18 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def keyed(df: DataFrame, *keys: str) -> DataFrame:
-    """Rows that belong to a series. Stated in every adapter, so branches of one plan
-    that later join on the key still share their scan and shuffle."""
-    return df.filter(" and ".join(f"{k} is not null" for k in keys))
+#: Series of rows that name none.
+NO_SERIES = "unknown"
+
+
+def series_of(column: str) -> Column:
+    """The column as a series key; rows without one are a series of their own."""
+    return F.coalesce(column, F.lit(NO_SERIES))
 
 
 def readings(spark: SparkSession, sf: str) -> DataFrame:
-    return keyed(table(spark, sf, "events"), "event_type").select(
-        F.col("event_type").alias("series"),
+    return table(spark, sf, "events").select(
+        series_of("event_type").alias("series"),
         "ts",
         "event_id",
         "value",
@@ -82,6 +86,13 @@ def hourly_observed(spark: SparkSession, sf: str) -> DataFrame:
     return rollup(readings(spark, sf), KEY, "ts", "hour", HOURLY_SUMS, HOURLY_MEANS)
 
 
+def hourly_recent(spark: SparkSession, sf: str, hours: int) -> DataFrame:
+    """Continuous hours from ``hours`` before each series' latest on, read from that time on only."""
+    near = recent_readings(readings(spark, sf), KEY, "ts", hours)
+    grid = gapfill(rollup(near, KEY, "ts", "hour", HOURLY_SUMS, HOURLY_MEANS), KEY, "ts", "hour").drop("is_observed")
+    return interpolate_linear(grid, KEY, "ts", ["usage", "readings", "level"])
+
+
 def hourly_grid(spark: SparkSession, sf: str) -> DataFrame:
     return gapfill(hourly_observed(spark, sf), KEY, "ts", "hour")
 
@@ -105,21 +116,18 @@ def days_of(hours: DataFrame) -> DataFrame:
 
 
 def waste_observed(spark: SparkSession, sf: str) -> DataFrame:
-    """series, date, total, recycled, landfill, population for days with rows.
-
-    All measures are sums and counts, so raw rows fold in the map tasks; population is the
-    number of line items.
-    """
+    """series, date, total, recycled, landfill, population for days with rows; population is the number of orders."""
     recycled = F.col("l_returnflag") == "R"
-    return (
-        keyed(table(spark, sf, "lineitem"), "l_linestatus")
-        .groupBy(F.col("l_linestatus").alias("series"), F.to_date("l_shipdate").alias("date"))
-        .agg(
-            F.sum("l_quantity").alias("total"),
-            F.sum(F.when(recycled, F.col("l_quantity")).otherwise(0.0)).alias("recycled"),
-            F.sum(F.when(~recycled, F.col("l_quantity")).otherwise(0.0)).alias("landfill"),
-            F.count(F.lit(1)).cast("double").alias("population"),
-        )
+    return with_distinct(
+        table(spark, sf, "lineitem"),
+        {"series": series_of("l_linestatus"), "date": F.to_date("l_shipdate")},
+        {
+            "total": F.col("l_quantity"),
+            "recycled": F.when(recycled, F.col("l_quantity")).otherwise(0.0),
+            "landfill": F.when(recycled, 0.0).otherwise(F.col("l_quantity")),
+        },
+        "l_orderkey",
+        "population",
     )
 
 
@@ -133,20 +141,13 @@ def waste(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def trips_observed(spark: SparkSession, sf: str) -> DataFrame:
-    """series, member, date, fuel, trips, riders for days with orders; an order stands for a
-    trip with one to four riders."""
-    return (
-        keyed(table(spark, sf, "orders"), "o_orderstatus", "o_orderpriority")
-        .groupBy(
-            F.col("o_orderstatus").alias("series"),
-            F.col("o_orderpriority").alias("member"),
-            F.to_date("o_orderdate").alias("date"),
-        )
-        .agg(
-            F.sum("o_totalprice").alias("fuel"),
-            F.count(F.lit(1)).cast("double").alias("trips"),
-            F.sum(1 + F.col("o_custkey") % 4).cast("double").alias("riders"),
-        )
+    """series, member, date, fuel, trips, riders for days with orders; riders is the number of customers."""
+    return with_distinct(
+        table(spark, sf, "orders"),
+        {"series": series_of("o_orderstatus"), "member": series_of("o_orderpriority"), "date": F.to_date("o_orderdate")},
+        {"fuel": F.col("o_totalprice"), "trips": F.lit(1.0)},
+        "o_custkey",
+        "riders",
     )
 
 
@@ -226,7 +227,7 @@ def sql_fill(src: str, out: str, time: str, cols: list[str], keys: str = "series
 HOURLY_COLS = ["usage", "readings", "level"]
 
 SQL_OBSERVED = """
-obs AS (SELECT event_type AS series, date_trunc('hour', ts) AS ts, sum(value) AS usage,
+obs AS (SELECT coalesce(event_type, 'unknown') AS series, date_trunc('hour', ts) AS ts, sum(value) AS usage,
                CAST(count(*) AS DOUBLE) AS readings, avg(CAST(user_id AS DOUBLE)) AS level
         FROM events GROUP BY ALL)"""
 SQL_GRID = SQL_OBSERVED + "," + sql_spine("obs", "grid", "ts", HOURLY_COLS, "HOUR")
@@ -236,18 +237,18 @@ daily AS (SELECT series, CAST(ts AS DATE) AS date, sum(usage) AS usage, sum(read
                  avg(level) AS level FROM hourly GROUP BY ALL)"""
 
 SQL_WASTE_OBSERVED = """
-waste_obs AS (SELECT l_linestatus AS series, CAST(l_shipdate AS DATE) AS date, sum(l_quantity) AS total,
+waste_obs AS (SELECT coalesce(l_linestatus, 'unknown') AS series, CAST(l_shipdate AS DATE) AS date, sum(l_quantity) AS total,
                      sum(CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE 0 END) AS recycled,
                      sum(CASE WHEN l_returnflag = 'R' THEN 0 ELSE l_quantity END) AS landfill,
-                     CAST(count(*) AS DOUBLE) AS population
+                     CAST(count(DISTINCT l_orderkey) AS DOUBLE) AS population
               FROM lineitem GROUP BY ALL)"""
 SQL_WASTE_GRID = SQL_WASTE_OBSERVED + "," + sql_spine("waste_obs", "waste_grid", "date", WASTE_VALUES, "DAY")
 SQL_WASTE = SQL_WASTE_GRID + "," + sql_fill("waste_grid", "waste", "date", WASTE_VALUES)
 
 SQL_TRIPS = """
-trips AS (SELECT o_orderstatus AS series, o_orderpriority AS member, CAST(o_orderdate AS DATE) AS date,
+trips AS (SELECT coalesce(o_orderstatus, 'unknown') AS series, coalesce(o_orderpriority, 'unknown') AS member, CAST(o_orderdate AS DATE) AS date,
                  sum(o_totalprice) AS fuel, CAST(count(*) AS DOUBLE) AS trips,
-                 CAST(sum(1 + o_custkey % 4) AS DOUBLE) AS riders
+                 CAST(count(DISTINCT o_custkey) AS DOUBLE) AS riders
           FROM orders GROUP BY ALL)"""
 SQL_USAGE = SQL_TRIPS + """,
 usage_obs AS (SELECT series, date, sum(fuel) AS fuel, sum(trips) AS trips, sum(riders) AS riders

@@ -164,9 +164,9 @@ def ingest_report(spark, sf):
 
 @query(
     "dedupe_keyed",
-    f"""SELECT event_type AS series, date_trunc('hour', ts) AS slot, ts, event_id, value, level FROM (
+    f"""SELECT coalesce(event_type, 'unknown') AS series, date_trunc('hour', ts) AS slot, ts, event_id, value, level FROM (
           SELECT *, CAST(user_id AS DOUBLE) AS level, row_number() OVER (
-            PARTITION BY event_type, date_trunc('hour', ts) ORDER BY ts, event_id) AS rn FROM events) WHERE rn = 1""",
+            PARTITION BY coalesce(event_type, 'unknown'), date_trunc('hour', ts) ORDER BY ts, event_id) AS rn FROM events) WHERE rn = 1""",
 )
 def dedupe_keyed(spark, sf):
     """The first reading of every series and hour."""
@@ -196,24 +196,47 @@ def gapfill_daily(spark, sf):
     return rounded(clean.gapfill(trips_observed(spark, sf), MEMBER, "date", "day"), {"fuel": 2, "trips": 2, "riders": 2})
 
 
-@query("interpolate_linear", with_(SQL_HOURLY, f"SELECT series, ts, {rs(*HOURLY_COLS)} FROM hourly"))
+SQL_INTERPOLATED = with_(SQL_HOURLY, f"SELECT series, ts, {rs(*HOURLY_COLS)} FROM hourly")
+
+
+@query("interpolate_linear", SQL_INTERPOLATED)
 def interpolate_linear(spark, sf):
     return rounded(hourly(spark, sf))
 
 
-@query(
-    "fill_forward_back",
-    with_(
-        SQL_TRIPS_GRID,
-        sql_fill("trips_grid", "filled", "date", USAGE_VALUES, "series, member"),
-        f"SELECT series, member, date, {rs('fuel', digits=2)}, trips, riders FROM filled",
-    ),
+#: Seconds of a block of hours, and of one of days, where a long series is split over tasks.
+HOURS_BLOCK, DAYS_BLOCK = 240 * 3600, 365 * 86400
+
+
+@query("interpolate_in_blocks", SQL_INTERPOLATED)
+def interpolate_in_blocks(spark, sf):
+    """The same in blocks of ten days, so that one long series is the work of many tasks."""
+    observed = saved(hourly_observed(spark, sf), "observed-hours")
+    grid = saved(clean.gapfill(observed, KEY, "ts", "hour", HOURS_BLOCK).drop("is_observed"), "hour-grid")
+    return rounded(clean.interpolate_linear(grid, KEY, "ts", HOURLY_COLS, HOURS_BLOCK))
+
+
+SQL_FILLED = with_(
+    SQL_TRIPS_GRID,
+    sql_fill("trips_grid", "filled", "date", USAGE_VALUES, "series, member"),
+    f"SELECT series, member, date, {rs('fuel', digits=2)}, trips, riders FROM filled",
 )
+
+
+@query("fill_forward_back", SQL_FILLED)
 def fill_forward_back(spark, sf):
     grid = clean.gapfill(trips_observed(spark, sf), MEMBER, "date", "day").drop("is_observed")
     return rounded(clean.fill_forward_back(grid, MEMBER, "date", USAGE_VALUES), {c: 2 for c in USAGE_VALUES})
 
 
+@query("fill_in_blocks", SQL_FILLED)
+def fill_in_blocks(spark, sf):
+    """The same in blocks of a year."""
+    observed = saved(trips_observed(spark, sf), "observed-trips")
+    grid = saved(clean.gapfill(observed, MEMBER, "date", "day", DAYS_BLOCK).drop("is_observed"), "day-grid")
+    return rounded(clean.fill_forward_back(grid, MEMBER, "date", USAGE_VALUES, DAYS_BLOCK), {c: 2 for c in USAGE_VALUES})
+
+
 @query(
     "dropna_target",
     with_(SQL_GRID, "SELECT series, count(*) AS kept, min(ts) AS first_ts, max(ts) AS last_ts FROM grid WHERE usage IS NOT NULL GROUP BY ALL"),

@@ -165,8 +165,8 @@ def top_consumer(spark, sf):
 
 @query(
     "tail_per_series",
-    f"""SELECT event_type AS series, event_id, ts, {r('value', 4)} AS value, CAST(rn AS INTEGER) AS age FROM (
-          SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events)
+    f"""SELECT coalesce(event_type, 'unknown') AS series, event_id, ts, {r('value', 4)} AS value, CAST(rn AS INTEGER) AS age FROM (
+          SELECT *, row_number() OVER (PARTITION BY coalesce(event_type, 'unknown') ORDER BY ts DESC, event_id DESC) AS rn FROM events)
         WHERE rn <= 100""",
 )
 def tail(spark, sf):
@@ -175,8 +175,8 @@ def tail(spark, sf):
 
 
 SQL_SPIKE = """
-last100 AS (SELECT event_type AS series, value, row_number() OVER (
-              PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS age FROM events),
+last100 AS (SELECT coalesce(event_type, 'unknown') AS series, value, row_number() OVER (
+              PARTITION BY coalesce(event_type, 'unknown') ORDER BY ts DESC, event_id DESC) AS age FROM events),
 spike AS (SELECT series, avg(value) AS mean, stddev_samp(value) AS std, max(value) FILTER (age = 1) AS latest
           FROM last100 WHERE age <= 100 GROUP BY ALL)"""
 
@@ -340,40 +340,43 @@ def co2e_total(spark, sf):
 # ---------------------------------------------------------------- score and outlook
 
 
-@query(
-    "sustainability_score",
-    with_(
-        SQL_USAGE, SQL_WASTE,
-        "ua AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY date DESC) AS age FROM usage)",
-        """up AS (SELECT series, avg(fuel) FILTER (age <= 30) AS fn, avg(fuel) FILTER (age BETWEEN 31 AND 60) AS fo,
-                         avg(trips) FILTER (age <= 30) AS tn, avg(trips) FILTER (age BETWEEN 31 AND 60) AS tb,
-                         count(*) FILTER (age <= 60) AS n FROM ua GROUP BY ALL)""",
-        "wa AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY date DESC) AS age FROM waste)",
-        """ws AS (SELECT series, CAST(trunc(least(100, avg(coalesce(recycled / nullif(total, 0), 0)) * 100)) AS INTEGER) AS waste_score
-                  FROM wa WHERE age <= 30 GROUP BY ALL)""",
-        """sc AS (SELECT series,
-                    CASE WHEN n >= 60 THEN CAST(trunc(greatest(0, least(100, 75 + (fo - fn) / fo * 100))) AS INTEGER) END AS energy_score,
-                    CASE WHEN n >= 60 THEN CAST(trunc(greatest(0, least(100, 75 + (tb - tn) / tb * 100))) AS INTEGER) END AS water_score,
-                    waste_score, n AS basis_days FROM up LEFT JOIN ws USING (series))""",
-        """tot AS (SELECT *, (coalesce(energy_score * 0.4::DOUBLE, 0) + coalesce(water_score * 0.3::DOUBLE, 0) + coalesce(waste_score * 0.3::DOUBLE, 0))
-                   / nullif(round((energy_score IS NOT NULL)::INT * 0.4::DOUBLE + (water_score IS NOT NULL)::INT * 0.3::DOUBLE
-                          + (waste_score IS NOT NULL)::INT * 0.3::DOUBLE, 9), 0) AS score FROM sc)""",
-        f"""SELECT series, basis_days, energy_score, water_score, waste_score, {r('score', 1)} AS score,
-                   {r('energy_score * 0.4::DOUBLE', 1)} AS energy_weighted, {r('water_score * 0.3::DOUBLE', 1)} AS water_weighted,
-                   {r('waste_score * 0.3::DOUBLE', 1)} AS waste_weighted,
-                   CASE WHEN score IS NULL THEN NULL WHEN score >= 90 THEN 'A' WHEN score >= 80 THEN 'B+' WHEN score >= 70 THEN 'B'
-                        WHEN score >= 60 THEN 'C+' ELSE 'C' END AS grade,
-                   CASE WHEN score IS NULL THEN NULL WHEN score < 50 THEN '#DC3545' WHEN score < 75 THEN '#FFC107' ELSE '#28A745' END AS gauge_colour
-            FROM tot""",
-    ),
-)
-def sustainability_score(spark, sf):
+SQL_SCORE = [
+    "ua AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY date DESC) AS age FROM usage)",
+    """up AS (SELECT series, avg(fuel) FILTER (age <= 30) AS fn, avg(fuel) FILTER (age BETWEEN 31 AND 60) AS fo,
+                     avg(trips) FILTER (age <= 30) AS tn, avg(trips) FILTER (age BETWEEN 31 AND 60) AS tb,
+                     count(*) FILTER (age <= 60) AS n FROM ua GROUP BY ALL)""",
+    "wa AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY date DESC) AS age FROM waste)",
+    """ws AS (SELECT series, CAST(trunc(least(100, avg(coalesce(recycled / nullif(total, 0), 0)) * 100)) AS INTEGER) AS waste_score
+              FROM wa WHERE age <= 30 GROUP BY ALL)""",
+    """sc AS (SELECT series,
+                CASE WHEN n >= 60 THEN CAST(trunc(greatest(0, least(100, 75 + (fo - fn) / fo * 100))) AS INTEGER) END AS energy_score,
+                CASE WHEN n >= 60 THEN CAST(trunc(greatest(0, least(100, 75 + (tb - tn) / tb * 100))) AS INTEGER) END AS water_score,
+                waste_score, n AS basis_days FROM up LEFT JOIN ws USING (series))""",
+    """tot AS (SELECT *, (coalesce(energy_score * 0.4::DOUBLE, 0) + coalesce(water_score * 0.3::DOUBLE, 0) + coalesce(waste_score * 0.3::DOUBLE, 0))
+               / nullif(round((energy_score IS NOT NULL)::INT * 0.4::DOUBLE + (water_score IS NOT NULL)::INT * 0.3::DOUBLE
+                      + (waste_score IS NOT NULL)::INT * 0.3::DOUBLE, 9), 0) AS score FROM sc)""",
+    f"""scored AS (SELECT series, basis_days, energy_score, water_score, waste_score, {r('score', 1)} AS score,
+                       {r('energy_score * 0.4::DOUBLE', 1)} AS energy_weighted, {r('water_score * 0.3::DOUBLE', 1)} AS water_weighted,
+                       {r('waste_score * 0.3::DOUBLE', 1)} AS waste_weighted,
+                       CASE WHEN score IS NULL THEN NULL WHEN score >= 90 THEN 'A' WHEN score >= 80 THEN 'B+' WHEN score >= 70 THEN 'B'
+                            WHEN score >= 60 THEN 'C+' ELSE 'C' END AS grade,
+                       CASE WHEN score IS NULL THEN NULL WHEN score < 50 THEN '#DC3545' WHEN score < 75 THEN '#FFC107' ELSE '#28A745' END AS gauge_colour
+            FROM tot)""",
+]
+
+
+def scores(spark, sf):
     days = waste(spark, sf).withColumn("diversion_rate", safe_ratio("recycled", "total"))
     return rounded(
         kpi.sustainability_score(usage(spark, sf), days, KEY, "date", "fuel", "trips", "diversion_rate"), 1
     )
 
 
+@query("sustainability_score", with_(SQL_USAGE, SQL_WASTE, *SQL_SCORE, "SELECT * FROM scored"))
+def sustainability_score(spark, sf):
+    return scores(spark, sf)
+
+
 @query(
     "forecast_overage",
     with_(

@@ -65,6 +65,17 @@ def detect_waste_model(spark, sf):
     return detect.detect_waste(scored, KEY, "date", "total_waste_lbs", None)
 
 
+@query(
+    "waste_prediction_without_model",
+    with_(SQL_WASTE, f"SELECT series, date, {r('total')} AS actual, CAST(NULL AS DOUBLE) AS predicted FROM waste"),
+)
+def waste_prediction_without_model(spark, sf):
+    """Before a model is trained a prediction is NULL, on every day there is."""
+    none = load_model(spark, scratch_path(spark, "no-model"))
+    days = models.predict_forest(none, waste(spark, sf), INPUTS)
+    return rounded(days.select("series", "date", F.col(TARGET).alias("actual"), "predicted"))
+
+
 @query("forecast_ar")
 def forecast_ar(spark, sf):
     days = saved(waste(spark, sf).select("series", "date", TARGET), "waste")

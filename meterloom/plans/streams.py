@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from meterloom.operators import detect
 from meterloom.plans.alerting import WATER_ROLES, now, sql_water
-from meterloom.plans.base import KEY, SQL_HOURLY, SQL_OBSERVED, query, rounded, rs, table, with_
+from meterloom.plans.base import KEY, SQL_HOURLY, SQL_OBSERVED, query, rounded, rs, series_of, table, with_
 from meterloom.session import scratch_path
 from meterloom.sources.alert_store import AlertStore
 from meterloom.streaming import jobs
@@ -14,12 +14,15 @@ from meterloom.streaming import jobs
 MAX_FILES = 100
 
 
+def keyed_stream(events):
+    return events.select(
+        series_of("event_type").alias("series"), "ts", "value", F.col("user_id").cast("double").alias("level")
+    )
+
+
 def reading_stream(spark, sf, max_files=MAX_FILES):
     schema = table(spark, sf, "events").schema
-    events = jobs.read_readings(spark, f"{sf}/events.parquet", schema, max_files)
-    return events.filter("event_type IS NOT NULL").select(
-        F.col("event_type").alias("series"), "ts", "value", F.col("user_id").cast("double").alias("level")
-    )
+    return keyed_stream(jobs.read_readings(spark, f"{sf}/events.parquet", schema, max_files))
 
 
 @query("stream_rollup_hourly", with_(SQL_OBSERVED, f"SELECT series, ts, {rs('usage', 'level', 'readings')} FROM obs"))
@@ -36,29 +39,53 @@ def stream_rollup_hourly(spark, sf, max_files=MAX_FILES):
     )
 
 
-@query("stream_alert_dedup", "SELECT DISTINCT event_type AS series, date_trunc('hour', ts) AS bucket FROM events")
+@query("stream_alert_dedup", "SELECT DISTINCT coalesce(event_type, 'unknown') AS series, date_trunc('hour', ts) AS bucket FROM events")
 def stream_alert_dedup(spark, sf, max_files=MAX_FILES):
     root = scratch_path(spark, "stream-dedup")
     jobs.first_per_bucket(reading_stream(spark, sf, max_files), KEY, "ts", f"{root}/keys", f"{root}/checkpoint")
     return jobs.read_buckets(spark, f"{root}/keys")
 
 
-@query(
-    "stream_scan_alerts",
-    with_(SQL_HOURLY, sql_water(None), "SELECT alert_id, series, ts, metric, severity, sigma, 'active' AS status FROM water_alerts"),
-)
-def stream_scan_alerts(spark, sf, max_files=MAX_FILES):
-    """The water detector over all hours that the stream brought, run twice on the same input."""
-    root = scratch_path(spark, "stream-scan")
+SQL_SCANNED = with_(SQL_HOURLY, sql_water(None), "SELECT alert_id, series, ts, metric, severity, sigma, 'active' AS status FROM water_alerts")
+
+
+def scanned_store(spark, runs, root):
+    """The alert store after a run of the water scan over each stream of readings, all with one history."""
     store = AlertStore(spark, f"{root}/store")
     measures = {"water_gallons": F.col("value_sum"), "pressure_psi": F.col("level_mean")}
 
     def detector(hours):
         return detect.detect_water(hours, KEY, "ts", WATER_ROLES, None)
 
-    for _ in range(2):
+    for stream in runs:
         jobs.scan_into_store(
-            reading_stream(spark, sf, max_files), KEY, "ts", ["value", "level"], measures, detector, f"{root}/history",
-            store, f"{root}/checkpoint", now(),
+            stream(), KEY, "ts", ["value", "level"], measures, detector, f"{root}/history", store, f"{root}/checkpoint", now(), "water",
         )
+    return store
+
+
+@query("stream_scan_alerts", SQL_SCANNED)
+def stream_scan_alerts(spark, sf, max_files=MAX_FILES):
+    """The water detector over all hours that the stream brought, run twice on the same input."""
+    store = scanned_store(spark, [lambda: reading_stream(spark, sf, max_files)] * 2, scratch_path(spark, "stream-scan"))
+    return store.state().select("alert_id", "series", "ts", "metric", "severity", "sigma", "status")
+
+
+@query("stream_scan_parts", SQL_SCANNED)
+def stream_scan_parts(spark, sf, parts=3):
+    """The readings come in three parts, dealt by their id, with a scan after each: every hour is scanned
+    with a third of its readings, with two, and with all, and the alerts are those of one scan of all."""
+    root = scratch_path(spark, "stream-parts")
+    events = table(spark, sf, "events")
+    schema = events.schema
+
+    def after(part):
+        def stream():
+            own = events.filter(F.pmod(F.xxhash64("event_id"), F.lit(parts)) == part)
+            own.write.mode("append").parquet(f"{root}/events.parquet")
+            return keyed_stream(jobs.read_readings(spark, f"{root}/events.parquet", schema, MAX_FILES))
+
+        return stream
+
+    store = scanned_store(spark, [after(p) for p in range(parts)], root)
     return store.state().select("alert_id", "series", "ts", "metric", "severity", "sigma", "status")

@@ -6,8 +6,9 @@ from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
+from meterloom.session import saved
 from meterloom.sources.csv_tables import CORRUPT
 
 Reader = Callable[[], DataFrame]
@@ -42,26 +43,28 @@ class Ingested:
 def ingest(readers: Mapping[str, Reader], count_rows: bool = True) -> Ingested:
     """Run every reader; reading is lazy, so only an action can tell whether it works.
 
-    The action counts the rows and, where the frame has the corrupt-record column, those
-    that did not fit (the column is dropped then); with ``count_rows=False`` it looks at
-    the first row only.
+    A source that is parsed (it has the corrupt-record column) is read once: that pass writes
+    the table that its frame reads from then on, and observes the number of rows and of those
+    that did not fit on the way; a line that can't be read fails here, not in a later plan. The
+    corrupt-record column is dropped. Other sources are tables already: their rows are counted,
+    which needs no column. With ``count_rows=False`` the first row is looked at and nothing is stored.
     """
     out = Ingested()
     for source, reader in readers.items():
         try:
             df = reader()
             marked = CORRUPT in df.columns
-            if count_rows:
-                # All columns go through the parser, else it would not look at their values.
-                bad = F.count_if(F.col(CORRUPT).isNotNull()) if marked else F.lit(None).cast("long")
-                read = F.max(F.xxhash64(*[f"`{c}`" for c in df.columns]))
-                n, bad_n, _ = df.agg(F.count(F.lit(1)), bad, read).first()
-                out.rows[source] = n
-                if marked:
-                    out.corrupt[source] = bad_n
-            else:
+            if not count_rows:
                 df.isEmpty()
-            out.frames[source] = df.drop(CORRUPT) if marked else df
+                df = df.drop(CORRUPT) if marked else df
+            elif marked:
+                seen = Observation()
+                bad = F.count_if(F.col(CORRUPT).isNotNull())
+                df = saved(df.observe(seen, F.count(F.lit(1)).alias("rows"), bad.alias("corrupt")).drop(CORRUPT), "ingested")
+                out.rows[source], out.corrupt[source] = seen.get["rows"], seen.get["corrupt"]
+            else:
+                out.rows[source] = df.count()
+            out.frames[source] = df
         except (PySparkException, OSError, ValueError) as error:
             out.errors[source] = str(error).splitlines()[0]
     return out
