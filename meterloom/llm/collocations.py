@@ -20,7 +20,9 @@ LETTERS = bytes(c + 32 if 65 <= c <= 90 else 32 if c == 9 else 255 if c in b".,;
 #: Filters have up to 2**27 bits (16 MB), however many phrases there are.
 MOST_BITS = 27
 #: Places that a task mines at a time.
-MINED_PLACES = 4 << 20
+MINED_PLACES = 1 << 20
+#: Rows of a batch that is read or written at a time.
+BATCH_ROWS, TEXT_ROWS = 1 << 16, 256
 
 
 @dataclass
@@ -55,7 +57,7 @@ def encoded(text: bytes) -> tuple[pa.Array, np.ndarray]:
     return numbered.dictionary.slice(1).cast(pa.string()), numbered.indices.to_numpy()
 
 
-def blocks(docs: DataFrame, block_bytes: int = 16 << 20, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
+def blocks(docs: DataFrame, block_bytes: int = 4 << 20, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """part, lang, words, numbers, n_words: texts as numbers, a row per language of about ``block_bytes``
     of whole texts (a longer text is a block of its own). Stored: the levels read it instead of the texts."""
     rows = docs.select(
@@ -79,7 +81,7 @@ def blocks(docs: DataFrame, block_bytes: int = 16 << 20, lang_col: str = "lang",
                     names=["part", "lang", "words", "numbers", "n_words"],
                 )
 
-        for batch in batches:
+        for batch in pieces(batches, TEXT_ROWS):
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
                 if size + len(text) > block_bytes and held:
                     yield from out()
@@ -91,6 +93,13 @@ def blocks(docs: DataFrame, block_bytes: int = 16 << 20, lang_col: str = "lang",
     return stored(rows.mapInArrow(run, "part int, lang string, words array<string>, numbers binary, n_words long"), "phrase-blocks")
 
 
+def pieces(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The same rows, at most ``rows`` at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 class Block:
     """A stored block with a 64-bit hash of each word, seeded by its language."""
 
@@ -135,7 +144,9 @@ class Block:
 
 
 def _blocks_of(batch: pa.RecordBatch) -> Iterator[Block]:
-    for row in batch.to_pylist():
+    """One block after another, so that one is held as Python objects at a time."""
+    for i in range(batch.num_rows):
+        row = batch.slice(i, 1).to_pylist()[0]
         yield Block(row["lang"], row["words"], row["numbers"])
 
 
@@ -145,7 +156,7 @@ def counts(parts: DataFrame, length: int, filters: list[Bits]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in _blocks_of(batch):
-                yield block.counted(length, filters)
+                yield from pieces([block.counted(length, filters)], BATCH_ROWS)
 
     found = parts.select("lang", "words", "numbers").mapInArrow(run, "lang string, phrase string, h long, n long")
     return found.groupBy("lang", "phrase", "h").agg(F.sum("n").alias("f"))
@@ -166,10 +177,11 @@ def mined(parts: DataFrame, length: int, filters: list[Bits], supports: dict[int
         def out() -> Iterator[pa.RecordBatch]:
             for shard, hashes in held.items():
                 h, n = np.unique(np.concatenate(hashes), return_counts=True)
-                yield pa.RecordBatch.from_arrays(
+                local = pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(h), shard, dtype=np.int32)), pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))],
                     names=["shard", "h", "n"],
                 )
+                yield from pieces([local], BATCH_ROWS)
 
         for batch in batches:
             for shard, block in zip(batch.column("part").to_pylist(), _blocks_of(batch), strict=True):
@@ -182,12 +194,13 @@ def mined(parts: DataFrame, length: int, filters: list[Bits], supports: dict[int
         yield from out()
 
     local = parts.select("part", "lang", "words", "numbers").mapInArrow(run, "shard int, h long, n long")
-    of_shard = local.groupBy("shard", "h").agg(F.sum("n").alias("n"))
+    # A task's own counts are added up already, so they move first and meet one hash table, not two.
+    of_shard = local.repartition("shard", "h").groupBy("shard", "h").agg(F.sum("n").alias("n"))
     least = F.element_at(F.array(*[F.lit(supports[s]) for s in range(shards)]), F.col("shard") + 1)
     return of_shard.filter(F.col("n") >= least).select("h").distinct()
 
 
-def frequent_phrases(docs: DataFrame, support: int = 10, longest: int = 3, shards: int = 4, block_bytes: int = 16 << 20,
+def frequent_phrases(docs: DataFrame, support: int = 10, longest: int = 3, shards: int = 4, block_bytes: int = 4 << 20,
                      lang_col: str = "lang", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, words, f) of all phrases of 1 to ``longest`` words with at least ``support`` occurrences,
     and (lang, n) of all word occurrences. Both stored.
@@ -221,7 +234,7 @@ def collocations(
     most: int = 2000,
     absorbed: int = 50,
     shards: int = 4,
-    block_bytes: int = 16 << 20,
+    block_bytes: int = 4 << 20,
     lang_col: str = "lang",
     text_col: str = "text",
 ) -> DataFrame:
