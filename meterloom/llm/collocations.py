@@ -269,9 +269,23 @@ def collocations(
     inner = inner.groupBy("lang", part(F.col("start"), F.col("size")).alias("phrase")).agg(F.max("f").alias("longer"))
     kept = lowest.join(inner, ["lang", "phrase"], "left").filter(F.coalesce(100 * F.col("longer") < absorbed * F.col("a"), F.lit(True)))
 
-    by = Window.partitionBy("lang").orderBy(F.desc("c.score"), F.desc("a"), "phrase")
-    first = kept.withColumn("rank", F.row_number().over(by).cast("long")).filter(F.col("rank") <= most)
-    return first.join(sizes, "lang").select("lang", "rank", "phrase", "a", F.col("c.l").alias("l"), F.col("c.r").alias("r"), "n", F.col("c.score").alias("score"))
+    ranked = _within_reach(stored(kept.select("lang", "phrase", "a", "c.*"), "collocations"), most)
+    by = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
+    first = ranked.withColumn("rank", F.row_number().over(by).cast("long")).filter(F.col("rank") <= most)
+    return first.join(sizes, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
+def _within_reach(rows: DataFrame, most: int) -> DataFrame:
+    """The rows of each language that can be among its ``most`` best, and few more.
+
+    Scores fold to a histogram of steps of less than a hundredth, some two thousand a language; rows
+    below the step that fills the list go before any language comes together in a task.
+    """
+    step = F.floor(100 * F.log2(F.col("score") + 1)).cast("int")
+    steps = rows.groupBy("lang", step.alias("step")).agg(F.count("*").alias("k"))
+    above = F.sum("k").over(Window.partitionBy("lang").orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, -1))
+    bars = steps.withColumn("above", F.coalesce(above, F.lit(0))).filter(F.col("above") < most).groupBy("lang").agg(F.min("step").alias("bar"))
+    return rows.join(bars, "lang").filter(step >= F.col("bar")).drop("bar")
 
 
 #: The contract's query in SQL.
