@@ -200,7 +200,7 @@ def mined(parts: DataFrame, length: int, filters: list[Bits], supports: dict[int
     return of_shard.filter(F.col("n") >= least).select("h").distinct()
 
 
-def frequent_phrases(docs: DataFrame, support: int = 10, longest: int = 3, shards: int = 4, block_bytes: int = 4 << 20,
+def frequent_phrases(docs: DataFrame, support: int = 10, longest: int = 3, shards: int = 2, block_bytes: int = 4 << 20,
                      lang_col: str = "lang", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, words, f) of all phrases of 1 to ``longest`` words with at least ``support`` occurrences,
     and (lang, n) of all word occurrences. Both stored.
@@ -233,7 +233,7 @@ def collocations(
     longest: int = 3,
     most: int = 2000,
     absorbed: int = 50,
-    shards: int = 4,
+    shards: int = 2,
     block_bytes: int = 4 << 20,
     lang_col: str = "lang",
     text_col: str = "text",
