@@ -9,13 +9,14 @@ from pyspark.sql import DataFrame, functions as F
 from meterloom.functions import severity, text
 from meterloom.operators import alerts as ops, detect
 from meterloom.operators.features import rolling_stats, trailing_baseline
+from meterloom.operators.forecast import disaggregate_hourly, hourly_profile
 from meterloom.operators.recent import tail_per_series, trailing_range
 from meterloom.operators.windows import ordered, trailing
 from meterloom.plans.base import (
     KEY, SQL_DAILY, SQL_HOURLY, SQL_WASTE, days_of, hourly, hourly_recent, query, rounded, rs, saved, waste, with_,
 )
 from meterloom.plans.features import frame
-from meterloom.plans.forecasts import SQL_AVP, SQL_PREDICTED, chart_hours, predicted_hours
+from meterloom.plans.forecasts import SQL_AVP, SQL_PREDICTED, chart_hours, day_forecast, predicted_hours
 from meterloom.session import scratch_path
 from meterloom.sources.alert_store import AlertStore
 
@@ -151,11 +152,25 @@ x4 AS (SELECT *, coalesce(abs(residual) / nullif(coalesce(sd, stddev_samp(actual
     )
 
 
-@query("detect_energy", with_(SQL_DAILY, SQL_PREDICTED, sql_energy("48 HOUR"), "SELECT * FROM energy_alerts"))
+SQL_ENERGY_SCAN = with_(SQL_DAILY, SQL_PREDICTED, sql_energy("48 HOUR"), "SELECT * FROM energy_alerts")
+
+
+@query("detect_energy", SQL_ENERGY_SCAN)
 def detect_energy(spark, sf):
     return energy_alerts(hours_table(spark, sf))
 
 
+@query("detect_energy_recent", SQL_ENERGY_SCAN)
+def detect_energy_recent(spark, sf):
+    """The same scan with the hourly profile as training leaves it, stored: readings of the range, of the
+    week of its frames and of the eight days that the first day's forecast looks back on are all it reads."""
+    profile = saved(hourly_profile(hourly(spark, sf).select("series", "ts", "usage"), KEY, "ts", "usage"), "profile")
+    near = hourly_recent(spark, sf, detect.SCAN_HOURS + detect.HOURLY_ROWS + 8 * 24)
+    hours = saved(near.select("series", "ts", "usage"), "recent-hours")
+    predicted = disaggregate_hourly(hours, day_forecast(hours), profile, KEY, "ts", "usage")
+    return detect.detect_energy(predicted, KEY, "ts", "energy_kwh")
+
+
 @query(
     "detect_energy_in_range",
     with_(
