@@ -21,6 +21,10 @@ LETTERS = bytes(c + 32 if 65 <= c <= 90 else 32 if c == 9 else 255 if c in b".,;
 MOST_BITS = 27
 #: Places that a task mines at a time.
 MINED_PLACES = 1 << 20
+CODEC = "zstd"
+PACKED = ("words", "words_bytes", "numbers", "n_numbers")
+#: Languages of which a row each may be broadcast; with more of them the rows meet by a shuffle.
+FEW_LANGS = 10_000
 #: Rows of a batch that is read or written at a time.
 BATCH_ROWS, TEXT_ROWS = 1 << 16, 256
 
@@ -58,8 +62,10 @@ def encoded(text: bytes) -> tuple[pa.Array, np.ndarray]:
 
 
 def blocks(docs: DataFrame, block_bytes: int = 4 << 20, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
-    """part, lang, words, numbers, n_words: texts as numbers, a row per language of about ``block_bytes``
-    of whole texts (a longer text is a block of its own). Stored: the levels read it instead of the texts."""
+    """part, lang, words, words_bytes, numbers, n_numbers, n_words: texts as numbers, a row per language of
+    about ``block_bytes`` of whole texts (a longer text is a block of its own). Stored: the levels read it
+    instead of the texts. Words and numbers are packed, so that what a task is sent is as small as the
+    file, and it unpacks one block at a time."""
     rows = docs.select(
         F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"),
         F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"),
@@ -75,10 +81,13 @@ def blocks(docs: DataFrame, block_bytes: int = 4 << 20, lang_col: str = "lang",
         def out() -> Iterator[pa.RecordBatch]:
             for lang, texts in held.items():
                 words, numbers = encoded(b"\xff".join(texts))
+                spelled = " ".join(words.to_pylist()).encode()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([part], pa.int32()), pa.array([lang]), pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words),
-                     pa.array([numbers.astype("<i4").tobytes()], pa.binary()), pa.array([int((numbers > 0).sum())], pa.int64())],
-                    names=["part", "lang", "words", "numbers", "n_words"],
+                    [pa.array([part], pa.int32()), pa.array([lang]),
+                     pa.array([pa.compress(spelled, CODEC, asbytes=True)], pa.binary()), pa.array([len(spelled)], pa.int64()),
+                     pa.array([pa.compress(numbers.astype("<i4").tobytes(), CODEC, asbytes=True)], pa.binary()),
+                     pa.array([len(numbers)], pa.int64()), pa.array([int((numbers > 0).sum())], pa.int64())],
+                    names=["part", "lang", "words", "words_bytes", "numbers", "n_numbers", "n_words"],
                 )
 
         for batch in pieces(batches, TEXT_ROWS):
@@ -90,7 +99,8 @@ def blocks(docs: DataFrame, block_bytes: int = 4 << 20, lang_col: str = "lang",
                 size += len(text) + 1
         yield from out()
 
-    return stored(rows.mapInArrow(run, "part int, lang string, words array<string>, numbers binary, n_words long"), "phrase-blocks")
+    schema = "part int, lang string, words binary, words_bytes long, numbers binary, n_numbers long, n_words long"
+    return stored(rows.mapInArrow(run, schema), "phrase-blocks")
 
 
 def pieces(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
@@ -147,7 +157,8 @@ def _blocks_of(batch: pa.RecordBatch) -> Iterator[Block]:
     """One block after another, so that one is held as Python objects at a time."""
     for i in range(batch.num_rows):
         row = batch.slice(i, 1).to_pylist()[0]
-        yield Block(row["lang"], row["words"], row["numbers"])
+        words = pa.decompress(row["words"], row["words_bytes"], CODEC, asbytes=True).decode()
+        yield Block(row["lang"], words.split(" ") if words else [], pa.decompress(row["numbers"], 4 * row["n_numbers"], CODEC, asbytes=True))
 
 
 def counts(parts: DataFrame, length: int, filters: list[Bits]) -> DataFrame:
@@ -158,7 +169,7 @@ def counts(parts: DataFrame, length: int, filters: list[Bits]) -> DataFrame:
             for block in _blocks_of(batch):
                 yield from pieces([block.counted(length, filters)], BATCH_ROWS)
 
-    found = parts.select("lang", "words", "numbers").mapInArrow(run, "lang string, phrase string, h long, n long")
+    found = parts.select("lang", *PACKED).mapInArrow(run, "lang string, phrase string, h long, n long")
     return found.groupBy("lang", "phrase", "h").agg(F.sum("n").alias("f"))
 
 
@@ -193,7 +204,7 @@ def mined(parts: DataFrame, length: int, filters: list[Bits], supports: dict[int
                 size += len(found)
         yield from out()
 
-    local = parts.select("part", "lang", "words", "numbers").mapInArrow(run, "shard int, h long, n long")
+    local = parts.select("part", "lang", *PACKED).mapInArrow(run, "shard int, h long, n long")
     # A task's own counts are added up already, so they move first and meet one hash table, not two.
     of_shard = local.repartition("shard", "h").groupBy("shard", "h").agg(F.sum("n").alias("n"))
     least = F.element_at(F.array(*[F.lit(supports[s]) for s in range(shards)]), F.col("shard") + 1)
@@ -285,7 +296,8 @@ def _within_reach(rows: DataFrame, most: int) -> DataFrame:
     steps = rows.groupBy("lang", step.alias("step")).agg(F.count("*").alias("k"))
     above = F.sum("k").over(Window.partitionBy("lang").orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, -1))
     bars = steps.withColumn("above", F.coalesce(above, F.lit(0))).filter(F.col("above") < most).groupBy("lang").agg(F.min("step").alias("bar"))
-    return rows.join(bars, "lang").filter(step >= F.col("bar")).drop("bar")
+    bars = stored(bars, "bars")
+    return rows.join(F.broadcast(bars) if bars.count() <= FEW_LANGS else bars, "lang").filter(step >= F.col("bar")).drop("bar")
 
 
 #: The contract's query in SQL.
