@@ -121,7 +121,7 @@ def rolling_stats(
         enough = F.col("_n") >= at_least
         return found.withColumns({name: F.when(enough, F.col(name)) for name in wanted}).drop("_n")
 
-    series, block = [*keys], [*keys, "_block"]
+    series, block = [*keys], [*keys, "_frame"]
     value = F.col(col).cast("double")
     dev = value - F.col("_base")
 
@@ -129,13 +129,13 @@ def rolling_stats(
         parts = {"n": F.count(value), "s": F.sum(dev), "q": F.sum(dev * dev), "lo": F.min(value), "hi": F.max(value)}
         return F.struct(F.col("_base").alias("b"), *[p.over(frame).alias(n) for n, p in parts.items()])
 
-    placed = df.withColumn("_at", F.row_number().over(ordered(series, ts)) - 1).withColumn("_block", F.expr(f"_at div {rows}"))
+    placed = df.withColumn("_at", F.row_number().over(ordered(series, ts)) - 1).withColumn("_frame", F.expr(f"_at div {rows}"))
     back = Window.partitionBy(*block).orderBy(F.desc(ts))
     based = placed.withColumn("_base", F.first(value, True).over(back.rowsBetween(*ALL_ROWS)))
     ends = based.withColumn("_end", sums(back.rowsBetween(Window.unboundedPreceding, 0)))
     begun = ends.withColumn("_begin", sums(so_far(block, ts)))
     # In the order of (block, time), so the rows need no further sort.
-    earlier = F.lag("_end", rows - 1).over(Window.partitionBy(*series).orderBy("_block", ts))
+    earlier = F.lag("_end", rows - 1).over(Window.partitionBy(*series).orderBy("_frame", ts))
     both = begun.withColumn("_end", F.when(F.col("_at") % rows != rows - 1, earlier))
 
     def part(side: str, name: str) -> Column:
@@ -155,7 +155,7 @@ def rolling_stats(
     }
     enough = n >= at_least
     out = both.withColumns({name: F.when(enough, stat) for name, stat in found.items() if name})
-    return out.drop("_at", "_block", "_base", "_begin", "_end")
+    return out.drop("_at", "_frame", "_base", "_begin", "_end")
 
 
 def backfill_std(

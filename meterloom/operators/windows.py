@@ -100,26 +100,26 @@ def neighbours(
         before = {f"_prev_{n}": F.last(p, True).over(series.orderBy(ts).rowsBetween(*near)) for n, p in points.items()}
         return df.withColumns(after).withColumns(before)
     home = F.floor(epoch_seconds(ts) / block)
-    spots = df.withColumns({**{f"_at_{n}": p for n, p in points.items()}, "_block": home, "_side": F.lit(1)})
+    spots = df.withColumns({**{f"_at_{n}": p for n, p in points.items()}, "_cell": home, "_side": F.lit(1)})
     known = {n: F.when(F.col(f"_at_{n}").isNotNull(), F.struct(F.col(ts), F.col(f"_at_{n}").alias("p"))) for n in points}
-    ends = spots.groupBy(*keys, "_block").agg(
+    ends = spots.groupBy(*keys, "_cell").agg(
         *[F.min(k).alias(f"_first_{n}") for n, k in known.items()], *[F.max(k).alias(f"_last_{n}") for n, k in known.items()]
     )
-    earlier = W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    later = W.partitionBy(*keys).orderBy(F.desc("_block")).rowsBetween(W.unboundedPreceding, -1)
+    earlier = W.partitionBy(*keys).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
+    later = W.partitionBy(*keys).orderBy(F.desc("_cell")).rowsBetween(W.unboundedPreceding, -1)
     ends = ends.select(
-        *keys, "_block",
+        *keys, "_cell",
         *[F.last(f"_first_{n}", True).over(later)["p"].alias(f"_on_{n}") for n in points],
         *[F.last(f"_last_{n}", True).over(earlier)["p"].alias(f"_back_{n}") for n in points],
     )
 
     def extra(side: int, kind: str) -> DataFrame:
-        return ends.select(*keys, "_block", F.lit(side).alias("_side"), *[F.col(f"_{kind}_{n}").alias(f"_at_{n}") for n in points])
+        return ends.select(*keys, "_cell", F.lit(side).alias("_side"), *[F.col(f"_{kind}_{n}").alias(f"_at_{n}") for n in points])
 
     rows = spots.unionByName(extra(0, "back"), True).unionByName(extra(2, "on"), True)
-    rows = rows.repartition(*keys, "_block")  # rows that are dealt by series alone would stay so
-    part = W.partitionBy(*keys, "_block")
+    rows = rows.repartition(*keys, "_cell")  # rows that are dealt by series alone would stay so
+    part = W.partitionBy(*keys, "_cell")
     down, up = (part.orderBy(*order).rowsBetween(*near) for order in ([F.desc("_side"), F.desc(ts)], ["_side", ts]))
     rows = rows.withColumns({f"_next_{n}": F.last(f"_at_{n}", True).over(down) for n in points})
     rows = rows.withColumns({f"_prev_{n}": F.last(f"_at_{n}", True).over(up) for n in points})
-    return rows.filter("_side = 1").drop("_block", "_side", *[f"_at_{n}" for n in points])
+    return rows.filter("_side = 1").drop("_cell", "_side", *[f"_at_{n}" for n in points])
