@@ -22,6 +22,8 @@ MOST_BITS = 27
 #: Places that a task mines at a time.
 MINED_PLACES = 1 << 20
 CODEC = "zstd"
+#: Of the hash of a phrase, put together from those of its words.
+FACTOR, MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
 PACKED = ("words", "words_bytes", "numbers", "n_numbers")
 #: Languages of which a row each may be broadcast; with more of them the rows meet by a shuffle.
 FEW_LANGS = 10_000
@@ -127,7 +129,7 @@ class Block:
         for n in range(1, length + 1):
             if n > 1:
                 ok = ok[:-1] & ok[1:]
-                here = here[:-1] * np.uint64(0x9E3779B97F4A7C15)
+                here = here[:-1] * np.uint64(FACTOR)
                 here = (here ^ (here >> np.uint64(32))) + word[n - 1 :]
             if n <= len(filters):
                 ok = ok.copy()
@@ -137,7 +139,7 @@ class Block:
 
     def counted(self, length: int, filters: list[Bits]) -> pa.RecordBatch:
         """Exact counts of the block's phrases, told apart by their words, not by hashes."""
-        places, hashes = self.phrases(length, filters)
+        places, _ = self.phrases(length, filters)
         base = len(self.words) + 1
         key = self.numbers[places].astype(np.int64)
         for k in range(1, length):
@@ -148,8 +150,7 @@ class Block:
         spelled = [self.numbers[places[first] + k].tolist() for k in range(length)]
         phrases = [" ".join([self.words[i - 1] for i in p]) for p in zip(*spelled, strict=True)]
         return pa.RecordBatch.from_arrays(
-            [pa.array([self.lang] * len(n), pa.string()), pa.array(phrases, pa.string()), pa.array(hashes[first].view(np.int64)), pa.array(n.astype(np.int64))],
-            names=["lang", "phrase", "h", "n"],
+            [pa.array([self.lang] * len(n), pa.string()), pa.array(phrases, pa.string()), pa.array(n.astype(np.int64))], names=["lang", "phrase", "n"]
         )
 
 
@@ -162,15 +163,42 @@ def _blocks_of(batch: pa.RecordBatch) -> Iterator[Block]:
 
 
 def counts(parts: DataFrame, length: int, filters: list[Bits]) -> DataFrame:
-    """lang, phrase, h, f: all occurrences of the phrases that pass the filters, counted over all blocks."""
+    """lang, phrase, f: all occurrences of the phrases that pass the filters, counted over all blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in _blocks_of(batch):
                 yield from pieces([block.counted(length, filters)], BATCH_ROWS)
 
-    found = parts.select("lang", *PACKED).mapInArrow(run, "lang string, phrase string, h long, n long")
-    return found.groupBy("lang", "phrase", "h").agg(F.sum("n").alias("f"))
+    found = parts.select("lang", *PACKED).mapInArrow(run, "lang string, phrase string, n long")
+    return found.groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
+
+
+def hashed(phrases: DataFrame) -> DataFrame:
+    """lang, phrase, f with ``h``, the hash that ``Block.phrases`` gives the phrase. Made for what is left
+    after counting, so that it need not move with every local count."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in batches:
+            out = []
+            for lang, phrase in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                seed = xxhash.xxh64_intdigest(lang)
+                h = None
+                for word in phrase.split(" "):
+                    own = xxhash.xxh64_intdigest(word, seed)
+                    h = own if h is None else (_mix(h) + own) & MASK
+                out.append(h)
+            made = pa.array(np.array(out, dtype=np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([*batch.columns, made], names=["lang", "phrase", "f", "h"])
+
+    return phrases.select("lang", "phrase", "f").mapInArrow(run, "lang string, phrase string, f long, h long")
+
+
+def _mix(h: int) -> int:
+    h = h * FACTOR & MASK
+    return h ^ h >> 32
 
 
 def mined(parts: DataFrame, length: int, filters: list[Bits], supports: dict[int, int]) -> DataFrame:
@@ -232,7 +260,7 @@ def frequent_phrases(docs: DataFrame, support: int = 10, longest: int = 3, shard
         # Words are counted outright: their local counts are the exact ones, and fewer than the blocks' words.
         candidates = [bits_of(stored(mined(parts, length, filters, supports), "phrase-candidates"))] if length > 1 else []
         level = counts(parts, length, filters + candidates).filter(F.col("f") >= support)
-        level = stored(level.withColumn("words", F.lit(length)), f"phrases-{length}")
+        level = stored(hashed(level).withColumn("words", F.lit(length)), f"phrases-{length}")
         levels.append(level.select("lang", "phrase", "words", "f"))
         filters.append(bits_of(level))
     return reduce(DataFrame.unionByName, levels), sizes

@@ -189,8 +189,9 @@ def test_lowered_support_misses_nothing(spark, small):
     supports = {s: -(-30 * shares.get(s, 0) // sum(shares.values())) for s in range(3)}
     assert sum(supports.values()) <= 32
     mined = {r.h for r in co.mined(parts, 2, [], supports).collect()}
-    frequent = {r.h for r in co.counts(parts, 2, []).filter("f >= 30").collect()}
-    everything = {r.h for r in co.counts(parts, 2, []).collect()}
+    frequent = {r.h for r in co.hashed(co.counts(parts, 2, []).filter("f >= 30")).collect()}
+    everything = {r.h for r in co.hashed(co.counts(parts, 2, [])).collect()}
+    assert len(everything) == co.counts(parts, 2, []).count()
     assert frequent and frequent <= mined < everything
 
 
