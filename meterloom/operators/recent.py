@@ -56,28 +56,22 @@ def month_start(date) -> Column:
 
 
 def recent_readings(df: DataFrame, keys: Sequence[str], ts: str, hours: int) -> DataFrame:
-    """Readings of the last ``hours`` of each series before its latest, from the observed hour at or before their begin on.
+    """Readings of the last ``hours`` of each series before its latest, from the last reading of a day before their begin on.
 
-    What a scan of the last hours needs, with the neighbour that its first gap is filled from. Two
-    passes over the keys and times alone find where each series begins; the earliest of all is a plain
-    bound on ``ts`` that reaches the scan (folders and row groups before it aren't read), and a
-    series that ended long ago does not widen the others.
+    What a scan of the last hours needs, with the neighbour that its first gap is filled from. One
+    pass over the keys and times alone leaves the last reading of every day, which says where each
+    series begins; the earliest begin is a plain bound on ``ts`` that reaches the scan (folders and
+    row groups before it aren't read), and a series that ended long ago does not widen the others.
     """
-    latest = df.groupBy(*keys).agg(F.max(ts).alias("_latest"))
-    begin = floor_hour("_latest") - F.expr(f"interval {hours} hours")
-    begins = saved(latest.select(*keys, begin.alias("_begin")), "begins")
-
-    def own(rows: DataFrame, table: DataFrame, within: Column) -> DataFrame:
-        return rows.alias("x").join(table.alias("b"), _null_safe("x", "b", keys) & within)
-
-    hour = F.expr("interval 1 hour")
-    before = own(df.select(*keys, ts), begins, F.col(f"x.{ts}") < F.col("b._begin") + hour)
-    before = before.groupBy(*[F.col(f"b.{k}").alias(k) for k in keys]).agg(floor_hour(F.max(f"x.{ts}")).alias("_from"))
-    froms = begins.alias("b").join(before.alias("f"), _null_safe("b", "f", keys), "left")
-    ranges = saved(froms.select(*[F.col(f"b.{k}").alias(k) for k in keys], F.coalesce("_from", "_begin").alias("_from")), "ranges")
+    days = saved(df.groupBy(*keys, F.to_date(ts).alias("_date")).agg(F.max(ts).alias("_last")), "last-of-days")
+    latest = F.max("_last").over(whole(keys))
+    begun = days.withColumn("_begin", floor_hour(latest) - F.expr(f"interval {hours} hours"))
+    before = F.max(F.when(F.col("_date") < F.to_date("_begin"), floor_hour("_last")))
+    ranges = begun.groupBy(*keys).agg(F.coalesce(before, F.min("_begin")).alias("_from"))
     first = ranges.agg(F.min("_from")).first()[0]
     rows = df if first is None else df.filter(F.col(ts) >= F.lit(first))
-    return own(rows, ranges, F.col(f"x.{ts}") >= F.col("b._from")).select("x.*")
+    near = rows.alias("x").join(ranges.alias("b"), _null_safe("x", "b", keys) & (F.col(f"x.{ts}") >= F.col("b._from")))
+    return near.select("x.*")
 
 
 def _null_safe(left: str, right: str, keys: Sequence[str]) -> Column:

@@ -151,8 +151,8 @@ def test_scan_of_the_last_hours_reads_those(spark, tmp_path):
     got = {}
     for r in near.collect():
         got.setdefault(r.series, []).append(int((r.ts - START).total_seconds() // 3600))
-    assert min(got["a"]) == 899 and len(got["a"]) == 101  # up to 100 hours before the latest
-    assert sorted(got["b"]) == [700, 990]  # the observed hour before the range begins
+    assert min(got["a"]) == 887 and len(got["a"]) == 113  # 100 hours before the latest, and the last of the day before
+    assert sorted(got["b"]) == [700, 990]  # the last reading before the range begins
     assert sorted(got[None]) == [980, 999]
 
 
