@@ -197,3 +197,14 @@ def test_distinct_counts_fold_before_they_move(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
     assert len(exchanges) >= 2 and not any("k#" in line.split("hashpartitioning")[1].split("]")[0] for line in exchanges)
+
+
+def test_distinct_counts_of_spread_keys_stay_small(spark):
+    """A few longs of state per row of input, in a hash aggregate, however far the keys are apart."""
+    keys = [-(2**63), -65, -64, -63, -1, 0, 63, 64, 10**12, 2**63 - 1, None]
+    rows = [("a", k) for k in keys] * 2 + [("b", k * 10**9) for k in range(50)] + [("c", None)]
+    df = spark.createDataFrame(rows, "g string, k long")
+    out = rollup.with_distinct(df, {"g": F.col("g")}, {"n": F.lit(1.0)}, "k", "different")
+    assert {(r.g, r.n, r.different) for r in out.collect()} == {("a", 22.0, 10.0), ("b", 50.0, 50.0), ("c", 1.0, 0.0)}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan and "bitmap" not in plan
