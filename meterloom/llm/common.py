@@ -6,6 +6,7 @@ import sys
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -67,6 +68,33 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def partitions_for(df: DataFrame, rows: int) -> int:
+    """A partition for every ``rows`` rows of ``df``, a checkpoint, and one at least."""
+    return max(1, -(-df.count() // rows))
+
+
+def compact(df: DataFrame, rows: int = 20_000) -> DataFrame:
+    """``df``, a checkpoint, in a partition for every ``rows`` rows, if it has more of them.
+
+    What reads a small table then takes a few tasks and shuffle files, not one for each of
+    the partitions that a large input has; a large table stays as it is.
+    """
+    return df.coalesce(partitions_for(df, rows))
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1_000) -> Iterator[None]:
+    """Jobs run in here send at most ``rows`` rows (the session's own limit, if lower) to a Python
+    worker at a time: a batch, its Arrow buffers in the JVM and its results in Python stay small."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    own = spark.conf.get(name)
+    spark.conf.set(name, str(rows if int(own) <= 0 else min(rows, int(own))))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, own)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to a new place in the shared folder, and read from there."""
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -122,27 +150,30 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     (first for larger neighbours, then for smaller ones), which shortens paths by a factor
     every round and never adds links. A node with many neighbours is handled by an
     aggregate and a join on nodes, not by a list. Rounds go on until nothing changes;
-    each is checkpointed, so a lost executor costs one round.
+    each is checkpointed, so a lost executor costs one round. Rounds run in a partition for
+    every 20,000 links, as a few links in many partitions are many stages of empty tasks and files.
     """
     edges = checkpointed(links.select("a", "b").filter("a <> b").distinct())
+    parts = partitions_for(edges, 20_000)
+    edges = edges.coalesce(parts)
     for _ in range(rounds):
-        larger = _star(edges, large=True)
-        smaller = checkpointed(_star(larger, large=False))
+        larger = _star(edges, True, parts)
+        smaller = checkpointed(_star(larger, False, parts)).coalesce(parts)
         same = smaller.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
         # A star: every larger node has one link, and no centre has a link of its own.
         centres = smaller.select(F.col("b").alias("a")).distinct()
         if same and smaller.join(centres, "a", "left_semi").isEmpty():
             return smaller.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
                 centres.select(F.col("a").alias("node"), F.col("a").alias("component"))
-            )
+            ).coalesce(parts)
         edges = smaller
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One round of stars. Large: from every node to its larger neighbours. Small: to its
-    smaller ones and itself. Result has a > b."""
-    both = edges.select("a", "b").union(edges.select("b", "a")) if large else edges.select(
+def _star(edges: DataFrame, large: bool, parts: int) -> DataFrame:
+    """One round of stars, in ``parts`` partitions at its unions. Large: from every node to its
+    larger neighbours. Small: to its smaller ones and itself. Result has a > b."""
+    both = edges.select("a", "b").union(edges.select("b", "a")).coalesce(parts) if large else edges.select(
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
     )
     least = both.groupBy("a").agg(F.min("b").alias("least")).withColumn("least", F.least("a", "least"))
@@ -152,7 +183,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     else:
         out = told.select(F.col("b").alias("a"), F.col("least").alias("b")).union(
             least.select("a", F.col("least").alias("b"))
-        )
+        ).coalesce(parts)
     return out.filter("a <> b").distinct()
 
 

@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
-from meterloom.llm.common import checkpointed, components, ship
+from meterloom.llm.common import checkpointed, compact, components, ship
 
 ship(__name__)
 
@@ -19,6 +19,7 @@ WIDTH = 5
 BANDS, HASHES = 32, 4
 LONGS = 16  # of the bit set of shingles
 ROUNDS = 2  # of single comparisons, where buckets are large
+TEXTS = 2_000  # pairs to compare, or texts, in a partition
 BASE = np.uint64(0x9E3779B97F4A7C15)  # odd
 _random = np.random.default_rng(42)
 MULTIPLY = _random.integers(0, 1 << 64, size=(BANDS * HASHES, 1), dtype=np.uint64) | np.uint64(1)
@@ -79,12 +80,12 @@ def _bucket(row: str) -> Column:
 
 def verified(pairs: DataFrame, rows: DataFrame, least: float, width: int = WIDTH) -> DataFrame:
     """The (a, b) of ``pairs`` (row, other, a, b) whose texts are alike. ``rows`` has (row, text)."""
-    pairs = checkpointed(pairs)
+    pairs = compact(checkpointed(pairs), TEXTS)
     wanted = pairs.select("row").union(pairs.select("other")).distinct()
     # At most BUCKETS numbers are broadcast; texts in other buckets stay where they are.
     buckets = wanted.select(_bucket("row").alias("bucket")).distinct()
     near = rows.withColumn("bucket", _bucket("row")).join(F.broadcast(buckets), "bucket", "left_semi").select("row", "text")
-    texts = checkpointed(near.join(wanted, "row", "left_semi").dropDuplicates(["row"]))
+    texts = compact(checkpointed(near.join(wanted, "row", "left_semi").dropDuplicates(["row"])), TEXTS)
 
     @pandas_udf("boolean")
     def same(x, y):
@@ -107,7 +108,7 @@ def alike_links(found: DataFrame, rows: DataFrame, known: DataFrame, least: floa
     """
     keyed = found.select("node", "row", F.explode("bands").alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high"))
-    shared = checkpointed(keyed.join(sizes.filter("low < high").select("key", "n"), "key").join(found.select("row", "size", "bits"), "row"))
+    shared = compact(checkpointed(keyed.join(sizes.filter("low < high").select("key", "n"), "key").join(found.select("row", "size", "bits"), "row")))
 
     def fits(x: str, y: str) -> Column:
         """True of all pairs that are alike: their sizes are as close, and shingles that only one of
@@ -123,7 +124,7 @@ def alike_links(found: DataFrame, rows: DataFrame, known: DataFrame, least: floa
         marked = shared.join(joined, shared["node"] == joined["node"], "left").select(
             "key", "n", shared["node"], "row", "size", "bits", F.coalesce("component", shared["node"]).alias("label")
         )
-        marked = checkpointed(marked)
+        marked = compact(checkpointed(marked))
         ends = marked.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"))
         return marked.join(ends.filter("low < high").select("key"), "key", "left_semi")
 
@@ -131,7 +132,7 @@ def alike_links(found: DataFrame, rows: DataFrame, known: DataFrame, least: floa
     members = shared.withColumn("label", F.col("node"))
     if not shared.filter(F.col("n") > small).isEmpty():
         for turn in range(ROUNDS):
-            members = checkpointed(labelled(known.select("a", "b").unionByName(links)))
+            members = compact(checkpointed(labelled(known.select("a", "b").unionByName(links))))
             crowd = members.filter(F.col("n") > small)
             if _open_pairs(crowd) <= small * crowd.select("row").distinct().count():
                 break
@@ -139,9 +140,9 @@ def alike_links(found: DataFrame, rows: DataFrame, known: DataFrame, least: floa
             own = crowd.groupBy("row").agg(F.max_by(F.struct("key", "node", "size", "bits", "label"), F.struct("n", "key")).alias("my")).select("row", "my.*")
             stars = own.alias("x").join(drawn.select("key", "of.*").alias("y"), "key").filter("x.label <> y.label").filter(fits("x", "y"))
             pairs = stars.select("x.row", F.col("y.row").alias("other"), F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-            links = links.unionByName(checkpointed(verified(pairs, rows, least, width)))
+            links = links.unionByName(compact(checkpointed(verified(pairs, rows, least, width))))
         else:
-            members = checkpointed(labelled(known.select("a", "b").unionByName(links)))
+            members = compact(checkpointed(labelled(known.select("a", "b").unionByName(links))))
     rest = members.alias("x").join(members.alias("y"), "key").filter("x.row < y.row AND x.label <> y.label").filter(fits("x", "y")).select(
         "x.row", F.col("y.row").alias("other"), F.col("x.node").alias("a"), F.col("y.node").alias("b")
     )
