@@ -6,7 +6,6 @@ import sys
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
-from contextlib import contextmanager
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -82,19 +81,6 @@ def compact(df: DataFrame, rows: int = 20_000) -> DataFrame:
     return df.coalesce(partitions_for(df, rows))
 
 
-@contextmanager
-def small_batches(spark: SparkSession, rows: int = 1_000) -> Iterator[None]:
-    """Jobs run in here send at most ``rows`` rows (the session's own limit, if lower) to a Python
-    worker at a time: a batch, its Arrow buffers in the JVM and its results in Python stay small."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    own = spark.conf.get(name)
-    spark.conf.set(name, str(rows if int(own) <= 0 else min(rows, int(own))))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, own)
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to a new place in the shared folder, and read from there."""
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from meterloom.llm import near_texts
-from meterloom.llm.common import checkpointed, compact, components, ship, small_batches, text_rows, unused
+from meterloom.llm.common import checkpointed, compact, components, ship, text_rows, unused
 
 ship(__name__)
 
@@ -115,8 +115,7 @@ def near_groups(docs: DataFrame, radius: int = 2, id_col: str = "doc_id", text_c
     and link like others. Rows without doc_id keep their group; a group of only such rows
     has no component_id.
     """
-    with small_batches(docs.sparkSession):
-        found = checkpointed(simhashes(docs, id_col=id_col, text_col=text_col))
+    found = checkpointed(simhashes(docs, id_col=id_col, text_col=text_col))
     prints = checkpointed(found.groupBy("fingerprint").agg(F.min("doc_id").alias("first")))
     linked = components(near_links(prints.select("fingerprint"), radius))
     groups = prints.join(linked, prints["fingerprint"] == linked["node"], "left").select(
@@ -159,11 +158,10 @@ def one_of_each(
     key = F.struct(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("row"))
     name = unused(docs, "__key")
     keyed = docs.withColumn(name, key)
-    with small_batches(docs.sparkSession):
-        if alike is None:
-            found = checkpointed(simhashes(keyed, width, seed, id_col=name, text_col=text_col))
-        else:
-            found = checkpointed(sketches(keyed, width, seed, shingle, id_col=name, text_col=text_col))
+    if alike is None:
+        found = checkpointed(simhashes(keyed, width, seed, id_col=name, text_col=text_col))
+    else:
+        found = checkpointed(sketches(keyed, width, seed, shingle, id_col=name, text_col=text_col))
     prints = checkpointed(found.groupBy("fingerprint").agg(F.min("doc_id").alias("first")))
     links = near_links(prints.select("fingerprint"), radius)
     if alike is not None:
