@@ -208,3 +208,19 @@ def test_distinct_counts_of_spread_keys_stay_small(spark):
     assert {(r.g, r.n, r.different) for r in out.collect()} == {("a", 22.0, 10.0), ("b", 50.0, 50.0), ("c", 1.0, 0.0)}
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "HashAggregate" in plan and "SortAggregate" not in plan and "bitmap" not in plan
+
+
+def test_spread_keys_move_before_they_fold(spark, monkeypatch):
+    """Map tasks hold no groups, however many rows a file split has, and tasks grow with the rows."""
+    monkeypatch.setattr(rollup, "ROWS_A_TASK", 20, raising=False)
+    rows = [(f"g{i % 3}", None if i % 11 == 0 else i * 37 % 250 * 64, float(i)) for i in range(900)]
+    df = spark.createDataFrame(rows, "g string, k long, v double")
+    out = rollup.with_distinct(df, {"g": F.col("g")}, {"v": F.col("v")}, "k", "different")
+    groups = {g: [(k, v) for h, k, v in rows if h == g] for g in ("g0", "g1", "g2")}
+    assert {(r.g, r.v, r.different) for r in out.collect()} == {
+        (g, sum(v for _, v in kv), float(len({k for k, _ in kv} - {None}))) for g, kv in groups.items()
+    }
+    plan = out._jdf.queryExecution().executedPlan().toString().splitlines()
+    moves = [i for i, line in enumerate(plan) if "Exchange" in line]
+    assert ", 46)" in plan[moves[-1]] and "REPARTITION_BY_NUM" in plan[moves[-1]]
+    assert not any("Aggregate" in line for line in plan[moves[-1] :])
